@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.shipping import ship
+
 #: A word in every contract of this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,3 +60,9 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Colu
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return rows.join(facts, [*keys, "_salt"], how).drop("_salt")
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` by a function of this package, which goes along to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -6,15 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from lectern.llm.common import scratch_path
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.mixing import mix
+from lectern.llm.telephony import encode_media, media_features
+from lectern.llm.token_store import verified_documents, write_store
 from lectern.llm.url_filter import judge_urls
+from lectern.llm.word_bpe import bpe_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    write_store(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return verified_documents(spark, path)
+
+
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "media")
+    encode_media(_table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
+    return media_features(stored)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -28,8 +53,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_source_mix, op8_url_filter)}
+    return {f.__name__: f for f in (op1_token_store, op2_telephony, op5_exact_dedup, op6_source_mix, op8_url_filter, op10_word_bpe)}
 
 
 _OP5 = """
