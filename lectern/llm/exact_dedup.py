@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lowered, salted_join, written
+from lectern.llm.common import lowered, maybe_among, salted_join, written
 
 
 def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -66,12 +66,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("text"))
     printed = text.withColumns({"print": F.xxhash64("text"), "bytes": F.octet_length("text")})
-    shared = printed.groupBy("print", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    sorted_out = salted_join(printed, shared, ["print", "bytes"], F.struct("doc_id"))
-    rows = written(
-        sorted_out.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("n").isNotNull(), F.col("text")).alias("text"), F.col("n").isNotNull().alias("shared")), "dedup-rows"
-    )
-    alone = rows.filter("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    shared = written(printed.groupBy("print", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "shared-prints")
+    candidates = maybe_among(printed, "print", shared)
+    candidates = candidates.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("text_sha256"), F.when(F.col("maybe"), F.col("text")).alias("text"), "print", "bytes", "maybe")
+    candidates = written(candidates, "dedup-candidates")
+    checked = salted_join(candidates.filter("maybe"), shared, ["print", "bytes"], F.struct("row"))
+    rows = written(checked.select("row", "doc_id", "text_sha256", F.when(F.col("n").isNotNull(), F.col("text")).alias("text"), F.col("n").isNotNull().alias("shared")), "dedup-rows")
+    alone = candidates.filter("not maybe").select("doc_id", "text_sha256").unionByName(rows.filter("not shared").select("doc_id", "text_sha256"))
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     names = block_identities(rows.filter("shared").select("row", "text"), block_chars)
     members = written(rows.filter("shared").select("row", "doc_id", "text_sha256").join(names, "row"), "dedup-members")
     classes = members.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
