@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import scratch_path
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.mixing import mix
+from lectern.llm.ngram_join import Join, jaccard_components
 from lectern.llm.telephony import encode_media, media_features
 from lectern.llm.token_store import verified_documents, write_store
 from lectern.llm.url_filter import judge_urls
@@ -40,6 +41,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), Join(words=4, percent=85))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_telephony, op5_exact_dedup, op6_source_mix, op8_url_filter, op10_word_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_telephony, op3_ngram_join, op5_exact_dedup, op6_source_mix, op8_url_filter, op10_word_bpe)}
 
 
 _OP5 = """
@@ -89,5 +94,21 @@ SELECT doc_id, size, source_size, target, (copies * size) :: BIGINT AS taken, co
 """
 
 
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2], ws[i + 3]))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shs FROM w),
+m AS (SELECT doc_id, shs, len(shs) :: BIGINT AS n, md5(array_to_string(list_sort(shs), chr(10))) AS sig FROM l),
+one AS (SELECT sig, min(doc_id) AS rep, any_value(n) AS n, any_value(shs) AS shs FROM m WHERE n > 0 GROUP BY sig),
+s AS (SELECT rep, n, unnest(shs) AS sh FROM one),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS o, any_value(a.n) AS nx, any_value(b.n) AS ny FROM s a JOIN s b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+e AS (SELECT x, y FROM p WHERE 100 * o >= 85 * (nx + ny - o)),
+r AS (SELECT rep AS x, rep AS root FROM one UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x),
+c AS (SELECT x, min(root) AS component_id FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT m.doc_id, m.n AS n_shingles, coalesce(c.component_id, m.doc_id) AS component_id, coalesce(k.links, 0) :: BIGINT AS links
+FROM m LEFT JOIN one ON m.sig = one.sig AND m.n > 0 LEFT JOIN c ON c.x = one.rep LEFT JOIN k ON k.x = one.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op6_source_mix": _OP6}
+    return {"op3_ngram_join": _OP3, "op5_exact_dedup": _OP5, "op6_source_mix": _OP6}
