@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import scratch_path
 from lectern.llm.exact_dedup import exact_duplicates
+from lectern.llm.html_main import main_texts
+from lectern.llm.langid import held_out_of, label_languages, learn
 from lectern.llm.mixing import mix
 from lectern.llm.ngram_join import Join, jaccard_components
 from lectern.llm.telephony import encode_media, media_features
 from lectern.llm.token_store import verified_documents, write_store
+from lectern.llm.toxicity import score_toxicity
 from lectern.llm.url_filter import judge_urls
 from lectern.llm.word_bpe import bpe_round_trip
 
@@ -45,6 +48,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), Join(words=4, percent=85))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs.filter(F.col("lang").isNotNull() & ~held_out_of(F.col("doc_id"), 3, 1)))
+    return label_languages(docs, model).select("doc_id", held_out_of(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,10 +63,21 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").filter(~held_out_of(F.col("doc_id"), 5, 0))
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), labels)
+    evidence = F.concat_ws(",", F.transform("evidence", lambda e: F.concat_ws(":", e["doc_id"].cast("string"), e["toxic"].cast("string"))))
+    return scored.select("doc_id", held_out_of(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", evidence.alias("evidence"))
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -65,7 +85,7 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_telephony, op3_ngram_join, op5_exact_dedup, op6_source_mix, op8_url_filter, op10_word_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_telephony, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_source_mix, op7_html_main_text, op8_url_filter, op9_toxicity, op10_word_bpe)}
 
 
 _OP5 = """
