@@ -1,4 +1,4 @@
-"""Python workers import this package; where they could not, it travels with the session as a zip file."""
+"""What a session needs around the operators: the package on its Python workers, and a folder all executors share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(Path(folder, package.name)), "zip", staged))
     _SHIPPED.add(context.applicationId)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where the session names none, a temporary one, removed at exit."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        context.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder.rstrip("/")
