@@ -7,9 +7,10 @@ The global order of shingles is that of their 64-bit hashes; it is cut into frag
    fragments, and only sets that share an announced fragment are compared. A fragment is a combination of several
    shingles, so a passage that very many documents share makes no candidates, unless it is most of their text.
    Fragments with one shingle or none say little. There are spare fragments for them (see ``_plan``), and a set
-   announces them only if it has more of them than there are spares, so no link is lost.
-2. Candidates form clusters. Within one, shingles are cut into fragments again, the partial overlaps of all its pairs are
-   counted fragment by fragment (as products of membership matrices), and summed per pair. Large clusters are compared in pairs of
+   announces them only if it has more of them than there are spares, so no link is lost. A set that shares fewer
+   fragments with all others together than a link needs is dropped, which leaves hardly any that share a passage only.
+2. Candidates form clusters, separately for each size class of the larger set. Within one, shingles are cut into fragments again, the partial overlaps of all its pairs are
+   counted fragment by fragment (as products of membership matrices; rare shingles as lists of pairs), and summed per pair. Large clusters are compared in pairs of
    blocks of bounded size, by bands of set size, so no task holds a whole cluster and no pair becomes a row.
 3. Links span components; of each block pair only a spanning forest and each set's number of links leave the task.
 
@@ -34,8 +35,9 @@ from lectern.llm.shingles import shingle_sets
 from lectern.llm.token_store import mixed_bits
 from lectern.shipping import ship
 
-#: Size classes grow by this factor; a block holds this many shingles and sets; shingles in one fragment of the counting.
-GROWTH, BLOCK_SHINGLES, BLOCK_SETS, COLUMNS, SPARE = 1.35, 300_000, 1024, 4096, 0.15
+#: Size classes grow by this factor; a block holds this many shingles and sets; shingles in one fragment of the counting; pairs of holders up to which a shingle is
+#: rare; spare fragments for each that may differ; rounds that drop sets with too few shared fragments.
+GROWTH, BLOCK_SHINGLES, BLOCK_SETS, COLUMNS, RARE_PAIRS, SPARE, PRUNINGS = 1.35, 500_000, 2048, 4096, 64, 0.3, 2
 
 
 @dataclass(frozen=True)
@@ -70,13 +72,14 @@ def _plan(join: Join, c: int) -> tuple[int, int]:
     return join.differing(c) + 1 + spare, spare
 
 
-def announced(s: np.ndarray, join: Join) -> np.ndarray:
-    """The fragments that a sorted set of shingles announces, as numbers.
+def announced(s: np.ndarray, join: Join) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each size class that matters to a sorted set of shingles: the class, a number, the fragments it announces.
+
+    The set shares at least that number of announced fragments with any set of the class that it links with.
 
     Two linked sets that are not equal have one in common: of their equal fragments at least spares + 1, either one has
     two shingles or more and both announce it, or all are weak, then both have more weak ones than spares and announce those.
     """
-    out = []
     for c in join.schemes(len(s)):
         if join.differing(c) == 0 or not len(s):
             continue
@@ -87,11 +90,16 @@ def announced(s: np.ndarray, join: Join) -> np.ndarray:
         content = np.add.reduceat(mixed_bits(s), first)
         label = mixed_bits(content ^ mixed_bits(place[first] + np.uint64(c << 40)))
         strong = count > 1
-        out.append(label[strong])
-        if k - int(strong.sum()) > spare:
+        out, weak = [label[strong]], k - int(strong.sum())
+        if weak > spare:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place[first])
             out += [label[~strong], mixed_bits(mixed_bits(empty + np.uint64(c << 40)) ^ np.uint64(0x5EED))]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        yield c, max(1, spare + 1 - weak), np.concatenate(out)
+
+
+def node_id(own: int, c: int) -> int:
+    """A set within a size class, as a number of 55 bits."""
+    return int(mixed_bits(np.array([own], np.int64).view(np.uint64) + np.uint64(c))[0] >> np.uint64(9))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -118,7 +126,10 @@ def document_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
 
 
 def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(set, cluster) of all sets that share an announced fragment with another one; linked sets are in one cluster."""
+    """(node, cluster) of all sets that share an announced fragment with another one, within a size class.
+
+    Two linked sets are in one cluster of the class of the larger one.
+    """
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -127,19 +138,43 @@ def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text
             for s in shingle_sets(texts, join.words):
                 if len(s) and (own := set_id(s)) not in seen:
                     seen.add(own)
-                    marks.append(announced(s, join))
-                    owners.append(np.full(len(marks[-1]), own, np.int64))
+                    for c, need, found in announced(s, join):
+                        marks.append(found)
+                        owners.append(np.full(len(found), node_id(own, c) << 8 | min(need, 255), np.int64))
             if len(seen) > 1_000_000:  # copies beyond this are found by the grouping
                 seen.clear()
             if marks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(owners))], names=["mark", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(owners))], names=["mark", "node"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = map_arrow(rows, announce, "mark long, set long").repartition("mark")
-    shared = marks.groupBy("mark").agg(F.min("set").alias("hub"), F.max("set").alias("other")).filter("hub < other")
+    # Both uses below read one shuffle of the marks: the filter is what the join would add on its side only.
+    marks = map_arrow(rows, announce, "mark long, node long").filter("mark is not null and node is not null").repartition("mark")
+    shared = marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other")
     # Both sides come from one shuffle; the shared marks are few, so their side is hashed and the other streams by.
-    spokes = marks.join(shared.select("mark", "hub").hint("shuffle_hash"), "mark").filter("set <> hub")
-    return components(spokes.select(F.col("set").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
+    held = written(marks.join(_shared(marks).hint("shuffle_hash"), "mark"), "shared-marks")
+    for _ in range(PRUNINGS):
+        enough = held.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("node").bitwiseAND(255)).select("node")
+        held = held.join(enough, "node").drop("hub")
+        held = written(salted_join(held, _shared(held), ["mark"], F.col("node"), "inner"), "shared-marks")
+    spokes = held.filter("node <> hub").select(F.shiftright("node", 8).alias("a"), F.shiftright("hub", 8).alias("b"))
+    return components(spokes).select("node", F.col("root").alias("cluster"))
+
+
+def _shared(marks: DataFrame) -> DataFrame:
+    """(mark, hub) of the marks that two nodes or more have; hub is the least of them."""
+    return marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other").select("mark", "hub")
+
+
+def _nodes(sets: DataFrame, join: Join) -> DataFrame:
+    """``sets`` (set, least_id, n) with a row for each size class: scheme, node."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(own, least, n, c, node_id(own, c)) for own, least, n in zip(*(x.to_pylist() for x in batch.columns), strict=True) for c in join.schemes(n) if join.differing(c)]
+            columns = zip(*rows, strict=True) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["set", "least_id", "n", "scheme", "node"])
+
+    return map_arrow(sets.select("set", "least_id", "n"), spread, "set long, least_id long, n long, scheme int, node long")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -151,12 +186,30 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     overlap = np.zeros((len(left), len(right)), np.float32)
     places = [np.searchsorted(common, f) for f in flats]
     held = [(p < len(common)) & (common[np.minimum(p, len(common) - 1)] == f) if len(common) else np.zeros(len(f), bool) for p, f in zip(places, flats, strict=True)]
-    for first in range(0, len(common), COLUMNS):
+    rows, places = [r[h] for r, h in zip(rows, held, strict=True)], [p[h] for p, h in zip(places, held, strict=True)]
+    order = [np.argsort(p, kind="stable") for p in places]
+    rows, places = [r[o] for r, o in zip(rows, order, strict=True)], [p[o] for p, o in zip(places, order, strict=True)]
+    ends = [np.searchsorted(p, np.arange(len(common) + 1)) for p in places]
+    counts = [np.diff(e) for e in ends]
+    rare = counts[0] * counts[1] <= RARE_PAIRS
+    # Rare shingles: every pair of holders, one after the other.
+    at = np.flatnonzero(rare)
+    for first in range(0, len(at), 16 * COLUMNS):
+        own = at[first : first + 16 * COLUMNS]
+        pairs = counts[0][own] * counts[1][own]
+        column = np.repeat(own, pairs)
+        nth = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        i = rows[0][ends[0][column] + nth // counts[1][column]]
+        j = rows[1][ends[1][column] + nth % counts[1][column]]
+        overlap += np.bincount(i * len(right) + j, minlength=overlap.size).reshape(overlap.shape)
+    frequent = np.cumsum(~rare) - 1
+    total = int((~rare).sum())
+    for first in range(0, total, COLUMNS):
         parts = []
         for side in (0, 1):
-            own = held[side] & (places[side] >= first) & (places[side] < first + COLUMNS)
-            part = np.zeros((len(sizes[side]), min(COLUMNS, len(common) - first)), np.float32)
-            part[rows[side][own], places[side][own] - first] = 1
+            own = ~rare[places[side]] & (frequent[places[side]] >= first) & (frequent[places[side]] < first + COLUMNS)
+            part = np.zeros((len(sizes[side]), min(COLUMNS, total - first)), np.float32)
+            part[rows[side][own], frequent[places[side][own]] - first] = 1
             parts.append(part)
         overlap += parts[0] @ parts[1].T
     both = np.rint(overlap).astype(np.int64)
@@ -182,7 +235,7 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 
 
 def _blocks(sized: DataFrame, join: Join) -> DataFrame:
-    """``sized`` (set, cluster, n) with ``task`` and ``side``: where a set is compared.
+    """``sized`` (set, cluster, scheme, n) with ``task`` and ``side``: where a set is compared.
 
     A cluster that fits a block is one task, packed with others. A larger one is cut into bands by set size (linked
     sets are in one or neighbouring bands) and each band into blocks by hash; every two blocks that may hold a link
@@ -194,9 +247,9 @@ def _blocks(sized: DataFrame, join: Join) -> DataFrame:
     marked = written(salted_join(sized, large, ["cluster"], F.col("set")), "cluster-sizes")
     small = marked.filter("large is null")
     bins = 1 + (small.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
-    packed = small.select("set", "cluster", F.concat(F.lit("p"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("task"), F.lit("x").alias("side"))
+    packed = small.select("set", "cluster", "scheme", F.concat(F.lit("p"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("task"), F.lit("x").alias("side"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / join.percent + 1e-9)).cast("int")
-    banded = marked.filter("large").select("set", "cluster", "n", band.alias("band"))
+    banded = marked.filter("large").select("set", "cluster", "scheme", "n", band.alias("band"))
     counts = banded.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     around = counts
     for step in (-1, 1):
@@ -208,14 +261,14 @@ def _blocks(sized: DataFrame, join: Join) -> DataFrame:
     pairs = placed.withColumn("own", own).withColumn("other", F.explode(F.concat(others(-1, "near-1"), others(0, "blocks"), others(1, "near1"))))
     name = lambda x: F.concat_ws(".", x["band"], x["block"])
     first, second = F.least("own", "other"), F.greatest("own", "other")
-    crossed = pairs.select("set", "cluster", F.concat_ws("/", F.lit("c"), F.col("cluster"), name(first), name(second)).alias("task"), F.when(F.col("own") == F.col("other"), "x").when(F.col("own") < F.col("other"), "l").otherwise("r").alias("side"))
+    crossed = pairs.select("set", "cluster", "scheme", F.concat_ws("/", F.lit("c"), F.col("cluster"), name(first), name(second)).alias("task"), F.when(F.col("own") == F.col("other"), "x").when(F.col("own") < F.col("other"), "l").otherwise("r").alias("side"))
     return packed.unionByName(crossed)
 
 
 def _compare(join: Join):
     def compare(task: pa.Table) -> pa.Table:
         nodes, others, links = [], [], []
-        table = task.select(["set", "cluster", "side", "shingles"]).to_pandas()
+        table = task.select(["set", "cluster", "scheme", "side", "shingles"]).to_pandas()
         for _, group in table.groupby("cluster", sort=False):
             group = group.drop_duplicates("set")
             values = [np.asarray(s, np.int64).view(np.uint64) for s in group["shingles"]]
@@ -225,6 +278,9 @@ def _compare(join: Join):
             if not len(left) or not len(right):
                 continue
             found = linked([values[i] for i in left], [values[i] for i in right], join.percent)
+            # A pair counts in the class of its larger set, though both may meet in another one too.
+            classes = np.array([join.size_class(len(v)) for v in values])
+            found &= np.maximum(classes[left][:, None], classes[right][None, :]) == group["scheme"].iloc[0]
             if same := (side == "x").all():
                 np.fill_diagonal(found, False)
             for at, degree in [(left, found.sum(1))] + ([] if same else [(right, found.sum(0))]):
@@ -254,7 +310,7 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     members = written(document_sets(docs, join, id_col, text_col), "document-sets")
     sets = members.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
     clusters = written(candidate_clusters(docs, join, id_col, text_col), "clusters")
-    sized = written(sets.join(clusters, "set"), "cluster-members")
+    sized = written(_nodes(sets, join).join(clusters, "node"), "cluster-members")
 
     def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batches):
@@ -266,7 +322,7 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     wanted = maybe_among(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")), "_id", sized.select(F.col("least_id").alias("_id")))
     texts = wanted.filter("maybe").select("_id", "text")
     spelled = map_arrow(texts, spell_out, "set long, shingles array<long>").dropDuplicates(["set"])
-    tasks = _blocks(sized.select("set", "cluster", "n"), join).join(spelled, "set")
+    tasks = _blocks(sized.select("set", "cluster", "scheme", "n"), join).join(spelled, "set")
     ship(docs.sparkSession)
     found = written(tasks.groupBy("task").applyInArrow(_compare(join), "set long, other long, links long"), "links")
     degrees = found.groupBy("set").agg(F.sum("links").alias("links"))
