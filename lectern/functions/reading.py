@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import fixed_1
-from lectern.functions.text import words
+from lectern.functions.text import once, words
 
 #: Least, most and step of each numeric setting; an angle turns round instead.
 LIMITS = {"wpm": (50, 1200, 50), "chunkSize": (1, 5, 1), "fontSize": (12, 48, 2), "orpStrength": (0.0, 1.0, 0.1), "depth": (20, 200, 10), "ghostAlpha": (0.0, 1.0, 0.1), "wordSpacing": (0, 50, 5), "patternScale": (50, 200, 10), "patternOpacity": (0, 100, 5)}
@@ -25,11 +25,6 @@ def clamp(value: Column, low, high) -> Column:
     return F.greatest(as_column(low), F.least(value, as_column(high)))
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once for each row, however often ``use`` or its lambdas name it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def reading_words(text: Column) -> Column:
     """The words to show: curly quotes straightened, white space gone."""
     return words(F.translate(F.coalesce(text, F.lit("")), "‘’“”", "''\"\""))

@@ -15,6 +15,11 @@ NOT_WS = "[^" + WS[1:]
 BULLET = "•"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row, however often ``use`` or its lambdas name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
@@ -58,9 +63,12 @@ def _character(digits: Column, base: int) -> Column:
 def _numeric_references(text: Column, start: str, digits: str, base: int) -> Column:
     """Replace references that begin with ``start``, each once and from left to right."""
     pattern = f"^({digits}+);"
-    pieces = F.transform(F.split(text, start), lambda p, i: F.when(i == 0, p).when(p.rlike(pattern), F.concat(_character(F.regexp_extract(p, pattern, 1), base), F.regexp_replace(p, pattern, ""))).otherwise(F.concat(F.lit(start), p)))
-    whole = F.when(F.forall(pieces, lambda p: p.isNotNull()), F.concat_ws("", pieces))
-    return F.when(text.contains(start), whole).otherwise(text)
+
+    def rewritten(t: Column) -> Column:
+        pieces = F.transform(F.split(t, start), lambda p, i: F.when(i == 0, p).when(p.rlike(pattern), F.concat(_character(F.regexp_extract(p, pattern, 1), base), F.regexp_replace(p, pattern, ""))).otherwise(F.concat(F.lit(start), p)))
+        return F.when(~t.contains(start), t).otherwise(once(pieces, lambda ps: F.when(F.forall(ps, lambda p: p.isNotNull()), F.concat_ws("", ps))))
+
+    return once(text, rewritten)
 
 
 def decode_entities(text: Column, nbsp: bool = False) -> Column:
@@ -110,11 +118,11 @@ def svg_text(svg: Column) -> Column:
 
 def _with_svg_text(text: Column) -> Column:
     def replaced(done: Column, svg: Column) -> Column:
-        at, inner = F.locate(svg, done), svg_text(svg)
+        at, inner = F.position(svg, done), svg_text(svg)
         return F.concat(F.substring(done, F.lit(1), at - 1), F.when(inner != "", F.concat(F.lit(" "), inner, F.lit(" "))).otherwise(" "), F.substring(done, at + F.length(svg), F.length(done)))
 
-    drawings = F.regexp_extract_all(text, F.lit(r"(?i)<svg[\s\S]*?</svg>"), F.lit(0))
-    return F.when(text.rlike("(?i)<svg"), F.aggregate(drawings, text, replaced)).otherwise(text)
+    drawings = lambda t: F.regexp_extract_all(t, F.lit(r"(?i)<svg[\s\S]*?</svg>"), F.lit(0))
+    return once(text, lambda t: F.when(t.rlike("(?i)<svg"), F.aggregate(drawings(t), t, replaced)).otherwise(t))
 
 
 def strip_html(text: Column, include_image_alt: bool = True, respect_aria_hidden: bool = False, drawings: bool = True) -> Column:
@@ -167,7 +175,7 @@ def docx_text(xml: Column) -> Column:
     """struct(text, warnings) of a word-processor document's XML: its runs, joined in paragraphs, blank ones dropped."""
     xml = F.regexp_replace(F.regexp_replace(xml, r"(?i)<w:tab\b[^>]*/>", "\t"), r"(?i)<w:br\b[^>]*/>", "\n")
     paragraphs = F.regexp_extract_all(xml, F.lit(r"(?i)<w:p[\s\S]*?</w:p>"), F.lit(0))
-    runs = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(r"(?i)<w:t[^>]*>([\s\S]*?)</w:t>"), F.lit(1)), decode_entities), "")
+    runs = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(r"(?i)<w:t[^>]*>([\s\S]*?)</w:t>"), F.lit(1)), lambda t: decode_entities(t)), "")
     filled = F.filter(F.transform(paragraphs, runs), lambda p: js_trim(p) != "")
     warning = F.when(F.size(paragraphs) == 0, F.array(F.lit("No paragraphs detected in Word document."))).when(F.size(filled) == 0, F.array(F.lit("The Word document contains no readable text runs."))).otherwise(F.array().cast("array<string>"))
     return F.struct(clean_text(F.array_join(filled, "\n\n")).alias("text"), warning.alias("warnings"))

@@ -153,8 +153,9 @@ def utf8_validity(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", encoding.is_valid_utf8(F.encode("text", "UTF-8")).alias("valid"), F.octet_length("text").alias("n_bytes"))
 
 
-@query(f"SELECT doc_id, {sql.sanitize('text')} AS text, 'utf-8' AS encoding, 'direct' AS transform FROM documents WHERE {sql.sanitize('text')} <> ''")
+@query()
 def decode_candidates_best(spark, sf_dir):
+    """UTF-8 bytes of documents, decoded: SQL has no lenient decoder, so a brute-force test stands for an oracle."""
     rows = _docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("data"), F.lit(65001).alias("code_page"))
     return decoding.best_decoding(rows).filter("text <> ''").select("doc_id", "text", "encoding", "transform")
 
@@ -171,7 +172,7 @@ def docx_paragraphs(spark, sf_dir):
     return rows.select("page_id", F.col("d.text").alias("text"), F.array_join("d.warnings", "; ").alias("warnings"))
 
 
-@query(f"SELECT doc_id, {sql.markup_to_plain(sql.sanitize('text'))} AS text, CAST(NULL AS VARCHAR) AS error FROM documents WHERE {sql.markup_to_plain(sql.sanitize('text'))} <> ''")
+@query()
 def mobi_round_trip(spark, sf_dir):
     """Documents written as uncompressed book databases with one text record, and read back."""
     number = lambda c, size: F.unhex(F.lpad(F.hex(c.cast("long") if not isinstance(c, int) else F.lit(c).cast("long")), size * 2, "0"))
