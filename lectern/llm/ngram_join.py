@@ -155,7 +155,7 @@ def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     for _ in range(PRUNINGS):
         enough = held.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("node").bitwiseAND(255)).select("node")
         held = held.join(enough, "node").drop("hub")
-        held = written(salted_join(held, _shared(held), ["mark"], F.col("node"), "inner"), "shared-marks")
+        held = written(salted_join(held, _shared(held), ["mark"], F.col("node"), "inner", salts=4), "shared-marks")
     spokes = held.filter("node <> hub").select(F.shiftright("node", 8).alias("a"), F.shiftright("hub", 8).alias("b"))
     return components(spokes).select("node", F.col("root").alias("cluster"))
 
@@ -341,5 +341,5 @@ def drop_near_duplicates(docs: DataFrame, join: Join = Join(words=5, percent=80)
     if docs.isEmpty():
         return docs
     found = jaccard_components(docs, join, id_col, text_col)
-    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "near-lost")
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__near_lost")).distinct(), "near-lost")
+    return docs.join(lost, docs[id_col] == lost["__near_lost"], "left_anti")
