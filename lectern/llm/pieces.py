@@ -1,47 +1,64 @@
-"""Token ids of whole texts from a table of pieces between spaces: each distinct piece is encoded once per worker."""
+"""Token ids of whole texts from a table of pieces between spaces: a worker encodes each frequent piece once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 
 class PieceTable(dict):
-    """Maps pieces to rows of a flat id table; ``encode`` turns a list of new pieces into lists of ids.
+    """Maps pieces to rows of a flat id table; ``encode`` gives (ids of all, number of each one's) for new pieces.
 
-    Beyond ``limit`` pieces the table starts afresh, so its memory is bounded whatever the vocabulary.
+    At ``limit`` pieces only the first half stays: pieces come roughly by frequency, so those are the common ones. Memory
+    is bounded whatever the vocabulary.
     """
 
-    def __init__(self, encode: Callable[[list], list], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 900_000):
         super().__init__()
         self.encode, self.limit, self.new = encode, limit, []
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _halve(self) -> None:
+        kept = self.limit // 2
+        for piece in [p for p, row in self.items() if row >= kept]:
+            del self[piece]
+        self.flat = self.flat[: self.starts[kept]].copy()
+        self.starts, self.sizes = self.starts[:kept].copy(), self.sizes[:kept].copy()
+
     def __missing__(self, piece) -> int:
         row = self[piece] = len(self)
         self.new.append(piece)
         return row
 
-    def lookup(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in one array, number of ids of each text); a text is given as its pieces."""
+    def lookup(self, lists: pa.ListArray, first: Callable[[str], object] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in one array, number of ids of each text); a text is a list of its pieces.
+
+        A batch's distinct pieces are found by Arrow, and only they are looked up. ``first`` makes another key of
+        the first piece of each text.
+        """
         if len(self) > self.limit:
-            self._reset()
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        rows = np.fromiter((self[p] for t in texts for p in t), np.int64, int(counts.sum()))
+            self._halve()
+        bounds = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        distinct = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        rows = distinct[np.asarray(coded.indices)]
+        if first is not None:
+            starts = bounds[:-1][np.diff(bounds) > 0] - bounds[0]
+            rows[starts] = [self[first(p)] for p in coded.take(pa.array(starts)).to_pylist()]
         if self.new:
-            found = self.encode(self.new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
+            flat, sizes = self.encode(self.new)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
             self.new = []
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         at = np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[at], np.diff(bounds)
+        return self.flat[at], np.diff(np.concatenate([[0], ends])[bounds - bounds[0]])
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes

@@ -17,31 +17,34 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, salted_join, written
-from lectern.llm.pieces import PieceTable
+from lectern.llm.common import map_arrow, written
+from lectern.llm.pieces import PieceTable, flattened
+from lectern.llm.word_bpe import byte_characters
 
 #: A chunk has 256 ids on average: a cut where the top 8 bits of the rolling hash are 0.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
-#: A space beside other white space: pieces between spaces then depend on each other.
-JOINED_SPACE = re.compile(r"\s | \s")
+#: White space beside white space, at the end, or of another kind than space and line break: such texts are encoded as a whole.
+JOINED_SPACE = "[ \n][ \n]|\n\\z|[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
+#: Signs that stand apart from a word before them; an apostrophe may not.
+SIGNS, LATIN_END = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'"), "\u0250"
 
 
 class Encoder:
     """Ids of texts by the tokenizers library; pieces between single spaces are encoded once each.
 
     In a byte-level vocabulary a word takes its leading space along, so a text may be cut before any space that has no
-    white space beside it. Texts where some has are encoded as a whole.
+    white space beside it, and before a line break that has none. Texts where some has are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -51,22 +54,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.table = PieceTable(lambda pieces: self.plain([p[0] if isinstance(p, tuple) else " " + p for p in pieces]))
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if not (t[1].lstrip or t[1].rstrip or t[1].single_word)]
+        self.mark_id, self.mark = next(((i, t.content) for i, t in special), (None, None))
+        self.characters = dict(enumerate(byte_characters()))
+        self.blank, self.known_signs = self.characters[0x20], {}
+        self.table = PieceTable(self.encode_pieces)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if JOINED_SPACE.search(t)]
-        pieces = []
-        for t in texts:
-            first, *rest = t.split(" ")
-            pieces.append([(first,), *rest])
-        for i in whole:
-            pieces[i] = []
-        ids, counts = self.table.lookup(pieces)
+    def encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words with signs behind them go to the library's model directly, all else through its whole chain."""
+        found: list[list[int] | None] = []
+        other, tokenize, blank = [], self.tokenizer.model.tokenize, self.blank
+        for i, p in enumerate(pieces):
+            if p.__class__ is str and p.isascii() and p.isalpha():  # most pieces
+                found.append([t.id for t in tokenize(blank + p)])
+                continue
+            start, p = ("", p[0]) if isinstance(p, tuple) else ("\n", p[1:]) if p[:1] == "\n" else (" ", p)
+            word = p.rstrip(SIGNS)
+            if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+                ids = self._word(start, word)
+                found.append(ids + self._signs(p[len(word) :]) if len(word) < len(p) else ids)
+            else:
+                found.append(None)
+                other.append((i, start + p))
+        for (i, _), ids in zip(other, self._apart([t for _, t in other]), strict=True):
+            found[i] = ids
+        return flattened(found)
+
+    def _word(self, start: str, word: str) -> list[int]:
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+        if start == "\n":
+            return [*self._signs("\n"), *(t.id for t in self.tokenizer.model.tokenize(text))]
+        return [t.id for t in self.tokenizer.model.tokenize(self.blank + text if start else text)]
+
+    def _signs(self, signs: str) -> list[int]:
+        if (ids := self.known_signs.get(signs)) is None:
+            if len(self.known_signs) > 50_000:
+                self.known_signs.clear()
+            ids = self.known_signs[signs] = self.plain([signs])[0]
+        return ids
+
+    def _apart(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, many to a call."""
+        if self.mark is None or any(self.mark in t for t in texts):
+            return self.plain(texts)
+        out: list[list[int]] = []
+        for first in range(0, len(texts), 5000):
+            run = np.array(self.plain([self.mark.join([*texts[first : first + 5000], ""])])[0], np.int32)
+            out += [part[:-1].tolist() for part in np.split(run, np.flatnonzero(run == self.mark_id) + 1)[:-1]]
+        return out
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        whole = np.asarray(pc.match_substring_regex(texts, JOINED_SPACE).cast(pa.int8())).astype(bool)
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n"), " ")
+        ids, counts = self.table.lookup(cut, first=lambda p: (p,))
         out = np.split(ids, np.cumsum(counts)[:-1])
-        for i, found in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
+        at = np.flatnonzero(whole)
+        for i, found in zip(at, self.plain(texts.take(pa.array(at)).to_pylist()), strict=True):
             out[i] = np.array(found, np.int32)
         return out
 
@@ -169,7 +216,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
         for whole in batches:
             for first in range(0, len(whole), 1000):
                 batch, chunks, recipes = whole.slice(first, 1000), {}, []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1)), strict=True):
                     ids, start, keys = np.append(ids, end_id), 0, []
                     for end in chunk_ends(ids):
                         data = ids[start:end].astype(kind).tobytes()
@@ -231,7 +278,7 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
         return parts.map(lambda p: np.frombuffer(b"".join(p), f"<u{width}").astype(np.int32))
 
     chunks = _objects(spark, path).filter("kind = 'chunk'").select("key", "data")
-    parts = salted_join(_addresses(read_index(spark, path)), chunks, ["key"], F.col("start"), "inner")
+    parts = _addresses(read_index(spark, path)).join(chunks, "key")
     grouped = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("parts"))
     return grouped.select("doc_id", "start", joined(F.col("parts.data")).alias("ids"))
 
@@ -267,6 +314,6 @@ def verified_documents(spark: SparkSession, path: str, width: int = 2) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), pa.array(fine)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     chunks = map_arrow(_objects(spark, path).filter("kind = 'chunk'").select("key", "data"), sums, "key binary, crc long, n long, good boolean")
-    parts = salted_join(_addresses(read_index(spark, path)), chunks, ["key"], F.col("start"), "inner")
+    parts = _addresses(read_index(spark, path)).join(chunks, "key")  # one exchange on either side, so adaptive execution splits a hot chunk
     grouped = parts.groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("at", "key", "crc", "n", "good"))).alias("parts"))
     return map_arrow(grouped.select("doc_id", "start", "n_tokens", "root", "parts"), combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")

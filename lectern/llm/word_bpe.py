@@ -17,12 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import map_arrow
-from lectern.llm.pieces import PieceTable
+from lectern.llm.pieces import PieceTable, flattened
 
 SHORT, NEVER = 96, 1 << 60
 
@@ -55,7 +56,7 @@ class WordBpe:
         self.pattern = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, list[int]] = {}
-        self.table = PieceTable(lambda pieces: [self.encode_piece(p) for p in pieces])
+        self.table = PieceTable(lambda pieces: flattened([self.encode_piece(p) for p in pieces]))
 
     def _rank(self, left: int, right: int) -> int:
         return self.merges.get((left, right), (NEVER,))[0]
@@ -115,9 +116,9 @@ class WordBpe:
                     ids += self.encode_word(word)
         return ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids). White space never reaches a token, so texts are cut at it first."""
-        return self.table.lookup([list(filter(None, t.replace("\n", " ").split(" "))) for t in texts])
+        return self.table.lookup(pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " "))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, word ends and special tokens kept, as the file names no decoder."""
@@ -142,7 +143,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for whole in batches:
             for first in range(0, len(whole), 1000):
                 batch = whole.slice(first, 1000)
-                ids, counts = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
+                ids, counts = bpe.encode(batch.column(1))
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 tokens = list(map(bpe.tokens.__getitem__, ids.tolist()))
                 decoded = pa.array([" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
