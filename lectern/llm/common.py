@@ -64,19 +64,19 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Colu
     return rows.join(facts, [*keys, "_salt"], how).drop("_salt")
 
 
-def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: false where the long ``key`` is certainly in no row of ``keys``, so that the row need not be moved.
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame, name: str = "maybe") -> DataFrame:
+    """``rows`` with a column ``name``: false where the long ``key`` is certainly in no row of ``keys``, so that the row need not be moved.
 
     The broadcast is a bitmap of ``FILTER_BITS`` bits, 8 MB at most for any input. As keys fill it, more rows pass; a
     join decides about those that do.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS).cast("long"))
     number, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
-    bits = keys.select(number.alias("_part"), place.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    joined = rows.withColumns({"_part": number, "_at": place}).join(F.broadcast(bits), "_part", "left")
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_at", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.coalesce(F.getbit(byte, F.col("_at").bitwiseAND(7).cast("int")) == 1, F.lit(False))
-    return joined.withColumn("maybe", held).drop("_part", "_at", "_bits")
+    bits = keys.select(number.alias("__bit_part"), place.alias("__bit_at")).groupBy("__bit_part").agg(F.bitmap_construct_agg("__bit_at").alias("__bit_bits"))
+    joined = rows.withColumns({"__bit_part": number, "__bit_at": place}).join(F.broadcast(bits), "__bit_part", "left")
+    byte = F.conv(F.hex(F.substring("__bit_bits", F.shiftright("__bit_at", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, F.col("__bit_at").bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(name, held).drop("__bit_part", "__bit_at", "__bit_bits")
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:

@@ -89,12 +89,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if docs.isEmpty():
         return docs
     found = exact_duplicates(docs, id_col, text_col, block_chars)
-    tied = found.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_same"))
-    lost = found.filter("not kept").select("doc_id", "text_sha256").distinct().withColumn("_same", F.lit(0).cast("long"))
-    lost = written(lost.unionByName(tied.filter("_same > 1")), "dedup-lost")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(lowered(F.col(text_col)), 256)})
-    marks = lost.select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"), "_same")
-    marked = keyed.join(marks, F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_sha") == F.col("_lost_sha")), "left")
-    once = marked.filter("_same is null")
-    again = marked.filter("_same > 1").dropDuplicates(["_id", "_sha"])
-    return once.unionByName(again).select(*docs.columns)
+    tied = found.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__dedup_same"))
+    lost = found.filter("not kept").select("doc_id", "text_sha256").distinct().withColumn("__dedup_same", F.lit(0).cast("long"))
+    lost = written(lost.unionByName(tied.filter("__dedup_same > 1")), "dedup-lost")
+    keyed = docs.withColumns({"__dedup_id": F.col(id_col).cast("long"), "__dedup_sha": F.sha2(lowered(F.col(text_col)), 256)}).withColumn("__dedup_key", F.xxhash64("__dedup_id", "__dedup_sha"))
+    keyed = maybe_among(keyed, "__dedup_key", lost.select(F.xxhash64(F.col("doc_id").cast("long"), "text_sha256").alias("__dedup_key")), "__dedup_maybe")
+    marks = lost.select(F.col("doc_id").alias("__dedup_lost_id"), F.col("text_sha256").alias("__dedup_lost_sha"), "__dedup_same")
+    doubtful = keyed.filter("__dedup_maybe").join(marks, F.col("__dedup_id").eqNullSafe(F.col("__dedup_lost_id")) & (F.col("__dedup_sha") == F.col("__dedup_lost_sha")), "left").filter("__dedup_same is null or __dedup_same > 1")
+    # Of rows that repeat in id and text one stays, the others have a number of their own.
+    number = F.when(F.col("__dedup_same").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    doubtful = doubtful.withColumn("__dedup_row", number).dropDuplicates(["__dedup_id", "__dedup_sha", "__dedup_row"])
+    return keyed.filter("not __dedup_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))

@@ -6,9 +6,9 @@ The global order of shingles is that of their 64-bit hashes; it is cut into frag
    more than D fragments at least one is equal in both. A set therefore announces the content of each of its
    fragments, and only sets that share an announced fragment are compared. A fragment is a combination of several
    shingles, so a passage that very many documents share makes no candidates, unless it is most of their text.
-   Fragments with one shingle or none say little. There are spare fragments for them (see ``_plan``), and a set
-   announces them only if it has more of them than there are spares, so no link is lost. A set that shares fewer
-   fragments with all others together than a link needs is dropped, which leaves hardly any that share a passage only.
+   There are spare fragments (see ``_plan``), so that linked sets have several equal ones: a set that shares fewer with all
+   others together than a link needs is dropped, which leaves hardly any that share a passage only. Empty fragments
+   are announced only by sets that have more of them than there are spares, so no link is lost.
 2. Candidates form clusters, separately for each size class of the larger set. Within one, shingles are cut into fragments again, the partial overlaps of all its pairs are
    counted fragment by fragment (as products of membership matrices; rare shingles as lists of pairs), and summed per pair. Large clusters are compared in pairs of
    blocks of bounded size, by bands of set size, so no task holds a whole cluster and no pair becomes a row.
@@ -77,8 +77,8 @@ def announced(s: np.ndarray, join: Join) -> Iterator[tuple[int, int, np.ndarray]
 
     The set shares at least that number of announced fragments with any set of the class that it links with.
 
-    Two linked sets that are not equal have one in common: of their equal fragments at least spares + 1, either one has
-    two shingles or more and both announce it, or all are weak, then both have more weak ones than spares and announce those.
+    Of two linked sets at least spares + 1 fragments are equal. If either set has no more empty fragments than there are
+    spares, one of the equal ones has shingles in it and both announce it; else both announce the empty ones too.
     """
     for c in join.schemes(len(s)):
         if join.differing(c) == 0 or not len(s):
@@ -86,14 +86,12 @@ def announced(s: np.ndarray, join: Join) -> Iterator[tuple[int, int, np.ndarray]
         k, spare = _plan(join, c)
         place = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        count = np.diff(np.append(first, len(s)))
         content = np.add.reduceat(mixed_bits(s), first)
         label = mixed_bits(content ^ mixed_bits(place[first] + np.uint64(c << 40)))
-        strong = count > 1
-        out, weak = [label[strong]], k - int(strong.sum())
+        out, weak = [label], k - len(first)
         if weak > spare:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place[first])
-            out += [label[~strong], mixed_bits(mixed_bits(empty + np.uint64(c << 40)) ^ np.uint64(0x5EED))]
+            out.append(mixed_bits(mixed_bits(empty + np.uint64(c << 40)) ^ np.uint64(0x5EED)))
         yield c, max(1, spare + 1 - weak), np.concatenate(out)
 
 
@@ -342,4 +340,6 @@ def drop_near_duplicates(docs: DataFrame, join: Join = Join(words=5, percent=80)
         return docs
     found = jaccard_components(docs, join, id_col, text_col)
     lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__near_lost")).distinct(), "near-lost")
-    return docs.join(lost, docs[id_col] == lost["__near_lost"], "left_anti")
+    keyed = maybe_among(docs.withColumn("__near_id", F.col(id_col).cast("long")), "__near_id", lost.select(F.col("__near_lost").alias("__near_id")), "__near_maybe")
+    doubtful = keyed.filter("__near_maybe").join(lost, F.col("__near_id") == F.col("__near_lost"), "left_anti")
+    return keyed.filter("not __near_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
