@@ -10,7 +10,7 @@ of bins are prefix-summed first, and rows are ordered within a bin only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,51 +40,77 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """How many words of each document the mix takes.
+def text_quality(text: Column) -> Column:
+    """A weight from the text itself: the share of letters and white space among its characters, 0.05 at least."""
+    return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[\p{L}\s]")).cast("double"), F.length(text).cast("double")), F.lit(0.05)))
 
-    ``quality`` (doc_id, quality) scales a document's chance in the fractional epoch: 1 doubles its weight, 0
-    halves it, without a label it is 1. Returns one row per row of ``docs``: doc_id, source, size, source_size,
-    target, taken, copies. A document is taken whole, ``copies`` times; the one that reaches the end of the budget is
-    taken if that brings the source nearer to its target.
 
-    Edge cases: null and empty texts have size 0 and taken 0; a null source is a source of its own, sorted last; rows with
-    null ids share one key; repeated rows are each sampled, in a fixed order; of several labels the highest
-    counts; an empty table gives an empty result; other columns are not read.
-    """
-    rows = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    if quality is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    else:
-        marks = quality.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
-        rows = rows.join(marks, "doc_id", "left").withColumn("weight", F.when(F.col("_q") >= 1, 2.0).when(F.col("_q") <= 0, 0.5).otherwise(1.0)).drop("_q")
+def _keyed(docs: DataFrame, quality: DataFrame | Column | None, seed: str) -> DataFrame:
+    """``docs`` with __mix: size, key and bin of each row. Labels are joined; a weight column needs no join."""
+    weight = F.lit(1.0) if quality is None or isinstance(quality, DataFrame) else quality
+    if isinstance(quality, DataFrame):
+        marks = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("quality").alias("__mix_quality"))
+        docs = docs.join(marks, docs["doc_id"] == marks["__mix_id"], "left")
+        weight = F.when(F.col("__mix_quality") >= 1, 2.0).when(F.col("__mix_quality") <= 0, 0.5).otherwise(1.0)
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
-    uniform = (digits + F.lit(0.5)) / F.lit(float(2**48))
+    key = -F.log((digits + F.lit(0.5)) / F.lit(float(2**48))) / weight
     # The bin is a rounding of exp(-key), which falls as the key grows; ids break ties between equal keys.
-    rows = rows.withColumn("key", -F.log(uniform) / F.col("weight")).withColumn("bin", (F.lit(BINS) - F.ceil(F.exp(-F.col("key")) * BINS)).cast("int"))
-    rows = written(rows.drop("weight"), "mix-keys")
+    bin_ = (F.lit(BINS) - F.ceil(F.exp(-F.col("__mix_key")) * BINS)).cast("int")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    keyed = docs.withColumn("__mix_key", key).withColumn("__mix", F.struct(F.col("__mix_key").alias("key"), F.col("doc_id").alias("id"), size.alias("size"), bin_.alias("bin")))
+    return keyed.drop("__mix_key", "__mix_id", "__mix_quality")
+
+
+def _placed(docs: DataFrame, quality, weights, share, most, seed) -> DataFrame:
+    """A row for each row of ``docs``: its source (_none, _source), key, size, the source's budgets, and whether the fractional epoch takes it."""
+    rows = written(_keyed(docs.select("doc_id", "source", "text"), quality, seed).select("doc_id", "source", "__mix.size", "__mix.key", "__mix.bin"), "mix-keys")
     bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     targets = written(source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most), "mix-targets")
     earlier = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    same = lambda d: d.withColumn("_none", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit(""))).drop("source")
-    starts = same(bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))).join(same(targets), ["_none", "_source"])
+    starts = _by_source(bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))).join(_by_source(targets), ["_none", "_source"])
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     starts = starts.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).drop("bin_size")
     inner = W.partitionBy("_none", "_source", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    ordered = same(rows).withColumn("in_bin", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = ordered.join(starts, ["_none", "_source", "bin"])
+    ordered = _by_source(rows).withColumn("in_bin", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     takes = (F.col("rest") > 0) & (F.col("bin_start") + F.col("in_bin") + F.col("size") / 2.0 <= F.col("rest"))
-    placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(takes, 1).otherwise(0)).otherwise(0).cast("long"))
+    return ordered.join(starts, ["_none", "_source", "bin"]).withColumn("takes", takes)
+
+
+def _by_source(df: DataFrame) -> DataFrame:
+    """A null source told apart from an empty one, so that plain equality joins it."""
+    return df.withColumn("_none", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit(""))).drop("source")
+
+
+def mix(docs: DataFrame, quality: DataFrame | Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
+    """How many words of each document the mix takes.
+
+    ``quality`` scales a document's chance in the fractional epoch: a table (doc_id, quality) where 1 doubles its weight,
+    0 halves it, and without a label it is 1; or a column with the weight. Returns one row per row of ``docs``: doc_id, source, size,
+    source_size, target, taken, copies. A document is taken whole, ``copies`` times; the one that reaches the end of the budget is
+    taken if that brings the source nearer to its target.
+
+    Edge cases: null and empty texts have size 0 and taken 0; a null source is a source of its own, sorted last; rows with
+    null ids share one key; repeated rows are each sampled, in a fixed order; of several labels the highest
+    counts; an empty table gives an empty result; other columns are not read.
+    """
+    placed = _placed(docs, quality, weights, share, most, seed)
+    placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("takes"), 1).otherwise(0)).otherwise(0).cast("long"))
     return placed.select("doc_id", F.when(~F.col("_none"), F.col("_source")).alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, quality: DataFrame | Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with all columns.
 
-    Rows that are taken zero times go, and so do rows without words. Rows that share an id are taken as often as the
-    one with the fewest copies says.
+    What the fractional epoch takes of a source is a prefix of its order, so the last row taken tells for every row whether
+    it is in: texts are not joined with their counts. Rows without words go; rows that tie in key, id and size are taken alike.
     """
-    counts = mix(docs, quality, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies"))
-    counts = counts.filter("_copies > 0").withColumnRenamed("doc_id", "_mixed_id")
-    kept = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    placed = _placed(docs, quality, weights, share, most, seed)
+    last = F.max(F.when(F.col("takes"), F.struct("key", F.col("doc_id").alias("id"), "size")))
+    budgets = written(placed.groupBy("_none", "_source").agg(F.first("epochs").alias("__mix_epochs"), last.alias("__mix_last")), "mix-budgets")
+    budgets = budgets.select(F.col("_none").alias("__mix_none"), F.col("_source").alias("__mix_source"), "__mix_epochs", "__mix_last")
+    keyed = _keyed(docs, quality, seed)
+    joined = keyed.join(budgets, (F.col("source").isNull() == F.col("__mix_none")) & (F.coalesce("source", F.lit("")) == F.col("__mix_source")))
+    own = F.struct(F.col("__mix.key").alias("key"), F.col("__mix.id").alias("id"), F.col("__mix.size").alias("size"))
+    copies = F.col("__mix_epochs") + F.when(own <= F.col("__mix_last"), 1).otherwise(0)
+    kept = joined.withColumn("__mix_copies", copies.cast("long")).filter("__mix.size > 0 and __mix_copies > 0")
+    return kept.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*docs.columns)
