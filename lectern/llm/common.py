@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +87,14 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` by a function of this package, which goes along to the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 300, size: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a task holds the Python objects of few texts at a time: by rows, and by bytes of a column."""
+    for whole in batches:
+        ends, first = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy()), 0
+        while first < len(whole):
+            last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right"))
+            last = min(max(last, first + 1), first + rows, len(whole))
+            yield whole.slice(first, last - first)
+            first = last

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, maybe_among, salted_join, written
+from lectern.llm.common import map_arrow, maybe_among, salted_join, sliced, written
 from lectern.llm.components import components
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.token_store import mixed_bits
@@ -104,11 +104,9 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for whole in batches:
-        for first in range(0, len(whole), rows):
-            batch = whole.slice(first, rows)
-            yield batch, batch.column(1).to_pylist()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    for batch in sliced(batches):
+        yield batch, batch.column(1).to_pylist()
 
 
 def document_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

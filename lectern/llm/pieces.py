@@ -16,7 +16,7 @@ class PieceTable(dict):
     is bounded whatever the vocabulary.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 900_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         super().__init__()
         self.encode, self.limit, self.new = encode, limit, []
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -14,7 +14,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64; kept for the next batch."""
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_PRIME, _INVERSE)):
-            steps = np.full(2 * n, base, np.uint64)
+            steps = np.full(n + n // 8, base, np.uint64)
             steps[0] = 1
             _POWERS[i] = np.cumprod(steps)
     return _POWERS[0][:n], _POWERS[1][:n]

@@ -1,7 +1,7 @@
 """Toxicity of texts by their nearest labelled examples.
 
-Texts are TF-IDF vectors over marker terms: words and beginnings of words that labelled toxic texts have significantly more
-often than others. The examples, labelled rows with a vector that is not empty, are held as an inverted index whose postings lie in
+Texts are TF-IDF vectors over marker terms: words and beginnings of words, and their repetition, that labelled toxic texts have
+significantly more often than others. The examples, labelled rows with a vector that is not empty, are held as an inverted index whose postings lie in
 blocks of examples with the largest weight of each term in each block. A query's blocks are visited by their bounds,
 and those that cannot beat the k-th best cosine are skipped; the neighbours found are exact. Votes weighted by
 similarity, shrunk towards the rate of labelled texts without marker terms, give a score, and the neighbours are
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, written
+from lectern.llm.common import map_arrow, maybe_among, sliced, written
 
 WORD = re.compile(r"\w+")
 #: Beginnings of words that count as terms besides whole words.
@@ -46,16 +46,30 @@ class Bounds:
     shrink: float = 0.5
 
 
+#: Counts in one text from which a term that repeats is a term of its own.
+REPEATS = (2, 3)
+
+
 def terms_of(word: str) -> list[str]:
     """The term of a whole word is marked by a final blank, so that it differs from an equal beginning."""
     return [word + " ", *[word[:n] for n in BEGINNINGS if len(word) > n]]
 
 
+def repeated(term: str, times: int) -> str:
+    """The term of a text that has ``term`` so many times or more."""
+    return f"{term}*{times}"
+
+
+def text_terms(counts: Counter) -> list[str]:
+    """All terms of a text, given how often each word or beginning occurs."""
+    return [*counts, *[repeated(t, k) for t, c in counts.items() for k in REPEATS if c >= k]]
+
+
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for batch in batches:
+    for batch in sliced(batches, column=0):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[bool(toxic)].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
+            counts[bool(toxic)].update(text_terms(Counter(t for w in WORD.findall((text or "").lower()) for t in terms_of(w))))
     for toxic, found in counts.items():
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found)), pa.array(list(found.values()), pa.int64())], names=["term", "toxic", "n"])
 
@@ -77,20 +91,22 @@ def marker_terms(sample: DataFrame, bounds: Bounds = Bounds()) -> list[str]:
 def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, terms, counts) of every row of ``docs`` (doc_id, text): numbers of the marker terms it has, ascending, and how often."""
     numbers = {t: i for i, t in enumerate(terms)}
+    plain = {t.partition("*")[0] for t in terms}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 counts: Counter = Counter()
                 for word in WORD.findall((text or "").lower()):
                     if (own := known.get(word)) is None:
-                        own = known[word] = tuple(numbers[t] for t in terms_of(word) if t in numbers)
+                        own = known[word] = tuple(t for t in terms_of(word) if t in plain)
                     if own:
                         counts.update(own)
-                found.append(sorted(counts.items()))
-                if len(known) > 300_000:
+                own_terms = {t: counts.get(t, 1) for t in text_terms(counts) if t in numbers}
+                found.append(sorted((numbers[t], c) for t, c in own_terms.items()))
+                if len(known) > 100_000:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
 
@@ -201,5 +217,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    lost = score_toxicity(docs, labels, bounds).filter("predicted = 1").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(written(lost, "toxic-ids"), F.col("doc_id") == F.col("_lost"), "left_anti")
+    lost = written(score_toxicity(docs, labels, bounds).filter("predicted = 1").select(F.col("doc_id").alias("__toxic_lost")).distinct(), "toxic-ids")
+    keyed = maybe_among(docs.withColumn("__toxic_id", F.col("doc_id").cast("long")), "__toxic_id", lost.select(F.col("__toxic_lost").alias("__toxic_id")), "__toxic_maybe")
+    doubtful = keyed.filter("__toxic_maybe").join(lost, F.col("__toxic_id") == F.col("__toxic_lost"), "left_anti")
+    return keyed.filter("not __toxic_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))

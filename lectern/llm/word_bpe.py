@@ -56,7 +56,7 @@ class WordBpe:
         self.pattern = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, list[int]] = {}
-        self.table = PieceTable(lambda pieces: flattened([self.encode_piece(p) for p in pieces]))
+        self.table = PieceTable(lambda pieces: flattened([self.encode_piece(p) for p in pieces]), limit=200_000)
 
     def _rank(self, left: int, right: int) -> int:
         return self.merges.get((left, right), (NEVER,))[0]
@@ -99,7 +99,7 @@ class WordBpe:
             symbols = [self.bytes[b] for b in word.encode()]
             symbols[-1] += self.suffix
             ids = self.merge([self.vocab[s] for s in symbols if s in self.vocab])
-            if len(self.words) > 200_000:
+            if len(self.words) > 50_000:
                 self.words.clear()
             if len(word) < 64:
                 self.words[word] = ids
@@ -141,8 +141,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path)
         for whole in batches:
-            for first in range(0, len(whole), 1000):
-                batch = whole.slice(first, 1000)
+            for first in range(0, len(whole), 500):
+                batch = whole.slice(first, 500)
                 ids, counts = bpe.encode(batch.column(1))
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 tokens = list(map(bpe.tokens.__getitem__, ids.tolist()))
