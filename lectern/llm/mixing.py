@@ -45,9 +45,11 @@ def text_quality(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[\p{L}\s]")).cast("double"), F.length(text).cast("double")), F.lit(0.05)))
 
 
-def _keyed(docs: DataFrame, quality: DataFrame | Column | None, seed: str) -> DataFrame:
-    """``docs`` with __mix: size, key and bin of each row. Labels are joined; a weight column needs no join."""
-    weight = F.lit(1.0) if quality is None or isinstance(quality, DataFrame) else quality
+def _keyed(docs: DataFrame, quality: DataFrame | Column | None, seed: str, with_text: bool = True) -> DataFrame:
+    """``docs`` with __mix: size, key and bin of each row. Labels are joined, after the text where it is not needed; a weight column needs no join."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    docs = docs.withColumns({"__mix_size": size, "__mix_weight": F.lit(1.0) if quality is None or isinstance(quality, DataFrame) else quality})
+    docs, weight = docs if with_text else docs.drop("text"), F.col("__mix_weight")
     if isinstance(quality, DataFrame):
         marks = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("quality").alias("__mix_quality"))
         docs = docs.join(marks, docs["doc_id"] == marks["__mix_id"], "left")
@@ -56,14 +58,13 @@ def _keyed(docs: DataFrame, quality: DataFrame | Column | None, seed: str) -> Da
     key = -F.log((digits + F.lit(0.5)) / F.lit(float(2**48))) / weight
     # The bin is a rounding of exp(-key), which falls as the key grows; ids break ties between equal keys.
     bin_ = (F.lit(BINS) - F.ceil(F.exp(-F.col("__mix_key")) * BINS)).cast("int")
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    keyed = docs.withColumn("__mix_key", key).withColumn("__mix", F.struct(F.col("__mix_key").alias("key"), F.col("doc_id").alias("id"), size.alias("size"), bin_.alias("bin")))
-    return keyed.drop("__mix_key", "__mix_id", "__mix_quality")
+    keyed = docs.withColumn("__mix_key", key).withColumn("__mix", F.struct(F.col("__mix_key").alias("key"), F.col("doc_id").alias("id"), F.col("__mix_size").alias("size"), bin_.alias("bin")))
+    return keyed.drop("__mix_key", "__mix_id", "__mix_quality", "__mix_size", "__mix_weight")
 
 
 def _placed(docs: DataFrame, quality, weights, share, most, seed) -> DataFrame:
     """A row for each row of ``docs``: its source (_none, _source), key, size, the source's budgets, and whether the fractional epoch takes it."""
-    rows = written(_keyed(docs.select("doc_id", "source", "text"), quality, seed).select("doc_id", "source", "__mix.size", "__mix.key", "__mix.bin"), "mix-keys")
+    rows = written(_keyed(docs.select("doc_id", "source", "text"), quality, seed, with_text=False).select("doc_id", "source", "__mix.size", "__mix.key", "__mix.bin"), "mix-keys")
     bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     targets = written(source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most), "mix-targets")
     earlier = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
