@@ -7,8 +7,8 @@ and those that cannot beat the k-th best cosine are skipped; the neighbours foun
 similarity, shrunk towards the rate of labelled texts without marker terms, give a score, and the neighbours are
 its evidence.
 
-The markers are chosen, and the examples taken, from a bounded sample of labelled rows (``Bounds``); document frequencies are
-counted over all documents, and every document is scored.
+The markers are chosen, and the examples taken, from all labelled rows; document frequencies are counted over all
+documents, and every document is scored. Of examples with equal vectors the first k are held: no others can be among the k nearest.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_arrow, maybe_among, sliced, written
@@ -33,10 +33,8 @@ BEGINNINGS = (4, 5, 6, 7)
 
 @dataclass(frozen=True)
 class Bounds:
-    """Limits of what is learned from, and the constants of the vote."""
+    """What makes a marker, and the constants of the vote."""
 
-    toxic_rows: int = 4000
-    other_rows: int = 8000
     terms: int = 2048
     least_rows: int = 3
     least_z: float = 4.0
@@ -46,6 +44,8 @@ class Bounds:
     shrink: float = 0.5
 
 
+#: Terms of which a task holds the counts before it gives them on.
+HELD_TERMS = 200_000
 #: Counts in one text from which a term that repeats is a term of its own.
 REPEATS = (2, 3)
 
@@ -67,11 +67,21 @@ def text_terms(counts: Counter) -> list[str]:
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+
+    def given(toxic: bool) -> pa.RecordBatch:
+        found = counts[toxic]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.bool_()), pa.array(list(found.values()), pa.int64())], names=["term", "toxic", "n"])
+        found.clear()
+        return batch
+
     for batch in sliced(batches, column=0):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[bool(toxic)].update(text_terms(Counter(t for w in WORD.findall((text or "").lower()) for t in terms_of(w))))
-    for toxic, found in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found)), pa.array(list(found.values()), pa.int64())], names=["term", "toxic", "n"])
+        for toxic, found in counts.items():
+            if len(found) > HELD_TERMS:
+                yield given(toxic)
+    for toxic in counts:
+        yield given(toxic)
 
 
 def marker_terms(sample: DataFrame, bounds: Bounds = Bounds()) -> list[str]:
@@ -127,13 +137,13 @@ class BlockIndex:
         for at, (_, _, terms, counts) in enumerate(examples):
             for t, w in zip(terms, self.weights(terms, counts), strict=True):
                 postings.setdefault(t, []).append((at, float(w)))
-        self.postings, self.most, self.cuts = {}, {}, {}
+        # Of each term: the blocks that have it, its largest weight in each, and where their postings begin.
+        self.postings, self.held, self.most, self.cuts = {}, {}, {}, {}
         for t, entries in postings.items():
             at, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, at // bounds.block, w)
-            self.postings[t], self.most[t] = (at, w), most
-            self.cuts[t] = np.searchsorted(at, np.arange(self.blocks + 1) * bounds.block)
+            self.held[t], first = np.unique(at // bounds.block, return_index=True)
+            self.postings[t], self.most[t] = (at, w), np.maximum.reduceat(w, first)
+            self.cuts[t] = np.append(first, len(at))
 
     def weights(self, terms: list[int], counts: list[int]) -> np.ndarray:
         """Unit vector of (1 + ln tf) * idf."""
@@ -145,25 +155,42 @@ class BlockIndex:
         query = [(t, q) for t, q in zip(terms, self.weights(terms, counts), strict=True) if t in self.postings]
         if not query:
             return []
-        limits, k = sum(q * self.most[t] for t, q in query), self.bounds.neighbours
+        limits, k = np.zeros(self.blocks), self.bounds.neighbours
+        for t, q in query:
+            limits[self.held[t]] += q * self.most[t]
         best: list[tuple[float, int]] = []
         for block in np.argsort(-limits, kind="stable").tolist():
             if limits[block] <= 0 or len(best) == k and limits[block] + 1e-12 < best[-1][0]:
                 break
             sums, base = np.zeros(self.bounds.block), block * self.bounds.block
             for t, q in query:
-                a, b = self.cuts[t][block], self.cuts[t][block + 1]
-                if a < b:
-                    at, w = self.postings[t]
+                i = int(np.searchsorted(self.held[t], block))
+                if i < len(self.held[t]) and self.held[t][i] == block:
+                    (at, w), a, b = self.postings[t], self.cuts[t][i], self.cuts[t][i + 1]
                     sums[at[a:b] - base] += q * w[a:b]
             own = [(round(float(sums[i]), 12), base + int(i)) for i in np.flatnonzero(sums > 0)]
             best = sorted(best + own, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
-def _capped(labelled: DataFrame, toxic: int, rows: int) -> DataFrame:
-    """``rows`` of the labelled ids with this label, chosen by hash, so that reruns agree and any input size costs the same."""
-    return labelled.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def distinct_examples(taken: DataFrame, k: int) -> DataFrame:
+    """Of the rows of ``taken`` (doc_id, toxic, terms, counts) with equal vectors the ``k`` with the smallest ids: their cosines are equal, so no others are among the k nearest."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, list[tuple[int, int]]] = {}
+        for batch in batches:
+            for number, toxic, terms, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = kept.setdefault((tuple(terms), tuple(counts)), [])
+                own.append((number, toxic))
+                if len(own) > 4 * k:
+                    own[:] = sorted(own)[:k]
+        rows = [(number, toxic, terms, counts) for (terms, counts), own in kept.items() for number, toxic in sorted(own)[:k]]
+        columns = zip(*rows, strict=True) if rows else ([],) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "toxic", "terms", "counts"])
+
+    # Each task leaves k rows of a vector at most, so the windows stay small however many examples are equal.
+    few = map_arrow(taken.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "terms", "counts"), first, "doc_id long, toxic int, terms array<int>, counts array<int>")
+    return few.withColumn("place", F.row_number().over(Window.partitionBy("terms", "counts").orderBy("doc_id"))).filter(F.col("place") <= k).drop("place")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,20 +204,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = written(_capped(known, 1, bounds.toxic_rows).unionByName(_capped(known, 0, bounds.other_rows)), "toxic-sample")
-    # At most toxic_rows + other_rows ids, whatever the input.
-    sample = rows.join(F.broadcast(chosen), "doc_id")
-    terms = marker_terms(sample, bounds)
+    known = written(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter("toxic in (0, 1)"), "toxic-labels")
+    # Texts without a label are not moved.
+    labelled = maybe_among(rows.filter("doc_id is not null"), "doc_id", known.select("doc_id"), "__toxic_maybe").filter("__toxic_maybe").select("doc_id", "text")
+    terms = marker_terms(labelled.join(known, "doc_id"), bounds)
     vectors = written(term_vectors(rows, terms), "term-vectors")
     total = vectors.count()
     df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1e-3 for i in range(len(terms))])
-    taken = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    taken = written(vectors.join(known, "doc_id").dropDuplicates(["doc_id"]), "toxic-examples")
     without = taken.filter(F.size("terms") == 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()
     plain = {int(r["toxic"] == 1): r["n"] for r in without}
     base = (plain.get(1, 0) + 0.05) / (plain.get(0, 0) + plain.get(1, 0) + 1.0)
-    examples = [(r["doc_id"], int(r["toxic"] == 1), r["terms"], r["counts"]) for r in taken.filter(F.size("terms") > 0).collect()]
+    examples = [(r["doc_id"], int(r["toxic"] == 1), r["terms"], r["counts"]) for r in distinct_examples(taken.filter(F.size("terms") > 0), bounds.neighbours).collect()]
     shared = spark.sparkContext.broadcast(BlockIndex(examples, idf, bounds))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -519,6 +519,14 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in score_toxicity(docs, known.limit(0)).collect()} == {0}
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    texts = ["vile words"] * 20 + ["plain text"] * 9020 + ["vile words", None]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(9040)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in score_toxicity(documents(spark, texts), labels).filter("doc_id >= 9040").collect()}
+    assert got[9041]["score"] == pytest.approx(20.05 / 9021) and got[9040]["predicted"] == 1
+    assert [e["doc_id"] for e in got[9040]["evidence"]] == [0, 1, 2]
+
+
 def test_toxicity_held_out(spark, sf_dir):
     found = registered.op9_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("toxic = 0").collect()
     assert sum(r["predicted"] for r in found) <= 0.1 * len(found)
