@@ -35,7 +35,6 @@ BEGINNINGS = (4, 5, 6, 7)
 class Bounds:
     """What makes a marker, and the constants of the vote."""
 
-    terms: int = 2048
     least_rows: int = 3
     least_z: float = 4.0
     least_odds: float = 2.0
@@ -85,7 +84,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marker_terms(sample: DataFrame, bounds: Bounds = Bounds()) -> list[str]:
-    """The terms with the highest z-scores of their log odds in toxic rows of ``sample`` (text, toxic) against the others."""
+    """All terms whose log odds in toxic rows of ``sample`` (text, toxic) against the others pass the bounds, highest z-scores first."""
     sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return []
@@ -95,7 +94,7 @@ def marker_terms(sample: DataFrame, bounds: Bounds = Bounds()) -> list[str]:
     odds = F.log(F.col("a") / (F.lit(sizes[True] + 1.0) - F.col("a"))) - F.log(F.col("b") / (F.lit(sizes[False] + 1.0) - F.col("b")))
     z = odds / F.sqrt(1 / F.col("a") + 1 / F.col("b"))
     strong = counted.filter(F.col("a") > bounds.least_rows).withColumns({"odds": odds, "z": z}).filter((F.col("z") >= bounds.least_z) & (F.col("odds") >= bounds.least_odds))
-    return [r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(bounds.terms).select("term").collect()]
+    return [r["term"] for r in strong.orderBy(F.desc("z"), "term").select("term").collect()]
 
 
 def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from lectern.llm.ngram_join import Join, announced, drop_near_duplicates, jaccar
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.telephony import adpcm_samples, alaw_table, encode_media, media_features, mulaw_table, resampled, wav_codes, wav_file, write_pcm
 from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, read_documents, verified_documents, write_store
-from lectern.llm.toxicity import BlockIndex, Bounds, score_toxicity
+from lectern.llm.toxicity import BlockIndex, Bounds, marker_terms, score_toxicity
 from lectern.llm.url_filter import judge_urls
 from lectern.llm.word_bpe import bpe_round_trip, loaded
 
@@ -527,6 +527,13 @@ def test_toxicity_learns_from_all_labels(spark):
     assert [e["doc_id"] for e in got[9040]["evidence"]] == [0, 1, 2]
 
 
+def test_all_markers_are_kept(spark):
+    words = [f"{i:04d}x" for i in range(2100)]
+    bad = [(" ".join(words[j] for j in range(i % 20, 2100, 20)), 1) for i in range(100)]
+    sample = spark.createDataFrame([*bad, *[("plain text", 0)] * 5000], "text string, toxic int")
+    assert {w + " " for w in words} <= set(marker_terms(sample))
+
+
 def test_toxicity_held_out(spark, sf_dir):
     found = registered.op9_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("toxic = 0").collect()
     assert sum(r["predicted"] for r in found) <= 0.1 * len(found)
