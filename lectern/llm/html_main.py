@@ -1,9 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 Every element's subtree is hashed. Spark counts, for each host, on how many pages with different content a subtree
-occurs; subtrees that recur across many are the site's template and are deleted. Copies of one article count once,
-and paragraphs, headings and the like inside an article are never taken for template, since
-articles may share passages. What is left of the article loses its menus, notices, adverts, forms and comments, by
+occurs; containers that recur across many, and across a share of the host's pages, are the site's template and are deleted.
+Copies of one article count once, and paragraphs, headings, inline elements and parts of tables and lists are never taken
+for template, nor are whole lists, tables and figures inside an article, since articles may share passages. What is left of the article loses its menus, notices, adverts, forms and comments, by
 element and by the words of class, id and role.
 """
 
@@ -23,13 +23,17 @@ from lectern.llm.url_filter import host_and_path
 
 #: Pages of different content on which a subtree recurs before it counts as template.
 RECURRING = 10
+#: And the share of the host's pages of different content on which it recurs.
+SHARE = 0.25
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("head script style title textarea xmp iframe noembed noframes noscript template nav footer aside form button select input object canvas svg menu dialog".split())
-CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption b i em strong a span article main body html".split())
+#: Elements that may be template inside an article, and elsewhere; custom elements, too, where they hold blocks.
+CONTAINERS = frozenset("div section aside nav header footer form center details dialog fieldset menu hgroup search".split())
+OUTSIDE = CONTAINERS | frozenset("ul ol dl table figure address button select object canvas svg".split())
 MAIN = frozenset("article main".split())
 #: A start tag closes the open elements named, as far as the nearest of the scope.
 CLOSES = {**dict.fromkeys("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), frozenset({"p"})), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
@@ -148,18 +152,21 @@ class Page:
 
     def templates(self) -> tuple[str, list[tuple[int, bytes]]]:
         """(digest of the main text, candidates for template): elements with text that may be deleted, and their digests."""
-        inside, filled = [False] * len(self.tags), [False] * len(self.tags)
+        inside, filled, blocks = [False] * len(self.tags), [False] * len(self.tags), [False] * len(self.tags)
         for i in range(1, len(self.tags)):
             inside[i] = inside[self.parents[i]] or self.tags[self.parents[i]] in MAIN
         for i in range(len(self.tags) - 1, 0, -1):
             filled[i] = filled[i] or any(isinstance(c, str) and not c.isspace() for c in self.children[i])
             if filled[i]:
                 filled[self.parents[i]] = True
+            if blocks[i] or self.tags[i] in BLOCK:
+                blocks[self.parents[i]] = True
         holds_main = [False] * len(self.tags)
         for i in range(len(self.tags) - 1, 0, -1):
             if holds_main[i] or self.tags[i] in MAIN:
                 holds_main[self.parents[i]] = True
-        found = [(i, d) for i, d in enumerate(self.hashes()) if i and filled[i] and self.tags[i] not in CONTENT and self.tags[i] not in RAW and not holds_main[i] and not self.tags[i] == "head"]
+        container = [self.tags[i] in (CONTAINERS if inside[i] else OUTSIDE) or "-" in self.tags[i] and blocks[i] for i in range(len(self.tags))]
+        found = [(i, d) for i, d in enumerate(self.hashes()) if i and filled[i] and container[i] and not holds_main[i]]
         return hashlib.blake2b(self.main_text().encode("utf-8", "replace"), digest_size=8).hexdigest(), found
 
 
@@ -169,7 +176,7 @@ def page_key(host: str, source: str) -> int:
 
 
 def template_elements(pages: DataFrame, recurring: int = RECURRING) -> DataFrame:
-    """(page, elements): numbers of the elements of a page (by its key) that recur on ``recurring`` or more pages of its host.
+    """(page, elements): numbers of the elements of a page (by its key) that recur on ``recurring`` or more pages of its host, and on ``SHARE`` of them.
 
     ``pages`` has host and html. Counting goes by (host, subtree) after distinct content, so a hot host spreads out.
     """
@@ -181,13 +188,17 @@ def template_elements(pages: DataFrame, recurring: int = RECURRING) -> DataFrame
                 for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     content, found = Page(source).templates()
                     key = page_key(host, source)
+                    # Every page has a row without a subtree, by which the host's pages are counted.
+                    rows.append((host, key, None, None, content))
                     rows += [(host, key, int.from_bytes(d, "little", signed=True), i, content) for i, d in found]
                 columns = zip(*rows, strict=True) if rows else ([],) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["host", "page", "subtree", "element", "content"])
 
     found = written(map_arrow(pages.select("host", "html"), subtrees, "host string, page long, subtree long, element int, content string"), "subtrees")
     counts = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= recurring)
-    doomed = salted_join(found, counts.select("host", "subtree"), ["host", "subtree"], F.col("page"), "inner")
+    pages_of = counts.filter("subtree is null").select("host", F.col("n").alias("pages"))
+    counts = salted_join(counts.filter("subtree is not null"), pages_of, ["host"], F.col("subtree"), "inner").filter(F.col("n") >= F.col("pages") * SHARE)
+    doomed = salted_join(found.filter("subtree is not null"), counts.select("host", "subtree"), ["host", "subtree"], F.col("page"), "inner")
     return written(doomed.select("page", "element").distinct().groupBy("page").agg(F.collect_list("element").alias("elements")), "template-elements")
 
 

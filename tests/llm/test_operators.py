@@ -445,6 +445,16 @@ def test_site_templates(spark):
     assert main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_article_parts_are_not_templates(spark):
+    parts = "<p>H<sub>2</sub>O <code>None</code></p><table><tr><td>Yes</td></tr></table><ul><li>One</li></ul>"
+    pages = [(i, "http://h.org/x", f"<body><article><p>Story {i}</p>{parts}</article></body>") for i in range(12)]
+    pages += [(100 + i, "http://bare.org/x", f"<body><p>Tale {i}</p><p>x<sup>1</sup></p><table><tr><td>Yes</td></tr><tr><td>{i}</td></tr></table></body>") for i in range(12)]
+    pages += [(200 + i, "http://many.org/x", f"<body><article><p>Note {i}</p>{'<div><p>Shared</p></div>' if i < 11 else ''}<div><p>Promo</p></div></article></body>") for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 H2O None Yes One" and got[103] == "Tale 3 x1 Yes 3"
+    assert got[203] == "Note 3 Shared" and got[230] == "Note 30"
+
+
 # 8: URL filter
 
 
