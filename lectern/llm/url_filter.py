@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import LOWER, UPPER, salted_join, written
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Levels of the tree that are compared by counts; deeper segments keep their shapes, however deep.
-LEVELS, MANY, VARIED, PRIOR_ROWS, NEAR, REJECT_BELOW = 4, 12, 0.3, 4, 0.25, 0.5
+MANY, VARIED, PRIOR_ROWS, NEAR, REJECT_BELOW = 12, 0.3, 4, 0.25, 0.5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -52,20 +51,41 @@ def _place(depth: int) -> dict[str, Column]:
     return {"above": F.array_join(F.slice("template", 1, depth), "\n"), "own": F.coalesce(F.get("template", F.lit(depth)), F.lit("")), "below": F.array_join(F.slice("template", depth + 2, F.greatest(F.size("template"), F.lit(1))), "\n")}
 
 
-def path_templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _next_depth(tree: DataFrame, depth: int) -> int | None:
+    """The first depth from ``depth`` on at which templates that agree above it differ; none where all are alone."""
+    groups = tree.groupBy("host", F.slice("template", 1, depth).alias("above")).agg(F.min("template").alias("a"), F.max("template").alias("b")).filter("a <> b")
+    # The first and the last template of a group have no more in common than all of it.
+    same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
+    return groups.agg((F.min(F.array_position(same, False)) - 1).cast("int").alias("depth")).first()["depth"]
+
+
+def _by_level(tree: DataFrame, change) -> DataFrame:
+    """``change(tree, depth)`` from the root down to the deepest level with a choice; rows that end above a level leave the loop."""
+    ended, depth = [], _next_depth(tree, 0)
+    while depth is not None:
+        ended.append(tree.filter(F.size("template") <= depth))
+        tree = written(change(tree.filter(F.size("template") > depth), depth), "url-tree")
+        depth = _next_depth(tree, depth + 1)
+    for part in ended:
+        tree = tree.unionByName(part)
+    return written(tree, "url-tree")
+
+
+def path_templates(pages: DataFrame) -> DataFrame:
     """(host, shape, template, pages, good, bad): the template of each shaped path of ``pages`` (host, shape, label)."""
     label = lambda v: F.sum(F.when(F.col("label") == v, 1).otherwise(0))
     tree = pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), label("allow").alias("good"), label("block").alias("bad"))
-    tree = tree.withColumn("template", F.filter(F.split("shape", "/"), lambda s: s != ""))
-    for depth in range(levels):
-        values = tree.filter(F.size("template") > depth).withColumns(_place(depth)).groupBy("host", "above", "own").agg(F.sum("pages").alias("n"))
+    tree = written(tree.withColumn("template", F.filter(F.split("shape", "/"), lambda s: s != "")).select("host", "shape", "template", "pages", "good", "bad"), "url-tree")
+
+    def varied(tree: DataFrame, depth: int) -> DataFrame:
+        values = tree.withColumns(_place(depth)).groupBy("host", "above", "own").agg(F.sum("pages").alias("n"))
         siblings = values.groupBy("host", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
-        tree = _starred(tree, depth, (F.col("values") >= MANY) & (F.col("values") >= F.col("n") * VARIED), siblings.filter(F.col("values") >= MANY), ["host", "above"])
-    tree = written(tree, "url-tree")
-    for depth in range(levels):
-        alike = _alike(tree.filter(F.size("template") > depth).withColumns(_place(depth)))
-        tree = written(_starred(tree, depth, F.col("alike"), alike, ["host", "above", "own"]), "url-tree")
-    return tree
+        return _starred(tree, depth, (F.col("values") >= MANY) & (F.col("values") >= F.col("n") * VARIED), siblings.filter(F.col("values") >= MANY), ["host", "above"])
+
+    def merged(tree: DataFrame, depth: int) -> DataFrame:
+        return _starred(tree, depth, F.col("alike"), _alike(tree.withColumns(_place(depth))), ["host", "above", "own"])
+
+    return _by_level(_by_level(tree, varied), merged)
 
 
 def _purity(good: str, bad: str, prior: float = 0.75) -> Column:
@@ -92,7 +112,7 @@ def _alike(placed: DataFrame) -> DataFrame:
     return tested.join(several, ["host", "above"], "left_semi").select("host", "above", "own", "alike")
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, levels: int = LEVELS) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """Verdict for each row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
     The verdict is the longest fitting rule's; where none fits, a template whose smoothed purity is under
@@ -107,7 +127,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule, label = matching_rule(F.col("host"), F.col("path"), rules)
     shape = F.regexp_replace("path", r"[0-9]+", "#")
     rows = cut.withColumns({"rule": rule, "label": label, "shape": shape})
-    tree = path_templates(rows, levels)
+    tree = path_templates(rows)
     totals = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("purity", _purity("good", "bad"))
     judged = tree.select("host", "shape", "template").join(totals.select("host", "template", "purity"), ["host", "template"])
     judged = judged.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")

@@ -491,6 +491,13 @@ def test_templates_learn_from_rules(spark):
     assert {r["template"] for r in judge_urls(rows, rules=bad).collect()} == {"/*/#"}
 
 
+def test_deep_templates_learn_from_rules(spark):
+    langs = ["es", "fr", *"ab cd ef gh ij kl mn op qr st uv wx".split()]
+    urls = [f"http://a.net/{langs[i % 2] if i < 20 else langs[2 + i % 12]}/a/b/c/d/slug{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == 40 and {r["template"] for r in got} == {"/*/a/b/c/d/*"} and {r["verdict"] for r in got} == {"block"}
+
+
 # 9: toxicity
 
 
