@@ -1,248 +1,317 @@
 """Toxicity of texts by their nearest labelled examples.
 
-Texts are TF-IDF vectors over marker terms: words and beginnings of words, and their repetition, that labelled toxic texts have
-significantly more often than others. The examples, labelled rows with a vector that is not empty, are held as an inverted index whose postings lie in
-blocks of examples with the largest weight of each term in each block. A query's blocks are visited by their bounds,
-and those that cannot beat the k-th best cosine are skipped; the neighbours found are exact. Votes weighted by
-similarity, shrunk towards the rate of labelled texts without marker terms, give a score, and the neighbours are
-its evidence.
-
-The markers are chosen, and the examples taken, from all labelled rows; document frequencies are counted over all
-documents, and every document is scored. Of examples with equal vectors the first k are held: no others can be among the k nearest.
+Texts are TF-IDF vectors over all words of the examples. A word's weight is (1 + ln tf) * idf * rf**2: idf counts all documents, rf
+is the relevance frequency log2(2 + r), r being how much more frequent the word is in toxic examples than in others. The
+examples are held as an inverted index whose postings lie in blocks of examples with the largest weight of each word
+in each block. A query's blocks are visited by their bounds, and those that cannot reach the k-th best cosine
+are skipped; the neighbours found are exact. Votes weighted by similarity are calibrated by a logistic curve
+that is fitted to the votes of the examples on each other, and the neighbours are the evidence.
+
+The classifier is fitted on a bounded sample of the labelled rows (``Bounds.examples``, both labels at one rate, by a hash of the id).
+Document frequencies are counted over all documents, and every document is scored. The index has a
+size bound with the sample, so it is broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, maybe_among, sliced, written
+from lectern.llm.common import map_arrow, sliced, written
+from lectern.shipping import ship
 
 WORD = re.compile(r"\w+")
-#: Beginnings of words that count as terms besides whole words.
-BEGINNINGS = (4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What makes a marker, and the constants of the vote."""
+    """Labelled rows to learn from at most; neighbours that vote; examples in a block; rows of the mean rate that smooth a word's counts; weight of the mean rate in a vote."""
 
-    least_rows: int = 3
-    least_z: float = 4.0
-    least_odds: float = 2.0
+    examples: int = 4000
     neighbours: int = 15
-    block: int = 64
+    block: int = 32
+    smoothing: float = 5.0
     shrink: float = 0.5
 
 
-#: Terms of which a task holds the counts before it gives them on.
-HELD_TERMS = 200_000
-#: Counts in one text from which a term that repeats is a term of its own.
-REPEATS = (2, 3)
+#: Results of equal texts that a task keeps; similarity from which an example does not vote on a copy of itself.
+KEPT_RESULTS, SAME = 20_000, 0.95
 
 
-def terms_of(word: str) -> list[str]:
-    """The term of a whole word is marked by a final blank, so that it differs from an equal beginning."""
-    return [word + " ", *[word[:n] for n in BEGINNINGS if len(word) > n]]
+def word_counts(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
 
 
-def repeated(term: str, times: int) -> str:
-    """The term of a text that has ``term`` so many times or more."""
-    return f"{term}*{times}"
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one behind the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-def text_terms(counts: Counter) -> list[str]:
-    """All terms of a text, given how often each word or beginning occurs."""
-    return [*counts, *[repeated(t, k) for t, c in counts.items() for k in REPEATS if c >= k]]
+class BlockIndex:
+    """Examples (id, toxic, word numbers, counts) as unit vectors in an inverted index with block maxima; ``nearest`` finds the exact k best cosines."""
+
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: np.ndarray, bounds: Bounds):
+        self.bounds, self.weight = bounds, weight
+        use = np.bincount(np.concatenate([np.zeros(0, np.int64), *[e[2] for e in examples]]), minlength=len(weight))
+        vectors = [(i, toxic, terms, self.unit(terms, counts)) for i, toxic, terms, counts in examples if len(terms)]
+        # Like examples lie together, so that bounds of blocks are tight: by their commonest word, mostly of one language, then the strongest.
+        vectors.sort(key=lambda e: (int(e[2][np.argmax(use[e[2]])]), int(e[2][np.argmax(e[3])]), e[0]))
+        self.ids = [v[0] for v in vectors]
+        self.labels = np.array([v[1] for v in vectors], np.float64)
+        self.vectors = [(v[2], v[3]) for v in vectors]
+        terms = np.concatenate([np.zeros(0, np.int64), *[v[2] for v in vectors]])
+        owner = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
+        weights = np.concatenate([np.zeros(0), *[v[3] for v in vectors]])
+        order = np.lexsort((owner, terms))
+        self.owner, self.weights = owner[order], weights[order]
+        # One entry for each word and block that has it: the block, the largest weight, where its postings begin.
+        cell = terms[order] * (self.blocks + 1) + self.owner // bounds.block
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.block = (self.owner // bounds.block)[first]
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.begin = np.append(first, len(self.owner))
+        self.entry = np.searchsorted(terms[order][first], np.arange(len(weight) + 1))
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // self.bounds.block)
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        return w / math.sqrt(float(w @ w) or 1.0)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, below: float = math.inf) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest with a cosine above 0 (and under ``below``), best first, ties by example; ``terms`` ascend, ``weights`` is their unit vector."""
+        entries = _ranges(self.entry[terms], self.entry[terms + 1])
+        if not len(entries):
+            return []
+        query = np.repeat(weights, self.entry[terms + 1] - self.entry[terms])
+        block, k = self.block[entries], self.bounds.neighbours
+        limits = np.bincount(block, query * self.most[entries], self.blocks)
+        order = np.argsort(-limits, kind="stable")
+        order, done, step = order[: int((limits > 0).sum())], 0, 4
+        best, near = np.zeros(0), np.zeros(0, np.int64)
+        while done < len(order) and (len(best) < k or limits[order[done]] + 1e-9 >= best[-1]):
+            part = order[done : done + step]
+            if len(best) == k:
+                part = part[limits[part] + 1e-9 >= best[-1]]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            own = np.flatnonzero(chosen[block])
+            starts, ends = self.begin[entries[own]], self.begin[entries[own] + 1]
+            at = _ranges(starts, ends)
+            sums = np.bincount(self.owner[at], np.repeat(query[own], ends - starts) * self.weights[at], len(self.ids))
+            found = np.flatnonzero(sums)
+            values = np.round(sums[found], 9)
+            found, values = found[values < below], values[values < below]
+            best, near = np.concatenate([best, values]), np.concatenate([near, found])
+            first = np.lexsort((near, -best))[:k]
+            best, near = best[first], near[first]
+            done, step = done + step, step * 4
+        return list(zip(best.tolist(), near.tolist(), strict=True))
+
+    def vote(self, near: list[tuple[float, int]], base: float) -> float:
+        """The share of toxic examples among the neighbours, weighted by similarity and shrunk towards ``base``, as log odds."""
+        weight, toxic = sum(s for s, _ in near), sum(s * self.labels[i] for s, i in near)
+        share = (toxic + self.bounds.shrink * base) / (weight + self.bounds.shrink)
+        return math.log(share / (1 - share))
+
+
+@dataclass
+class Model:
+    """The index (None where either label is missing), the rate of toxic rows, the curve from votes to scores."""
+
+    index: BlockIndex | None
+    base: float
+    curve: tuple[float, float] = (0.0, 1.0)
+
+    def score(self, vote: float) -> float:
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.curve[0] + self.curve[1] * vote))))
+
+
+def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Logistic regression of labels on votes, drawn a little to (0, 1), the curve that changes nothing; by Newton steps."""
+    x, curve = np.stack([np.ones(len(votes)), votes], 1), np.array([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (labels - p) - (curve - [0.0, 1.0]))
+        curve = curve + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(curve[0]), float(max(curve[1], 0.0))
+
+
+def examples_of(rows: DataFrame, labels: DataFrame, bounds: Bounds) -> DataFrame:
+    """(doc_id, toxic, words, counts): at most ``bounds.examples`` labelled rows of ``rows``, the first by a hash of the id.
+
+    Ids are chosen before texts move; the broadcast has ``bounds.examples`` rows at most.
+    """
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.join(rows.select("doc_id").distinct(), "doc_id")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.examples)
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("print"), "text"))["text"].alias("text"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, column=2):
+            found = [word_counts(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "counts"])
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    return map_arrow(texts, count, "doc_id long, toxic int, words array<string>, counts array<int>")
 
-    def given(toxic: bool) -> pa.RecordBatch:
-        found = counts[toxic]
-        batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.bool_()), pa.array(list(found.values()), pa.int64())], names=["term", "toxic", "n"])
-        found.clear()
-        return batch
 
-    for batch in sliced(batches, column=0):
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[bool(toxic)].update(text_terms(Counter(t for w in WORD.findall((text or "").lower()) for t in terms_of(w))))
-        for toxic, found in counts.items():
-            if len(found) > HELD_TERMS:
-                yield given(toxic)
-    for toxic in counts:
-        yield given(toxic)
+def document_frequencies(rows: DataFrame, words) -> np.ndarray:
+    """In how many of all ``rows`` (text) each of ``words`` (a broadcast name and array) occurs; tasks count, Spark sums."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _numbers(words)
+        found = np.zeros(len(numbers), np.int64)
+        for batch in sliced(batches, column=0):
+            own = [numbers[w] for t in batch.column(0).to_pylist() for w in set(WORD.findall((t or "").lower())) if w in numbers]
+            found += np.bincount(np.array(own, np.int64), minlength=len(found))
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["word", "n"])
 
-def marker_terms(sample: DataFrame, bounds: Bounds = Bounds()) -> list[str]:
-    """All terms whose log odds in toxic rows of ``sample`` (text, toxic) against the others pass the bounds, highest z-scores first."""
-    sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return []
-    a = F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)) + F.lit(0.5)
-    b = F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)) + F.lit(0.5)
-    counted = map_arrow(sample.select("text", (F.col("toxic") == 1).alias("toxic")), _presence, "term string, toxic boolean, n long").groupBy("term").agg(a.alias("a"), b.alias("b"))
-    odds = F.log(F.col("a") / (F.lit(sizes[True] + 1.0) - F.col("a"))) - F.log(F.col("b") / (F.lit(sizes[False] + 1.0) - F.col("b")))
-    z = odds / F.sqrt(1 / F.col("a") + 1 / F.col("b"))
-    strong = counted.filter(F.col("a") > bounds.least_rows).withColumns({"odds": odds, "z": z}).filter((F.col("z") >= bounds.least_z) & (F.col("odds") >= bounds.least_odds))
-    return [r["term"] for r in strong.orderBy(F.desc("z"), "term").select("term").collect()]
+    summed = map_arrow(rows.select("text"), count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words.value[1]), np.int64)
+    out[summed.column("word").to_numpy()] = summed.column("n").to_numpy()
+    return out
 
 
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts) of every row of ``docs`` (doc_id, text): numbers of the marker terms it has, ascending, and how often."""
-    numbers = {t: i for i, t in enumerate(terms)}
-    plain = {t.partition("*")[0] for t in terms}
+_NUMBERS: dict[str, dict[str, int]] = {}
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
-        for batch in sliced(batches):
-            found = []
-            for text in batch.column(1).to_pylist():
-                counts: Counter = Counter()
-                for word in WORD.findall((text or "").lower()):
-                    if (own := known.get(word)) is None:
-                        own = known[word] = tuple(t for t in terms_of(word) if t in plain)
-                    if own:
-                        counts.update(own)
-                own_terms = {t: counts.get(t, 1) for t in text_terms(counts) if t in numbers}
-                found.append(sorted((numbers[t], c) for t, c in own_terms.items()))
-                if len(known) > 100_000:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
-
-    return map_arrow(docs.select("doc_id", "text"), measure, "doc_id long, terms array<int>, counts array<int>")
 
+def _numbers(words) -> dict[str, int]:
+    """Numbers of the words of a broadcast (name, array); made once for each worker."""
+    name, array = words.value
+    if name not in _NUMBERS:
+        _NUMBERS.clear()
+        _NUMBERS[name] = {w: i for i, w in enumerate(array.to_pylist())}
+    return _NUMBERS[name]
 
-class BlockIndex:
-    """Examples as unit vectors in an inverted index with block maxima; ``nearest`` finds the exact k best cosines."""
-
-    def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, bounds: Bounds):
-        self.bounds, self.idf = bounds, idf
-        # Like examples lie together, so that bounds of blocks are tight.
-        examples = sorted((e for e in examples if e[2]), key=lambda e: (max(e[2], key=lambda t: (idf[t], t)), e[2], e[0]))
-        self.ids = [e[0] for e in examples]
-        self.labels = np.array([e[1] for e in examples], np.float64)
-        self.blocks = -(-len(examples) // bounds.block)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, (_, _, terms, counts) in enumerate(examples):
-            for t, w in zip(terms, self.weights(terms, counts), strict=True):
-                postings.setdefault(t, []).append((at, float(w)))
-        # Of each term: the blocks that have it, its largest weight in each, and where their postings begin.
-        self.postings, self.held, self.most, self.cuts = {}, {}, {}, {}
-        for t, entries in postings.items():
-            at, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            self.held[t], first = np.unique(at // bounds.block, return_index=True)
-            self.postings[t], self.most[t] = (at, w), np.maximum.reduceat(w, first)
-            self.cuts[t] = np.append(first, len(at))
-
-    def weights(self, terms: list[int], counts: list[int]) -> np.ndarray:
-        """Unit vector of (1 + ln tf) * idf."""
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[terms]
-        return w / math.sqrt(float((w * w).sum()))
-
-    def nearest(self, terms: list[int], counts: list[int]) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above 0, best first, ties by example."""
-        query = [(t, q) for t, q in zip(terms, self.weights(terms, counts), strict=True) if t in self.postings]
-        if not query:
-            return []
-        limits, k = np.zeros(self.blocks), self.bounds.neighbours
-        for t, q in query:
-            limits[self.held[t]] += q * self.most[t]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-limits, kind="stable").tolist():
-            if limits[block] <= 0 or len(best) == k and limits[block] + 1e-12 < best[-1][0]:
-                break
-            sums, base = np.zeros(self.bounds.block), block * self.bounds.block
-            for t, q in query:
-                i = int(np.searchsorted(self.held[t], block))
-                if i < len(self.held[t]) and self.held[t][i] == block:
-                    (at, w), a, b = self.postings[t], self.cuts[t][i], self.cuts[t][i + 1]
-                    sums[at[a:b] - base] += q * w[a:b]
-            own = [(round(float(sums[i]), 12), base + int(i)) for i in np.flatnonzero(sums > 0)]
-            best = sorted(best + own, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-
-def distinct_examples(taken: DataFrame, k: int) -> DataFrame:
-    """Of the rows of ``taken`` (doc_id, toxic, terms, counts) with equal vectors the ``k`` with the smallest ids: their cosines are equal, so no others are among the k nearest."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, list[tuple[int, int]]] = {}
-        for batch in batches:
-            for number, toxic, terms, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = kept.setdefault((tuple(terms), tuple(counts)), [])
-                own.append((number, toxic))
-                if len(own) > 4 * k:
-                    own[:] = sorted(own)[:k]
-        rows = [(number, toxic, terms, counts) for (terms, counts), own in kept.items() for number, toxic in sorted(own)[:k]]
-        columns = zip(*rows, strict=True) if rows else ([],) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "toxic", "terms", "counts"])
 
-    # Each task leaves k rows of a vector at most, so the windows stay small however many examples are equal.
-    few = map_arrow(taken.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "terms", "counts"), first, "doc_id long, toxic int, terms array<int>, counts array<int>")
-    return few.withColumn("place", F.row_number().over(Window.partitionBy("terms", "counts").orderBy("doc_id"))).filter(F.col("place") <= k).drop("place")
+def learn_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id_col: str = "doc_id", text_col: str = "text") -> tuple:
+    """What scores texts: (broadcast words, broadcast model), learned from ``labels`` (doc_id, toxic) and the documents' texts.
+
+    Labels that are null, neither 0 nor 1, or without a document are not used; of several for one id the highest counts; of
+    several rows with one id one is an example.
+    """
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # The sample's size is bounded, so it may pass through the driver.
+    found = written(examples_of(rows, labels, bounds), "toxic-examples").toArrow().sort_by("doc_id")
+    toxic = found.column("toxic").to_numpy().astype(np.int64)
+    total = len(toxic)
+    base = (float(toxic.sum()) + 0.05) / (total + 1.0)
+    lists = found.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    words = context.broadcast((uuid.uuid4().hex, coded.dictionary))
+    terms, counts = coded.indices.to_numpy().astype(np.int64), found.column("counts").combine_chunks().flatten().to_numpy()
+    if not 0 < toxic.sum() < total:
+        return words, context.broadcast(Model(None, base))
+    cuts = np.cumsum(lists.value_lengths().to_numpy())[:-1]
+    n_docs, df = rows.count(), document_frequencies(rows, words)
+    with_toxic = np.bincount(terms, np.repeat(toxic, lists.value_lengths().to_numpy()), len(df))
+    with_other = np.bincount(terms, minlength=len(df)) - with_toxic
+    rate = toxic.sum() / total
+    ratio = (with_toxic + bounds.smoothing * rate) / (with_other + bounds.smoothing * (1 - rate)) * (1 - rate) / rate
+    weight = (np.log((n_docs + 1) / (df + 1)) + 1e-3) * np.log2(2 + ratio) ** 2
+    parts = []
+    for doc, label, own, n in zip(found.column("doc_id").to_pylist(), toxic.tolist(), np.split(terms, cuts), np.split(counts, cuts), strict=True):
+        order = np.argsort(own)
+        parts.append((doc, label, own[order], n[order]))
+    model = Model(BlockIndex(parts, weight, bounds), base)
+    shared = context.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value.index
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.vote(index.nearest(*index.vectors[i], below=SAME), base) for i in own], pa.float64())], names=["at", "vote"])
+
+    numbers = docs.sparkSession.range(0, len(model.index.ids), 1, max(1, min(64, len(model.index.ids) // 50))).select(F.col("id").alias("at"))
+    cast = map_arrow(numbers, votes, "at long, vote double").toArrow().sort_by("at")
+    model.curve = fitted_curve(cast.column("vote").to_numpy(), model.index.labels)
+    model.index.vectors = []
+    return words, context.broadcast(model)
+
+
+def _scorer(learned: tuple) -> Callable[[list[str | None]], list[tuple[float, list[dict]]]]:
+    """A function from texts to (score, evidence) for use in a task; equal texts are scored once."""
+    words, shared = learned
+    numbers, model, seen = _numbers(words), shared.value, {}
+    index = model.index
+
+    def one(text: str | None) -> tuple[float, list[dict]]:
+        near = []
+        if index is not None:
+            found = sorted((numbers[w], n) for w, n in word_counts(text).items() if w in numbers)
+            if found:
+                terms, counts = np.array(found, np.int64).T
+                near = index.nearest(terms, index.unit(terms, counts))
+            return model.score(index.vote(near, model.base)), [{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "similarity": s} for s, i in near[:3]]
+        return model.base, []
+
+    def score(texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        out = []
+        for text in texts:
+            key = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
+            if (result := seen.get(key)) is None:
+                if len(seen) >= KEPT_RESULTS:
+                    seen.clear()
+                result = seen[key] = one(text)
+            out.append(result)
+        return out
+
+    return score
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, evidence) of every row of ``docs``, learned from ``labels`` (doc_id, toxic).
 
-    evidence is the nearest examples: doc_id, toxic, similarity. Edge cases: null and empty texts, and texts without marker
-    terms, have the smoothed toxic rate of labelled texts without any; without usable labels, of one kind or at all,
-    every score is that rate; labels that are null or without a document are not used, of several for one id the
-    highest counts; very long texts are read whole; repeated rows and null ids are kept; ties among neighbours fall by the
-    order of examples; an empty table gives an empty result; other columns are not read.
+    evidence is the nearest examples: doc_id, toxic, similarity. Edge cases: null and empty texts, and texts without a word of
+    the examples, have no neighbours and the score of the mean rate; without usable labels, or with one kind
+    only, every score is the smoothed rate of toxic rows; very long texts are read whole; repeated rows and null ids are kept; ties among
+    neighbours fall by the order of examples; an empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = written(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter("toxic in (0, 1)"), "toxic-labels")
-    # Texts without a label are not moved.
-    labelled = maybe_among(rows.filter("doc_id is not null"), "doc_id", known.select("doc_id"), "__toxic_maybe").filter("__toxic_maybe").select("doc_id", "text")
-    terms = marker_terms(labelled.join(known, "doc_id"), bounds)
-    vectors = written(term_vectors(rows, terms), "term-vectors")
-    total = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1e-3 for i in range(len(terms))])
-    taken = written(vectors.join(known, "doc_id").dropDuplicates(["doc_id"]), "toxic-examples")
-    without = taken.filter(F.size("terms") == 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    plain = {int(r["toxic"] == 1): r["n"] for r in without}
-    base = (plain.get(1, 0) + 0.05) / (plain.get(0, 0) + plain.get(1, 0) + 1.0)
-    examples = [(r["doc_id"], int(r["toxic"] == 1), r["terms"], r["counts"]) for r in distinct_examples(taken.filter(F.size("terms") > 0), bounds.neighbours).collect()]
-    shared = spark.sparkContext.broadcast(BlockIndex(examples, idf, bounds))
+    learned = learn_toxicity(docs, labels, bounds, id_col, text_col)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, seen = shared.value, {}
-        for batch in batches:
-            out = []
-            for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
-                if (result := seen.get(key)) is None:
-                    near = index.nearest(terms, counts) if terms else []
-                    weight = np.array([s for s, _ in near])
-                    score = float((weight @ index.labels[[i for _, i in near]] if near else 0.0) + bounds.shrink * base) / (float(weight.sum()) + bounds.shrink)
-                    evidence = [{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "similarity": s} for s, i in near[:3]]
-                    result = seen[key] = (min(1.0, max(0.0, score)), evidence)
-                    if len(seen) > 100_000:
-                        seen.clear()
-                out.append(result)
+        score = _scorer(learned)
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
+        for batch in sliced(batches):
+            out = score(batch.column(1).to_pylist())
             scores = np.array([s for s, _ in out], np.float64)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in out], kind)], names=["doc_id", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), pa.array([e for _, e in out], kind)], names=["doc_id", "score", "predicted", "evidence"])
 
-    return map_arrow(vectors, vote, "doc_id long, score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,similarity:double>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_arrow(rows, vote, "doc_id long, score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,similarity:double>>")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Every row is judged by its own text, so repeated ids, null ids and columns of any name are left as they are. Null and empty
+    texts stay unless most labelled rows are toxic; repeated rows stay or go together; very long texts are read whole; an empty table
+    gives an empty result.
+    """
+    ship(docs.sparkSession)
+    learned = learn_toxicity(docs, labels, bounds, id_col, text_col)
 
+    @F.arrow_udf("double")
+    def toxicity(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = _scorer(learned)
+        for texts in parts:
+            yield pa.concat_arrays([pa.array([s for s, _ in score(texts.slice(first, 300).to_pylist())], pa.float64()) for first in range(0, max(1, len(texts)), 300)])
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    lost = written(score_toxicity(docs, labels, bounds).filter("predicted = 1").select(F.col("doc_id").alias("__toxic_lost")).distinct(), "toxic-ids")
-    keyed = maybe_among(docs.withColumn("__toxic_id", F.col("doc_id").cast("long")), "__toxic_id", lost.select(F.col("__toxic_lost").alias("__toxic_id")), "__toxic_maybe")
-    doubtful = keyed.filter("__toxic_maybe").join(lost, F.col("__toxic_id") == F.col("__toxic_lost"), "left_anti")
-    return keyed.filter("not __toxic_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    return docs.filter(toxicity(F.col(text_col)) < 0.5)

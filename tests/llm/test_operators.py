@@ -25,7 +25,7 @@ from lectern.llm.ngram_join import Join, announced, drop_near_duplicates, jaccar
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.telephony import adpcm_samples, alaw_table, encode_media, media_features, mulaw_table, resampled, wav_codes, wav_file, write_pcm
 from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, read_documents, verified_documents, write_store
-from lectern.llm.toxicity import BlockIndex, Bounds, marker_terms, score_toxicity
+from lectern.llm.toxicity import BlockIndex, Bounds, drop_toxic, score_toxicity
 from lectern.llm.url_filter import judge_urls
 from lectern.llm.word_bpe import bpe_round_trip, loaded
 
@@ -503,52 +503,104 @@ def test_deep_templates_learn_from_rules(spark):
 
 def test_nearest_is_exact():
     rng = random.Random(2)
-    idf = np.array([rng.uniform(0.1, 3) for _ in range(40)])
+    weight = np.array([rng.uniform(0.1, 3) for _ in range(40)])
     examples = []
     for i in range(500):
-        terms = sorted(rng.sample(range(40), rng.randrange(0, 6)))
-        examples.append((i, i % 2, terms, [rng.randrange(1, 4) for _ in terms]))
-    index = BlockIndex(examples, idf, Bounds(block=16, neighbours=7))
+        terms = np.array(sorted(rng.sample(range(40), rng.randrange(0, 6))), np.int64)
+        examples.append((i, i % 2, terms, np.array([rng.randrange(1, 4) for _ in terms], np.int64)))
+    index = BlockIndex(examples, weight, Bounds(block=16, neighbours=7))
     for _ in range(60):
-        terms = sorted(rng.sample(range(40), rng.randrange(1, 6)))
-        counts = [rng.randrange(1, 4) for _ in terms]
-        q = dict(zip(terms, index.weights(terms, counts), strict=True))
-        want = sorted((round(sum(q.get(t, 0) * w for t, w in zip(e[2], index.weights(e[2], e[3]), strict=True)), 9) for e in examples if e[2]), reverse=True)[:7]
-        assert [round(s, 9) for s, _ in index.nearest(terms, counts)] == [w for w in want if w > 0]
-
-
-def test_toxicity(spark):
+        terms = np.array(sorted(rng.sample(range(40), rng.randrange(1, 6))), np.int64)
+        unit = index.unit(terms, np.array([rng.randrange(1, 4) for _ in terms], np.int64))
+        q = dict(zip(terms.tolist(), unit, strict=True))
+        all_of = sorted((round(sum(q.get(t, 0) * w for t, w in zip(e[2].tolist(), index.unit(e[2], e[3]), strict=True)), 6) for e in examples if len(e[2])), reverse=True)
+        found = index.nearest(terms, unit)
+        assert [round(s, 6) for s, _ in found] == [w for w in all_of[:7] if w > 0]
+        assert found == sorted(found, key=lambda x: (-x[0], x[1]))
+        assert [round(s, 6) for s, _ in index.nearest(terms, unit, below=0.8)] == [w for w in all_of if 0 < w < 0.8][:7]
+
+
+def brute_toxicity(texts, labels, bounds=Bounds()):
+    """(log odds of the vote, ids of the neighbours) of each text by dictionaries over the whole vocabulary of the examples."""
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    tf = [{w: ws.count(w) for w in set(ws)} for ws in words]
+    toxic, other = [[i for i, t in labels.items() if t == k] for k in (1, 0)]
+    rate = len(toxic) / len(labels)
+    weight = {}
+    for w in {w for i in labels for w in tf[i]}:
+        df, a, b = sum(w in x for x in tf), sum(w in tf[i] for i in toxic), sum(w in tf[i] for i in other)
+        r = (a + bounds.smoothing * rate) / (b + bounds.smoothing * (1 - rate)) * (1 - rate) / rate
+        weight[w] = (np.log((len(texts) + 1) / (df + 1)) + 1e-3) * np.log2(2 + r) ** 2
+
+    def unit(x):
+        v = {w: (1 + np.log(n)) * weight[w] for w, n in x.items() if w in weight}
+        size = sum(c * c for c in v.values()) ** 0.5
+        return {w: c / size for w, c in v.items()}
+
+    base, units, out = (len(toxic) + 0.05) / (len(labels) + 1), [unit(x) for x in tf], []
+    for u in units:
+        near = sorted(((sum(c * units[i].get(w, 0) for w, c in u.items()), i) for i in labels), reverse=True)[: bounds.neighbours]
+        total = sum(s for s, _ in near)
+        share = (sum(s * labels[i] for s, i in near) + bounds.shrink * base) / (total + bounds.shrink)
+        out.append((np.log(share / (1 - share)), [s for s, _ in near if s > 0]))
+    return out
+
+
+def toxic_texts(n=300):
     rng = random.Random(3)
-    nice, bad = [f"nice{i}" for i in range(300)], ["idiotic", "moronic", "trashy"]
-    rows, labels = [], []
-    for i in range(400):
-        ws = rng.choices(nice, k=30)
+    nice, bad = [f"nice{i}" for i in range(200)], ["idiotic", "moronic", "trashy"]
+    texts, labels = [], {}
+    for i in range(n):
+        ws = rng.choices(nice, k=rng.randrange(8, 40))
         if i % 4 == 0:
             ws[3:5] = rng.sample(bad, 2)
-        rows.append(" ".join(ws))
-        labels.append((i, int(i % 4 == 0), 1))
-    docs = documents(spark, [*rows, None, "", "IDIOTIC moronic"])
-    known = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int, quality int").unionByName(spark.createDataFrame([(None, 1, 1), (2, None, 1), (99999, 1, 1)], "doc_id long, toxic int, quality int"))
-    got = {r["doc_id"]: r for r in score_toxicity(docs, known).collect()}
-    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400)) and got[402]["predicted"] == 1 and got[402]["evidence"]
-    assert got[400]["score"] == got[401]["score"] < 0.5 and all(0 <= r["score"] <= 1 for r in got.values())
-    assert score_toxicity(empty(spark), known).count() == 0
-    assert {r["predicted"] for r in score_toxicity(docs, known.limit(0)).collect()} == {0}
-
-
-def test_toxicity_learns_from_all_labels(spark):
-    texts = ["vile words"] * 20 + ["plain text"] * 9020 + ["vile words", None]
-    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(9040)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r for r in score_toxicity(documents(spark, texts), labels).filter("doc_id >= 9040").collect()}
-    assert got[9041]["score"] == pytest.approx(20.05 / 9021) and got[9040]["predicted"] == 1
-    assert [e["doc_id"] for e in got[9040]["evidence"]] == [0, 1, 2]
-
-
-def test_all_markers_are_kept(spark):
-    words = [f"{i:04d}x" for i in range(2100)]
-    bad = [(" ".join(words[j] for j in range(i % 20, 2100, 20)), 1) for i in range(100)]
-    sample = spark.createDataFrame([*bad, *[("plain text", 0)] * 5000], "text string, toxic int")
-    assert {w + " " for w in words} <= set(marker_terms(sample))
+        texts.append(" ".join(ws))
+        if i % 5:
+            labels[i] = int(i % 4 == 0)
+    return texts, labels
+
+
+def test_toxicity_by_brute_force(spark):
+    """Votes over the whole vocabulary; the calibrated score is one rising curve over them, whatever the partitioning."""
+    texts, labels = toxic_texts()
+    texts += [None, "", "IDIOTIC moronic", "never seen", "nice1 " * 5000, texts[1], texts[1]]
+    docs = documents(spark, texts).withColumn("embedding", F.lit("x"))
+    known = spark.createDataFrame([(i, t, 1) for i, t in labels.items()] + [(None, 1, 1), (2, None, 1), (99999, 1, 1), (3, 7, 1), (4, 0, 1)], "doc_id long, toxic int, quality int")
+    want, runs = brute_toxicity(texts, labels), []
+    for parts in (1, 4, 8, 211):
+        runs.append({r["doc_id"]: r for r in score_toxicity(docs.repartition(parts), known).collect()})
+        assert [round(runs[-1][i]["score"], 9) for i in range(len(texts))] == [round(runs[0][i]["score"], 9) for i in range(len(texts))]
+    got = runs[0]
+    curve = [(got[i]["score"], w[0]) for i, w in enumerate(want)]
+    odds = [np.log(s / (1 - s)) for s, _ in curve]
+    slope, start = np.polyfit([w for _, w in curve], odds, 1)
+    assert slope > 0 and max(abs(start + slope * w - o) for (_, w), o in zip(curve, odds, strict=True)) < 1e-5
+    for i, (_, near) in enumerate(want):
+        assert [e["similarity"] for e in got[i]["evidence"]] == pytest.approx([float(s) for s in near[:3]], abs=1e-8)
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(300)) and got[302]["predicted"] == 1
+    assert got[300]["score"] == got[301]["score"] == got[303]["score"] < 0.5 and len({round(got[i]["score"], 9) for i in range(300)}) > 200
+
+
+def test_toxicity_without_two_labels(spark):
+    texts, labels = toxic_texts(40)
+    docs = documents(spark, texts).repartition(4)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    for rows, rate in (([], 0.05), ([(i, 0) for i in labels], 0.05 / (len(labels) + 1)), ([(i, 1) for i in labels], (len(labels) + 0.05) / (len(labels) + 1))):
+        assert {round(r["score"], 9) for r in score_toxicity(docs, frame(rows)).collect()} == {round(rate, 9)}
+    assert score_toxicity(empty(spark), frame([(1, 1)])).count() == 0 and drop_toxic(empty(spark), frame([(1, 1)])).count() == 0
+    some = score_toxicity(docs, frame(list(labels.items())), Bounds(examples=20)).collect()
+    assert len(some) == 40
+
+
+def test_drop_toxic_goes_by_row(spark):
+    texts, labels = toxic_texts()
+    rows = [*enumerate(texts), (None, "IDIOTIC moronic trashy"), (None, "nice1 nice2 nice3"), (1, "idiotic moronic trashy"), (1, texts[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).repartition(4)
+    known = spark.createDataFrame([x for x in labels.items() if x[0] != 1], "doc_id long, toxic int")
+    kept = drop_toxic(docs, known)
+    assert kept.columns == docs.columns
+    want = [r for r in rows if not ({"idiotic", "moronic", "trashy"} & set((r[1] or "").lower().split()))]
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in kept.collect()])) == sorted(map(str, want))
 
 
 def test_toxicity_held_out(spark, sf_dir):
