@@ -27,10 +27,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session names none, a temporary one, removed at exit."""
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Only a local session may name none: it gets a temporary one, removed at exit. On a cluster such a folder would be another one
+    on every machine, so there it is an error.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lectern-")
         context.setCheckpointDir(folder)
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
