@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.shipping import ship
+from lectern.shipping import checkpoint_folder, ship
 
 #: A word in every contract of this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,22 +20,9 @@ FILTER_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary folder is set, and removed at exit.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(folder)
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared folder; nothing else uses it."""
-    return f"{shared_folder(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,9 +47,9 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Colu
     Each row gets one of ``salts`` numbers from ``spread``; each fact is repeated for every number. No task
     then gets more than a ``salts``-th of a key's rows, whether or not adaptive execution splits it further.
     """
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return rows.join(facts, [*keys, "_salt"], how).drop("_salt")
+    rows = rows.withColumn("__salt__", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    facts = facts.withColumn("__salt__", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(facts, [*keys, "__salt__"], how).drop("__salt__")
 
 
 def maybe_among(rows: DataFrame, key: str, keys: DataFrame, name: str = "maybe") -> DataFrame:
@@ -83,6 +67,23 @@ def maybe_among(rows: DataFrame, key: str, keys: DataFrame, name: str = "maybe")
     return joined.withColumn(name, held).drop("__bit_part", "__bit_at", "__bit_bits")
 
 
+def without_rows(docs: DataFrame, lost: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """``docs`` without the rows that ``lost`` (id, digest, same) names by id, null included, and ``digest`` of the text.
+
+    Where ``same`` is 0 all such rows go; else they are copies of each other, and one of them stays. Rows that are certainly not
+    named are not moved.
+    """
+    key = lambda id_, digest: F.concat_ws(":", digest, id_.cast("string"))
+    keyed = docs.withColumn("__drop_key", key(F.col(id_col), digest))
+    lost = lost.select(key(F.col("id"), F.col("digest")).alias("__drop_key"), F.col("same").alias("__drop_same"))
+    keyed = maybe_among(keyed, "__drop_key", lost, "__drop_maybe")
+    doubtful = salted_join(keyed.filter("__drop_maybe"), lost, ["__drop_key"], F.monotonically_increasing_id(), salts=8).filter("__drop_same is null or __drop_same > 0")
+    # Of copies one stays; all other rows have a number of their own.
+    number = F.when(F.col("__drop_same").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    doubtful = doubtful.withColumn("__drop_row", number).dropDuplicates(["__drop_key", "__drop_row"])
+    return keyed.filter("not __drop_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` by a function of this package, which goes along to the workers."""
     ship(df.sparkSession)

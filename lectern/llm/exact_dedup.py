@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lowered, maybe_among, salted_join, written
+from lectern.llm.common import lowered, maybe_among, salted_join, without_rows, written
 
 
 def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -84,19 +84,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id.
 
-    Of repeated rows with that id one stays. Rows that lose are found first; they alone are joined against.
+    Edge cases as in ``exact_duplicates``: null and empty texts are equal, a class of null ids keeps one row, and of repeated rows
+    with the winning id one stays; very long texts are whole; other columns may have any name; an empty table
+    stays empty. Rows that lose are found first; they alone are joined against.
     """
     if docs.isEmpty():
         return docs
     found = exact_duplicates(docs, id_col, text_col, block_chars)
-    tied = found.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__dedup_same"))
-    lost = found.filter("not kept").select("doc_id", "text_sha256").distinct().withColumn("__dedup_same", F.lit(0).cast("long"))
-    lost = written(lost.unionByName(tied.filter("__dedup_same > 1")), "dedup-lost")
-    keyed = docs.withColumns({"__dedup_id": F.col(id_col).cast("long"), "__dedup_sha": F.sha2(lowered(F.col(text_col)), 256)}).withColumn("__dedup_key", F.xxhash64("__dedup_id", "__dedup_sha"))
-    keyed = maybe_among(keyed, "__dedup_key", lost.select(F.xxhash64(F.col("doc_id").cast("long"), "text_sha256").alias("__dedup_key")), "__dedup_maybe")
-    marks = lost.select(F.col("doc_id").alias("__dedup_lost_id"), F.col("text_sha256").alias("__dedup_lost_sha"), "__dedup_same")
-    doubtful = keyed.filter("__dedup_maybe").join(marks, F.col("__dedup_id").eqNullSafe(F.col("__dedup_lost_id")) & (F.col("__dedup_sha") == F.col("__dedup_lost_sha")), "left").filter("__dedup_same is null or __dedup_same > 1")
-    # Of rows that repeat in id and text one stays, the others have a number of their own.
-    number = F.when(F.col("__dedup_same").isNull(), F.monotonically_increasing_id()).otherwise(-1)
-    doubtful = doubtful.withColumn("__dedup_row", number).dropDuplicates(["__dedup_id", "__dedup_sha", "__dedup_row"])
-    return keyed.filter("not __dedup_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    tied = found.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.count("*").alias("same"))
+    lost = found.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct().withColumn("same", F.lit(0).cast("long"))
+    lost = written(lost.unionByName(tied.filter("same > 1")), "dedup-lost")
+    return without_rows(docs, lost, id_col, F.sha2(lowered(F.col(text_col)), 256))

@@ -4,8 +4,10 @@ A document with weight w gets the key -ln(u) / w, u being uniform and fixed by i
 ascending key is weighted sampling without replacement. Within each source the sizes are prefix-summed in that
 order, and documents are taken until the budget that whole epochs left is spent.
 
-A source may hold a third of all rows, so no window spans one: keys fall into 4,096 bins by their value, sums
-of bins are prefix-summed first, and rows are ordered within a bin only.
+A source may hold a third of all rows, so no window spans one: keys fall into bins by their logarithm, sums
+of bins are prefix-summed first, and rows are ordered within a bin only. A weight shifts the logarithm of all keys alike, so
+whatever the weights are, a bin holds about a thousandth of its source's rows at most. Rows that tie in everything the
+order looks at are counted as one and numbered only where a budget ends among them.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, written
+from lectern.llm.common import WORD, salted_join, written
 
-WEIGHTS, SHARE, MOST_EPOCHS, BINS = (5, 2, 1), 1.5, 2, 4096
+WEIGHTS, SHARE, MOST_EPOCHS, BINS = (5, 2, 1), 1.5, 2, 256
+#: What orders the rows of a source.
+ORDER = ("key", "id", "size", "print")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -46,35 +50,81 @@ def text_quality(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, quality: DataFrame | Column | None, seed: str, with_text: bool = True) -> DataFrame:
-    """``docs`` with __mix: size, key and bin of each row. Labels are joined, after the text where it is not needed; a weight column needs no join."""
+    """``docs`` with __mix_key, __mix_id, __mix_size, __mix_print and __mix_bin. Labels are joined, after the text where it is not needed; a weight column needs no join.
+
+    A row without an id has its key from its text, so such rows do not share one.
+    """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    docs = docs.withColumns({"__mix_size": size, "__mix_weight": F.lit(1.0) if quality is None or isinstance(quality, DataFrame) else quality})
+    docs = docs.withColumns({"__mix_size": size, "__mix_print": F.xxhash64("text"), "__mix_weight": F.lit(1.0) if quality is None or isinstance(quality, DataFrame) else quality})
+    docs = docs.withColumn("__mix_name", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.col("__mix_print").cast("string"))))
     docs, weight = docs if with_text else docs.drop("text"), F.col("__mix_weight")
     if isinstance(quality, DataFrame):
-        marks = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("quality").alias("__mix_quality"))
-        docs = docs.join(marks, docs["doc_id"] == marks["__mix_id"], "left")
+        marks = quality.filter("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("__mix_name")).agg(F.max("quality").alias("__mix_quality"))
+        docs = docs.join(marks, "__mix_name", "left")
         weight = F.when(F.col("__mix_quality") >= 1, 2.0).when(F.col("__mix_quality") <= 0, 0.5).otherwise(1.0)
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("__mix_name"))), 1, 12), 16, 10).cast("long")
     key = -F.log((digits + F.lit(0.5)) / F.lit(float(2**48))) / weight
-    # The bin is a rounding of exp(-key), which falls as the key grows; ids break ties between equal keys.
-    bin_ = (F.lit(BINS) - F.ceil(F.exp(-F.col("__mix_key")) * BINS)).cast("int")
-    keyed = docs.withColumn("__mix_key", key).withColumn("__mix", F.struct(F.col("__mix_key").alias("key"), F.col("doc_id").alias("id"), F.col("__mix_size").alias("size"), bin_.alias("bin")))
-    return keyed.drop("__mix_key", "__mix_id", "__mix_quality", "__mix_size", "__mix_weight")
+    bin_ = F.floor(F.log2("__mix_key") * BINS).cast("int")
+    return docs.withColumns({"__mix_key": key, "__mix_id": F.col("doc_id")}).withColumn("__mix_bin", bin_).drop("__mix_name", "__mix_quality", "__mix_weight")
 
 
-def _placed(docs: DataFrame, quality, weights, share, most, seed) -> DataFrame:
-    """A row for each row of ``docs``: its source (_none, _source), key, size, the source's budgets, and whether the fractional epoch takes it."""
-    rows = written(_keyed(docs.select("doc_id", "source", "text"), quality, seed, with_text=False).select("doc_id", "source", "__mix.size", "__mix.key", "__mix.bin"), "mix-keys")
-    bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
-    targets = written(source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most), "mix-targets")
-    earlier = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    starts = _by_source(bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))).join(_by_source(targets), ["_none", "_source"])
+def _narrow(keyed: DataFrame) -> DataFrame:
+    return keyed.select("source", *[F.col(f"__mix_{c}").alias(c) for c in (*ORDER, "bin")])
+
+
+def _budgets(rows: DataFrame, weights, share, most) -> DataFrame:
+    """A row for each source of ``rows`` (source, key, id, size, print, bin): _none, _source, source_size, target, epochs, and
+    where the fractional epoch ends: last (the last rows taken, by ``ORDER``), of them held, and as many taken.
+
+    What the fractional epoch takes of a source is a prefix of its order, so this tells for every row whether it is in.
+    """
+    tied = written(rows.groupBy("source", "bin", *ORDER).agg(F.count("*").alias("held")), "mix-ties")
+    bins = written(tied.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("held")).alias("bin_size")), "mix-bins")
+    targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
-    starts = starts.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).drop("bin_size")
-    inner = W.partitionBy("_none", "_source", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    ordered = _by_source(rows).withColumn("in_bin", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    takes = (F.col("rest") > 0) & (F.col("bin_start") + F.col("in_bin") + F.col("size") / 2.0 <= F.col("rest"))
-    return ordered.join(starts, ["_none", "_source", "bin"]).withColumn("takes", takes)
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = written(_by_source(targets), "mix-targets")
+    earlier = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    starts = _by_source(bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))).join(targets.select("_none", "_source", "rest"), ["_none", "_source"])
+    # The budget ends in the last bin that begins before it; no other bin's rows need an order.
+    ends = starts.filter("bin_start <= rest and rest > 0").groupBy("_none", "_source").agg(F.max(F.struct("bin", "bin_start", "rest")).alias("end"))
+    near = starts.filter("bin_start <= rest and rest > 0").join(ends.select("_none", "_source", F.col("end.bin").alias("end_bin")), ["_none", "_source"])
+    last_bins = near.filter(F.col("bin") == F.col("end_bin")).select("_none", "_source", "bin", "bin_start", "rest")
+    inner = W.partitionBy("_none", "_source", "bin").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    ordered = _by_source(tied).join(last_bins, ["_none", "_source", "bin"]).withColumn("before", F.col("bin_start") + F.coalesce(F.sum(F.col("size") * F.col("held")).over(inner), F.lit(0)))
+    # A row is taken if half of it or more lies before the end; the n-th of tied rows begins n sizes later.
+    taken = F.floor((F.col("rest") - (F.col("before") + F.col("size") / 2.0)) / F.col("size")).cast("long") + 1
+    taken = F.when(F.col("size") > 0, F.greatest(F.lit(0).cast("long"), F.least("held", taken))).otherwise(0)
+    last = F.struct(*ORDER)
+    cut = ordered.withColumn("taken", taken).filter("taken > 0").groupBy("_none", "_source").agg(F.max(F.struct(last.alias("last"), "held", "taken")).alias("cut"))
+    # Where no row of the last bin is taken, all bins before it are.
+    ends = ends.select("_none", "_source", F.col("end.bin").alias("end_bin"))
+    return written(targets.join(ends, ["_none", "_source"], "left").join(cut, ["_none", "_source"], "left").select("_none", "_source", "source_size", "target", "epochs", "end_bin", "cut.last", "cut.held", "cut.taken"), "mix-budgets")
+
+
+def _copied(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``keyed`` with __mix_copies, __mix_source_size and __mix_target."""
+    names = {"_none": "__mix_none", "_source": "__mix_source"} | {c: f"__mix_{c}" for c in ("source_size", "target", "epochs", "end_bin", "last", "held", "taken")}
+    budgets = budgets.withColumnsRenamed(names)
+    keyed = keyed.withColumns({"__mix_none": F.col("source").isNull(), "__mix_source": F.coalesce("source", F.lit(""))})
+    joined = salted_join(keyed, budgets, ["__mix_none", "__mix_source"], F.struct("__mix_key", "__mix_print"), "inner", salts=16)
+    own = F.struct(*[F.col(f"__mix_{c}").alias(c) for c in ORDER])
+    inside = (F.col("__mix_bin") < F.col("__mix_end_bin")) | (F.col("__mix_bin") == F.col("__mix_end_bin")) & (own < F.col("__mix_last"))
+    edge = F.coalesce(own == F.col("__mix_last"), F.lit(False))
+    joined = joined.withColumn("__mix_extra", F.when(F.coalesce(inside, F.lit(False)) | edge & (F.col("__mix_taken") == F.col("__mix_held")), 1).otherwise(0))
+    # Tied rows of which some are taken: numbered by partition first, so that no task holds them all.
+    split = edge & (F.col("__mix_taken") < F.col("__mix_held"))
+    some = budgets.filter("__mix_taken < __mix_held")
+    if not some.isEmpty():
+        tied = written(joined.filter(split).withColumns({"__mix_part": F.spark_partition_id(), "__mix_row": F.monotonically_increasing_id()}), "mix-tied")
+        parts = tied.groupBy("__mix_none", "__mix_source", "__mix_part").agg(F.count("*").alias("n"))
+        earlier = W.partitionBy("__mix_none", "__mix_source").orderBy("__mix_part").rowsBetween(W.unboundedPreceding, -1)
+        parts = parts.withColumn("__mix_start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+        number = F.row_number().over(W.partitionBy("__mix_none", "__mix_source", "__mix_part").orderBy("__mix_row")) + F.col("__mix_start")
+        tied = tied.join(parts, ["__mix_none", "__mix_source", "__mix_part"]).withColumn("__mix_number", number)
+        tied = tied.withColumn("__mix_extra", F.when(F.col("__mix_number") <= F.col("__mix_taken"), 1).otherwise(0))
+        joined = joined.filter(~split).unionByName(tied.select(*joined.columns))
+    return joined.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, F.col("__mix_epochs") + F.col("__mix_extra")).otherwise(0).cast("long"))
 
 
 def _by_source(df: DataFrame) -> DataFrame:
@@ -90,28 +140,24 @@ def mix(docs: DataFrame, quality: DataFrame | Column | None = None, weights: tup
     source_size, target, taken, copies. A document is taken whole, ``copies`` times; the one that reaches the end of the budget is
     taken if that brings the source nearer to its target.
 
-    Edge cases: null and empty texts have size 0 and taken 0; a null source is a source of its own, sorted last; rows with
-    null ids share one key; repeated rows are each sampled, in a fixed order; of several labels the highest
-    counts; an empty table gives an empty result; other columns are not read.
+    Edge cases: null and empty texts have size 0 and taken 0; a null source is a source of its own, sorted last; a row with
+    a null id is placed by its text; repeated rows are each sampled, and of those that tie as many are taken as fit; very long texts count
+    whole; of several labels the highest counts; an empty table gives an empty result; other columns are not read.
     """
-    placed = _placed(docs, quality, weights, share, most, seed)
-    placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("takes"), 1).otherwise(0)).otherwise(0).cast("long"))
-    return placed.select("doc_id", F.when(~F.col("_none"), F.col("_source")).alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    keyed = _keyed(docs.select("doc_id", "source", "text"), quality, seed, with_text=False)
+    keyed = written(keyed, "mix-keys")
+    budgets = _budgets(_narrow(keyed), weights, share, most)
+    placed = _copied(keyed, budgets)
+    size, copies = F.col("__mix_size").alias("size"), F.col("__mix_copies").alias("copies")
+    return placed.select("doc_id", "source", size, F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_copies") * F.col("__mix_size")).alias("taken"), copies)
 
 
 def mixed_rows(docs: DataFrame, quality: DataFrame | Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it, with all columns.
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, with all columns. Rows without words go; edge cases are those of ``mix``.
 
-    What the fractional epoch takes of a source is a prefix of its order, so the last row taken tells for every row whether
-    it is in: texts are not joined with their counts. Rows without words go; rows that tie in key, id and size are taken alike.
+    Texts are not joined with their counts: a source's budget tells for every row how often it is taken.
     """
-    placed = _placed(docs, quality, weights, share, most, seed)
-    last = F.max(F.when(F.col("takes"), F.struct("key", F.col("doc_id").alias("id"), "size")))
-    budgets = written(placed.groupBy("_none", "_source").agg(F.first("epochs").alias("__mix_epochs"), last.alias("__mix_last")), "mix-budgets")
-    budgets = budgets.select(F.col("_none").alias("__mix_none"), F.col("_source").alias("__mix_source"), "__mix_epochs", "__mix_last")
-    keyed = _keyed(docs, quality, seed)
-    joined = keyed.join(budgets, (F.col("source").isNull() == F.col("__mix_none")) & (F.coalesce("source", F.lit("")) == F.col("__mix_source")))
-    own = F.struct(F.col("__mix.key").alias("key"), F.col("__mix.id").alias("id"), F.col("__mix.size").alias("size"))
-    copies = F.col("__mix_epochs") + F.when(own <= F.col("__mix_last"), 1).otherwise(0)
-    kept = joined.withColumn("__mix_copies", copies.cast("long")).filter("__mix.size > 0 and __mix_copies > 0")
+    narrow = _keyed(docs.select("doc_id", "source", "text"), quality, seed, with_text=False)
+    budgets = _budgets(written(_narrow(narrow), "mix-keys"), weights, share, most)
+    kept = _copied(_keyed(docs, quality, seed), budgets).filter("__mix_copies > 0")
     return kept.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*docs.columns)

@@ -26,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, maybe_among, salted_join, sliced, written
+from lectern.llm.common import map_arrow, maybe_among, salted_join, sliced, without_rows, written
 from lectern.llm.components import components
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.token_store import mixed_bits
@@ -109,16 +109,20 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, batch.column(1).to_pylist()
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def document_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set): equal numbers mean equal sets; null for an empty set."""
+    """(doc_id, digest, n_shingles, set): equal numbers mean equal sets; null for an empty set. digest is the text's SHA-256."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches):
             sets = shingle_sets(texts, join.words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "digest", "n_shingles", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, measure, "doc_id long, n_shingles long, set long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("digest"))
+    return map_arrow(rows, measure, "doc_id long, digest string, n_shingles long, set long")
 
 
 def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,8 +305,13 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     Edge cases: null and empty texts, and texts without words, have no shingles and are alone; texts with fewer words
     than a shingle have one of them all; very long texts are whole; repeated rows and equal sets are one component; a
     null id counts for no component's smallest, and stands for itself; an empty table gives an empty result; other
-    columns are not read. Sets are told apart by 64-bit hashes of 64-bit shingles.
+    columns are not read; ids are whole numbers. Sets are told apart by 64-bit hashes of 64-bit shingles.
     """
+    return _joined(docs, join, id_col, text_col).select("doc_id", "n_shingles", "component_id", "links")
+
+
+def _joined(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
+    """What ``jaccard_components`` gives, with digest, the text's, and root, the least set of the component (null without shingles)."""
     members = written(document_sets(docs, join, id_col, text_col), "document-sets")
     sets = members.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
     clusters = written(candidate_clusters(docs, join, id_col, text_col), "clusters")
@@ -325,19 +334,26 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     roots = components(found.filter("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b")))
     rooted = sets.join(roots.withColumnRenamed("node", "set"), "set")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = salted_join(rooted.select("set", "root"), least, ["root"], F.col("set"), "inner").select("set", "component_id")
+    named = salted_join(rooted.select("set", "root"), least, ["root"], F.col("set"), "inner").select("set", "root", "component_id")
     facts = sets.select("set", "least_id").join(named, "set", "left").join(degrees, "set", "left")
-    facts = facts.select("set", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    facts = facts.select("set", F.coalesce("root", "set").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = salted_join(members, written(facts, "set-facts"), ["set"], F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select("doc_id", "digest", "root", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def drop_near_duplicates(docs: DataFrame, join: Join = Join(words=5, percent=80), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each component, the one with the smallest id, all columns kept."""
+    """The rows of ``docs`` with one row of each component, all columns kept: the one with the smallest id, null last, then the smallest digest of its text.
+
+    Rows are told apart by id and text, so rows that share an id with a near copy stay. Edge cases: texts without words all stay; null
+    ids take part like others; of repeated rows one stays; very long texts are whole; other columns may have any name; an
+    empty table stays empty.
+    """
     if docs.isEmpty():
         return docs
-    found = jaccard_components(docs, join, id_col, text_col)
-    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__near_lost")).distinct(), "near-lost")
-    keyed = maybe_among(docs.withColumn("__near_id", F.col(id_col).cast("long")), "__near_id", lost.select(F.col("__near_lost").alias("__near_id")), "__near_maybe")
-    doubtful = keyed.filter("__near_maybe").join(lost, F.col("__near_id") == F.col("__near_lost"), "left_anti")
-    return keyed.filter("not __near_maybe").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    found = written(_joined(docs, join, id_col, text_col).filter("root is not null").select("doc_id", "digest", "root"), "near-found")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
+    placed = salted_join(found, first, ["root"], F.struct("doc_id", "digest"), "inner").withColumn("lost", F.col("first") != place)
+    gone = placed.filter("lost").select(F.col("doc_id").alias("id"), "digest").distinct().withColumn("same", F.lit(0).cast("long"))
+    tied = placed.filter("not lost").groupBy(F.col("doc_id").alias("id"), "digest").agg(F.count("*").alias("same")).filter("same > 1")
+    return without_rows(docs, written(gone.unionByName(tied), "near-lost"), id_col, _digest(F.col(text_col)))

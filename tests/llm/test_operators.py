@@ -269,6 +269,20 @@ def test_near_duplicates_leave_one(spark):
     assert drop_near_duplicates(empty(spark)).count() == 0 and jaccard_components(empty(spark)).count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    """Ids that repeat or are null: rows are told apart by id and text."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base + " x", " ".join(f"o{i}" for i in range(60))
+    rows = [(1, base), (3, near), (3, "a text of its own that stays as it is"), (7, other), (7, other + " y"), (None, other + " z"), (None, base + " v"), (None, None), (1, base), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"set": F.lit(1), "__x": F.lit(2)}).repartition(3)
+    kept = drop_near_duplicates(docs)
+    got = sorted(map(str, [(r["doc_id"], r["text"]) for r in kept.collect()]))
+    sevens = min((other, other + " y"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert kept.columns == docs.columns and got == sorted(map(str, [(1, base), rows[2], (7, sevens), (None, None), (9, "")]))
+    nulls = spark.createDataFrame([(None, base), (None, near), (None, base)], "doc_id long, text string")
+    assert drop_near_duplicates(nulls).count() == 1
+
+
 def test_shingles():
     sets = shingle_sets(["A b c d e", "a B c D", "a b", None, "é b c d"], 4)
     assert [len(s) for s in sets] == [2, 1, 1, 0, 1] and sets[1][0] in sets[0] and sets[4][0] != sets[1][0]
@@ -403,10 +417,33 @@ def test_mix(spark):
     again = {(r["doc_id"], r["taken"]) for r in mix(docs.repartition(7), quality).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in got}
     out = mixed_rows(docs, quality)
-    assert out.columns == docs.columns and out.count() >= sum(r["copies"] for r in got) - 4
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
     assert mix(empty(spark)).count() == 0 and mixed_rows(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "equal", "text"])
+def test_tied_rows_keep_the_budget(spark, ids):
+    """Rows that tie, by null ids or as copies, are taken one by one up to the target."""
+    rows = [({"null": None, "equal": 7, "text": None}[ids], f"w {i} " * 10 if ids == "text" else "w " * 20, "en", "a", i) for i in range(400)]
+    rows += [(1000 + i, "v " * 3, "en", "b", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got, out = mix(docs).collect(), mixed_rows(docs).collect()
+    for source, size in (("a", 20), ("b", 3)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size
+        assert sum(len(WORD.findall(r["text"])) for r in out if r["source"] == source) == sum(r["taken"] for r in own)
+
+
+def test_bins_stay_small(spark):
+    """Whatever the weights, no bin of keys holds much of a source."""
+    from lectern.llm.mixing import _keyed
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("a").alias("source"))
+    for weight in (0.05, 1.0, 2.0):
+        keyed = _keyed(docs, F.lit(weight), "mix")
+        assert keyed.groupBy("__mix_bin").count().agg(F.max("count")).first()[0] < 120
+
+
 def test_quality_weights_count(spark):
     rows = [(i, "w " * 10, "en", "abc"[i % 3], 0) for i in range(6000)]
     quality = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(6000)], "doc_id long, quality int")
@@ -508,16 +545,16 @@ def test_nearest_is_exact():
     for i in range(500):
         terms = np.array(sorted(rng.sample(range(40), rng.randrange(0, 6))), np.int64)
         examples.append((i, i % 2, terms, np.array([rng.randrange(1, 4) for _ in terms], np.int64)))
-    index = BlockIndex(examples, weight, Bounds(block=16, neighbours=7))
-    for _ in range(60):
+    for rare, _ in itertools.product((0.0, 0.06, 1.0), range(20)):
+        index = BlockIndex(examples, weight, Bounds(block=16, neighbours=7, rare=rare))
         terms = np.array(sorted(rng.sample(range(40), rng.randrange(1, 6))), np.int64)
         unit = index.unit(terms, np.array([rng.randrange(1, 4) for _ in terms], np.int64))
         q = dict(zip(terms.tolist(), unit, strict=True))
         all_of = sorted((round(sum(q.get(t, 0) * w for t, w in zip(e[2].tolist(), index.unit(e[2], e[3]), strict=True)), 6) for e in examples if len(e[2])), reverse=True)
-        found = index.nearest(terms, unit)
+        found = index.nearest([(terms, unit)])[0]
         assert [round(s, 6) for s, _ in found] == [w for w in all_of[:7] if w > 0]
         assert found == sorted(found, key=lambda x: (-x[0], x[1]))
-        assert [round(s, 6) for s, _ in index.nearest(terms, unit, below=0.8)] == [w for w in all_of if 0 < w < 0.8][:7]
+        assert [round(s, 6) for s, _ in index.nearest([(terms, unit)], below=0.8)[0]] == [w for w in all_of if 0 < w < 0.8][:7]
 
 
 def brute_toxicity(texts, labels, bounds=Bounds()):
@@ -676,10 +713,17 @@ def test_pipeline(spark, sf_dir):
         after = docs.collect()
         if name != "word_bpe":
             assert docs.columns == columns
-        if name == "toxicity":
-            labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out_of(F.col("doc_id"), 5, 0))
-            bad = {r["doc_id"] for r in score_toxicity(spark.createDataFrame(before), labels).filter("predicted = 1").collect()}
-            assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before} - bad
+        if name == "toxicity":  # the curve rises, so a cut in the brute-force votes parts what stays from what goes
+            known = {}
+            for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out_of(F.col("doc_id"), 5, 0)).collect():
+                if r["doc_id"] is not None and r["toxic"] is not None:
+                    known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["toxic"])
+            before.sort(key=lambda r: r["doc_id"])
+            place = {r["doc_id"]: i for i, r in enumerate(before)}
+            votes = brute_toxicity([r["text"] for r in before], {place[i]: t for i, t in known.items() if i in place})
+            stays = {r["doc_id"] for r in after}
+            assert stays < set(place) and len(after) == len(stays)
+            assert max(votes[place[i]][0] for i in stays) < min(votes[place[i]][0] for i in set(place) - stays)
         if name == "exact_dedup":
             last = {}
             for r in before:
@@ -699,4 +743,8 @@ def test_pipeline(spark, sf_dir):
                 most = max(len(WORD.findall(r["text"] or "")) for r in before if r["source"] == s)
                 assert abs(taken - want[s]) <= most
         if name == "word_bpe":
-            assert len(after) == len(before) and all(r["n_tokens"] == len(r["ids"]) for r in after)
+            from tokenizers import Tokenizer
+
+            plain = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+            want = [(r["doc_id"], plain.encode(r["text"] or "", add_special_tokens=False).ids) for r in before]
+            assert sorted((r["doc_id"], list(r["ids"])) for r in after) == sorted(want) and all(r["n_tokens"] == len(r["ids"]) for r in after)
