@@ -1,10 +1,16 @@
 """Main text of web pages, with site templates removed.
 
-Every element's subtree is hashed. Spark counts, for each host, on how many pages with different content a subtree
-occurs; containers that recur across many, and across a share of the host's pages, are the site's template and are deleted.
-Copies of one article count once, and paragraphs, headings, inline elements and parts of tables and lists are never taken
-for template, nor are whole lists, tables and figures inside an article, since articles may share passages. What is left of the article loses its menus, notices, adverts, forms and comments, by
-element and by the words of class, id and role.
+Every element's subtree is hashed, in two ways. The exact digest covers tags, attributes and text; the digest of its form covers where it
+stands, tags and words of class and id, but neither text nor addresses nor how often equal children repeat, so a menu matches
+itself with another link active. Spark counts, for each host, on how many pages of different content a
+digest occurs. Containers whose exact digest recurs are the site's template wherever they stand; those whose form recurs are template
+outside the content only, since articles share their form. A page's content is its article or main element, or else the
+smallest container that holds most of its text. A digest recurs if a lower confidence bound of its share of the host's pages
+passes ``SHARE``; copies of one article count once.
+
+What is left loses the elements that HTML itself sets apart from an article (nav, footer, form, script and the like). Words of class,
+id and role are weak evidence: outside an article they mark menus and notices on hosts too small to show a template; inside one, only
+elements whose class is such a word as a whole go.
 """
 
 from __future__ import annotations
@@ -15,16 +21,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, maybe_among, salted_join, written
+from lectern.llm.common import map_arrow, salted_join, sliced, written
 from lectern.llm.url_filter import host_and_path
 
-#: Pages of different content on which a subtree recurs before it counts as template.
-RECURRING = 10
-#: And the share of the host's pages of different content on which it recurs.
-SHARE = 0.25
+#: Share of a host's pages of different content on which a template recurs: its lower bound at ``SURE`` standard errors is at least this.
+SHARE, SURE = 0.2, 3.0
+#: Templates up to which their digests are broadcast (8 bytes each); beyond it, pages are joined with theirs.
+BROADCAST = 1_000_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +47,8 @@ SCOPE = {"li": frozenset({"ul", "ol", "menu"}), "tr": frozenset({"table"}), "td"
 BOUNDS = frozenset("table td th caption button object article section main div ul ol nav aside header footer form body html".split())
 #: Words of class, id and role that mark what is not part of an article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist discussion disqus respond share sharing social related recommended newsletter subscribe subscription signup popup modal overlay widget toolbar pagination pager skip complementary contentinfo search login".split())
+#: Of these, the words that mark an element inside an article, where they are its whole class, id or role.
+STRONG = MARKS - frozenset("alert notice notices search share social related widget recommended promo promotion banner discussion login skip".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -115,16 +123,34 @@ class Page:
             out[i] = digest.digest()
         return out
 
+    def names(self, i: int) -> list[str]:
+        """The values of class, id and role, each cut at white space."""
+        return [v for m in ATTRIBUTE.finditer(self.attributes[i]) for v in (m[2] or m[3] or m[4] or "").lower().split()] if self.attributes[i] else []
+
+    def forms(self) -> list[str]:
+        """The form of each element: tag, words of class and id, and the forms of its block children, equal neighbours once."""
+        out = [""] * len(self.tags)
+        for i in range(len(self.tags) - 1, -1, -1):
+            parts = []
+            for child in self.children[i]:
+                own = out[child] if isinstance(child, int) and (self.tags[child] in BLOCK or "-" in self.tags[child]) else "t" if isinstance(child, int) or not child.isspace() else ""
+                if own and own not in parts[-1:]:
+                    parts.append(own)
+            form = f"{self.tags[i]}.{'.'.join(w for n in self.names(i) for w in _WORDS.findall(n))}({','.join(parts)})"
+            out[i] = form if len(form) < 2000 else hashlib.blake2b(form.encode("utf-8", "replace"), digest_size=16).hexdigest()
+        return out
+
     def dropped(self, i: int, in_article: bool) -> bool:
         tag = self.tags[i]
         if tag in DROPPED or (tag == "header" and not in_article):
             return True
         if tag in MAIN or tag in ("html", "body", "#page") or not self.attributes[i]:
             return False
-        words = {w for m in ATTRIBUTE.finditer(self.attributes[i]) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower())}
-        return bool(words & MARKS)
+        if in_article:
+            return bool(STRONG & set(self.names(i)))
+        return bool(MARKS & {w for n in self.names(i) for w in _WORDS.findall(n)})
 
-    def walk(self, deleted: frozenset[int] = frozenset()) -> Iterator[tuple[int, str, bool]]:
+    def walk(self, deleted: frozenset[int] = frozenset(), by_name: bool = True) -> Iterator[tuple[int, str, bool]]:
         """(element, text, in article) of each text in page order and, with a space as text, of each block's start and end; without what is dropped."""
         stack: list[tuple] = [(0, False, False)]
         while stack:
@@ -135,7 +161,7 @@ class Page:
             if leaving:
                 yield item, " ", inside
                 continue
-            if item in deleted or self.dropped(item, inside):
+            if item in deleted or (self.dropped(item, inside) if by_name else self.tags[item] in RAW):
                 continue
             inside = inside or self.tags[item] in MAIN
             if self.tags[item] in BLOCK:
@@ -143,89 +169,150 @@ class Page:
                 stack.append((item, inside, True))
             stack += [(c, inside, False) if isinstance(c, int) else (c, inside, item) for c in reversed(self.children[item])]
 
-    def main_text(self, deleted: frozenset[int] = frozenset()) -> str:
-        """The article's text, or the whole page's where it has none; white space inside and between blocks is one space."""
-        texts = [(t, inside) for _, t, inside in self.walk(deleted)]
-        if any(inside and not t.isspace() for t, inside in texts):
+    def main_text(self, deleted: frozenset[int] = frozenset(), by_name: bool = True) -> str:
+        """The article's text, or the whole page's where it has none; white space inside and between blocks is one space.
+
+        Without ``by_name`` only what is deleted is left out, whatever its name and whether there is an article.
+        """
+        texts = [(t, inside) for _, t, inside in self.walk(deleted, by_name)]
+        if by_name and any(inside and not t.isspace() for t, inside in texts):
             texts = [(t, inside) for t, inside in texts if inside]
         return " ".join("".join(t for t, _ in texts).split())
 
-    def templates(self) -> tuple[str, list[tuple[int, bytes]]]:
-        """(digest of the main text, candidates for template): elements with text that may be deleted, and their digests."""
-        inside, filled, blocks = [False] * len(self.tags), [False] * len(self.tags), [False] * len(self.tags)
-        for i in range(1, len(self.tags)):
-            inside[i] = inside[self.parents[i]] or self.tags[self.parents[i]] in MAIN
+    def _sizes(self) -> list[int]:
+        """Characters of text in each element."""
+        out = [0] * len(self.tags)
         for i in range(len(self.tags) - 1, 0, -1):
+            out[i] += sum(len(c) for c in self.children[i] if isinstance(c, str) and not c.isspace())
+            if self.tags[i] not in RAW and self.tags[i] != "head":
+                out[self.parents[i]] += out[i]
+        return out
+
+    def _content(self, sizes: list[int], holds_main: list[bool]) -> set[int]:
+        """The containers around the content, and the content itself: down from the page as long as one of them holds most of the text."""
+        at, path = 0, {0}
+        while True:
+            inner = [c for c in self.children[at] if isinstance(c, int) and (self.tags[c] in OUTSIDE or self.tags[c] in MAIN or self.tags[c] in ("html", "body"))]
+            best = max(inner, key=lambda c: (holds_main[c] or self.tags[c] in MAIN, sizes[c]), default=None)
+            if best is None or self.tags[at] in MAIN or 2 * sizes[best] < sizes[0] and not (holds_main[best] or self.tags[best] in MAIN):
+                return path
+            at = best
+            path.add(at)
+
+    def templates(self) -> list[tuple[int, bytes]]:
+        """Candidates for template: elements with text that may be deleted, and their digests, exact and of their form."""
+        n = len(self.tags)
+        inside, filled, blocks, holds_main = [False] * n, [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            inside[i] = inside[self.parents[i]] or self.tags[self.parents[i]] in MAIN
+        for i in range(n - 1, 0, -1):
+            up = self.parents[i]
             filled[i] = filled[i] or any(isinstance(c, str) and not c.isspace() for c in self.children[i])
-            if filled[i]:
-                filled[self.parents[i]] = True
-            if blocks[i] or self.tags[i] in BLOCK:
-                blocks[self.parents[i]] = True
-        holds_main = [False] * len(self.tags)
-        for i in range(len(self.tags) - 1, 0, -1):
-            if holds_main[i] or self.tags[i] in MAIN:
-                holds_main[self.parents[i]] = True
-        container = [self.tags[i] in (CONTAINERS if inside[i] else OUTSIDE) or "-" in self.tags[i] and blocks[i] for i in range(len(self.tags))]
-        found = [(i, d) for i, d in enumerate(self.hashes()) if i and filled[i] and container[i] and not holds_main[i]]
-        return hashlib.blake2b(self.main_text().encode("utf-8", "replace"), digest_size=8).hexdigest(), found
+            filled[up] = filled[up] or filled[i]
+            blocks[up] = blocks[up] or blocks[i] or self.tags[i] in BLOCK
+            holds_main[up] = holds_main[up] or holds_main[i] or self.tags[i] in MAIN
+        sizes = self._sizes()
+        content = self._content(sizes, holds_main)
+        # Below the innermost content nothing is told by its form; beside it, all containers are, and where nothing holds most of the text, those that are mostly links.
+        innermost, links = max(content), [0] * n
+        for i in range(n - 1, 0, -1):
+            links[i] = sizes[i] if self.tags[i] == "a" else links[i]
+            links[self.parents[i]] += links[i]
+        within = [False] * n
+        for i in range(1, n):
+            within[i] = within[self.parents[i]] or self.parents[i] == innermost
+        whole_page = self.tags[innermost] in ("#page", "html", "body")
+        exact, forms, places, found = self.hashes(), self.forms(), [""] * n, []
+        for i in range(1, n):
+            places[i] = hashlib.blake2b(f"{places[self.parents[i]]}/{self.tags[self.parents[i]]}".encode(), digest_size=8).hexdigest()
+            container = self.tags[i] in (CONTAINERS if inside[i] else OUTSIDE) or "-" in self.tags[i] and blocks[i]
+            if not filled[i] or not container or holds_main[i]:
+                continue
+            found.append((i, exact[i]))
+            if i not in content and not inside[i] and (not within[i] or whole_page and 2 * links[i] >= sizes[i]):
+                found.append((i, hashlib.blake2b(f"{places[i]} {forms[i]}".encode("utf-8", "replace"), digest_size=8).digest()))
+        return found
+
+    def keyed(self, host: str) -> list[tuple[int, int]]:
+        """(element, number of its digest on this host) of each candidate."""
+        name = host.encode("utf-8", "replace")
+        return [(i, int.from_bytes(hashlib.blake2b(d + name, digest_size=8).digest(), "little", signed=True)) for i, d in self.templates()]
 
 
-def page_key(host: str, source: str) -> int:
-    """Pages of one host with equal source have the same elements; this is their number."""
-    return int.from_bytes(hashlib.blake2b(host.encode("utf-8", "replace") + b"\0" + source.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def recurring(n: Column, pages: Column) -> Column:
+    """Whether the lower bound (Wilson's) of a share, n of ``pages``, is at least ``SHARE``."""
+    share, z = n / pages, SURE * SURE / pages
+    return (share + z / 2 - SURE * F.sqrt(share * (1 - share) / pages + z / (4 * pages))) / (1 + z) >= SHARE
 
 
-def template_elements(pages: DataFrame, recurring: int = RECURRING) -> DataFrame:
-    """(page, elements): numbers of the elements of a page (by its key) that recur on ``recurring`` or more pages of its host, and on ``SHARE`` of them.
+def site_templates(pages: DataFrame) -> DataFrame:
+    """(subtree): numbers of the digests, host included, that are template of a host. ``pages`` has host and html.
 
-    ``pages`` has host and html. Counting goes by (host, subtree) after distinct content, so a hot host spreads out.
+    Counting goes by (host, subtree) after distinct content, so a hot host spreads out.
     """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, len(whole), 500):
-                batch, rows = whole.slice(first, 500), []
-                for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    content, found = Page(source).templates()
-                    key = page_key(host, source)
-                    # Every page has a row without a subtree, by which the host's pages are counted.
-                    rows.append((host, key, None, None, content))
-                    rows += [(host, key, int.from_bytes(d, "little", signed=True), i, content) for i, d in found]
-                columns = zip(*rows, strict=True) if rows else ([],) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["host", "page", "subtree", "element", "content"])
-
-    found = written(map_arrow(pages.select("host", "html"), subtrees, "host string, page long, subtree long, element int, content string"), "subtrees")
-    counts = found.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= recurring)
+        for batch in sliced(batches, rows=100):
+            rows = []
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = Page(source)
+                content = hashlib.blake2b(page.main_text().encode("utf-8", "replace"), digest_size=8).hexdigest()
+                # Every page has a row without a subtree, by which the host's pages are counted.
+                rows.append((host, None, content))
+                rows += [(host, k, content) for k in {k for _, k in page.keyed(host)}]
+            columns = zip(*rows, strict=True) if rows else ([],) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["host", "subtree", "content"])
+
+    found = map_arrow(pages.select("host", "html"), subtrees, "host string, subtree long, content string")
+    counts = written(found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")), "subtree-counts")
     pages_of = counts.filter("subtree is null").select("host", F.col("n").alias("pages"))
-    counts = salted_join(counts.filter("subtree is not null"), pages_of, ["host"], F.col("subtree"), "inner").filter(F.col("n") >= F.col("pages") * SHARE)
-    doomed = salted_join(found.filter("subtree is not null"), counts.select("host", "subtree"), ["host", "subtree"], F.col("page"), "inner")
-    return written(doomed.select("page", "element").distinct().groupBy("page").agg(F.collect_list("element").alias("elements")), "template-elements")
+    counts = salted_join(counts.filter("subtree is not null and n > 1"), pages_of, ["host"], F.col("subtree"), "inner")
+    return written(counts.filter(recurring(F.col("n"), F.col("pages"))).select("subtree"), "site-templates")
+
 
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", by_name: bool = True, broadcast: int = BROADCAST) -> DataFrame:
+    """(page_id, url, text, n_chars, removed) of every row of ``pages``; removed counts the elements deleted as template.
 
-def main_texts(pages: DataFrame, recurring: int = RECURRING, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages``.
+    Up to ``broadcast`` templates their digests go to the tasks; beyond, pages get theirs by a join on their elements' digests.
+    ``by_name=False`` shows what template removal does alone.
 
     Edge cases: null and empty html give an empty text; a page without article or main element gives its whole body, cleaned in
-    the same way; a null url has the empty host; broken markup is read as far as it goes, very long pages whole;
-    repeated rows and null ids are kept, and copies of a page count once as a recurrence; an empty table gives an
-    empty result; other columns are not read.
+    the same way; a null url has the empty host; a host of one or two pages has no template; broken markup is read as far as it goes, very long pages whole;
+    repeated rows, rows of equal or null id are kept, and copies of a page count once as a recurrence; an empty table gives an
+    empty result; other columns are not read; ids are whole numbers.
     """
     host, _ = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    doomed = template_elements(rows, recurring)
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [page_key(h, s) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "page"])
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doomed = batch.column(3).to_pylist()
-            texts = [Page(s).main_text(frozenset(d or ())) if s else "" for s, d in zip(batch.column(2).to_pylist(), doomed, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    keyed = maybe_among(map_arrow(rows, key, "page_id long, url string, host string, html string, page long"), "page", doomed)
-    clean = keyed.filter("not maybe").select("page_id", "url", "html", F.lit(None).cast("array<int>").alias("elements"))
-    marked = salted_join(keyed.filter("maybe").select("page_id", "url", "html", "page"), doomed, ["page"], F.struct("page_id"))
-    return map_arrow(clean.unionByName(marked.select("page_id", "url", "html", "elements")), extract, "page_id long, url string, text string, n_chars long")
+    found = site_templates(rows)
+    schema = "page_id long, url string, text string, n_chars long, removed int"
+
+    def made(batch: pa.RecordBatch, parsed: list[Page], doomed: list[frozenset[int]]) -> pa.RecordBatch:
+        texts = [p.main_text(d, by_name) for p, d in zip(parsed, doomed, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, doomed), pa.int32())], names=["page_id", "url", "text", "n_chars", "removed"])
+
+    if found.count() <= broadcast:
+        shared = pages.sparkSession.sparkContext.broadcast(frozenset(found.toArrow().column(0).to_pylist()))
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in sliced(batches, column=3, rows=100):
+                parsed = [Page(s) for s in batch.column(3).to_pylist()]
+                yield made(batch, parsed, [frozenset(i for i, k in p.keyed(h) if k in known) for h, p in zip(batch.column(2).to_pylist(), parsed, strict=True)])
+
+        return map_arrow(rows, extract, schema)
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, column=3, rows=100):
+            own = [(row, i, k) for row, h, s in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for i, k in Page(s).keyed(h)]
+            columns = zip(*own, strict=True) if own else ([],) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["row", "element", "subtree"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, column=3, rows=100):
+            yield made(batch, [Page(s) for s in batch.column(3).to_pylist()], [frozenset(d or ()) for d in batch.column(4).to_pylist()])
+
+    # Numbered rows are written first, so that a task that runs again gives them the same numbers.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "page-rows")
+    own = map_arrow(rows, elements, "row long, element int, subtree long")
+    doomed = salted_join(own, found, ["subtree"], F.struct("row", "element"), "inner").groupBy("row").agg(F.collect_set("element").alias("elements"))
+    return map_arrow(rows.join(doomed, "row", "left").select("page_id", "url", "host", "html", "elements"), cut, schema)

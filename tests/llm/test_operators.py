@@ -18,7 +18,7 @@ from lectern.llm import queries as registered
 from lectern.llm.common import maybe_among, salted_join, scratch_path
 from lectern.llm.components import components
 from lectern.llm.exact_dedup import block_identities, drop_exact_duplicates, exact_duplicates
-from lectern.llm.html_main import Page, main_texts
+from lectern.llm.html_main import Page, main_texts, site_templates
 from lectern.llm.langid import best_path, held_out_of, label_languages, learn
 from lectern.llm.mixing import mix, mixed_rows, source_targets
 from lectern.llm.ngram_join import Join, announced, drop_near_duplicates, jaccard_components, linked
@@ -471,25 +471,67 @@ def test_page():
 def test_site_templates(spark):
     promo = "<section><h3>Read our paper</h3><p>Every day</p></section>"
     pages = [(i, "http://h.org/x", f"<body><article><p>Story {i}</p><p>Shared passage</p>{promo}</article></body>") for i in range(12)]
-    pages += [(100 + i, "http://other.org/x", f"<body><article><p>Tale {i}</p>{promo}</article></body>") for i in range(3)]
+    pages += [(100 + i, "http://other.org/x", f"<body><article><p>Tale {i}</p>{promo if i < 2 else ''}</article></body>") for i in range(12)]
     pages += [(200 + i, "http://copy.org/", f"<body><article><p>Same</p>{promo}</article></body>") for i in range(30)]
-    pages += [(300, None, None), (301, "x", ""), (302, "http://h.org/y", PAGE)]
-    docs = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({n: F.lit(1) for n in ("host", "text", "page", "element", "elements", "_salt")})
-    got = {r["page_id"]: r for r in main_texts(docs).collect()}
-    assert got[3]["text"] == "Story 3 Shared passage" and got[3]["n_chars"] == len(got[3]["text"])
-    assert got[101]["text"] == "Tale 1 Read our paper Every day" and got[205]["text"] == "Same Read our paper Every day"
-    assert (got[300]["text"], got[301]["text"], got[300]["n_chars"]) == ("", "", 0) and got[302]["text"].startswith("Head & more")
+    pages += [(300, None, None), (301, "x", ""), (302, "http://h.org/y", PAGE), (3, "http://h.org/x", pages[3][2]), (None, "http://h.org/x", pages[3][2])]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({n: F.lit(1) for n in ("host", "text", "page", "element", "elements", "_salt", "row", "subtree")})
+    for most in (10**6, 0):  # templates broadcast, and joined
+        rows = main_texts(docs, broadcast=most).collect()
+        got = {r["page_id"]: r for r in rows}
+        assert len(rows) == len(pages) and sum(r["text"] == "Story 3 Shared passage" for r in rows) == 3
+        assert got[3]["text"] == "Story 3 Shared passage" and got[3]["n_chars"] == len(got[3]["text"]) and got[3]["removed"] == 1
+        assert got[101]["text"] == "Tale 1 Read our paper Every day" and got[205]["text"] == "Same Read our paper Every day"
+        assert (got[300]["text"], got[301]["text"], got[300]["n_chars"]) == ("", "", 0) and got[302]["text"].startswith("Head & more")
     assert main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def site(n=20):
+    """Pages with neutral names: what is template shows by recurrence only. Menus, dates and teasers change from page to page."""
+    rng = random.Random(1)
+    words = lambda k: " ".join(f"w{rng.randrange(9999)}" for _ in range(k))
+    for i in range(n):
+        menu = "".join(f'<li><a href="/{rng.random()}">{words(1)}</a></li>' for _ in range(rng.randrange(3, 7)))
+        story = "".join(f"<p>{words(rng.randrange(20, 60))}</p>" for _ in range(rng.randrange(2, 6)))
+        yield i, f"http://n.org/{i}", f'<body><div class="x1"><ul>{menu}</ul></div><div class="x2"><h1>{words(4)}</h1>{story}<div><p>{words(9)}</p></div></div><div class="x3"><p>{words(6)}</p></div></body>'
+
+
+def test_recurrence_alone_finds_templates(spark):
+    pages = list(site())
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    for by_name in (True, False):
+        for r in main_texts(rows, by_name=by_name).collect():
+            middle = pages[r["page_id"]][2].split('<div class="x2">')[1].split('<div class="x3">')[0]
+            assert r["text"] == " ".join(re.sub("<[^>]*>", " ", middle).split()) and r["removed"] == 3
+    few = main_texts(rows.filter("page_id < 2")).collect()
+    assert all(r["removed"] == 0 and len(r["text"].split()) > 40 for r in few)
+
+
+def test_templates_by_brute_force(spark):
+    """Digests counted by dictionaries over pages of different content, and Wilson's bound by its formula."""
+    pages = [*site(12), *[(50 + i, f"http://m.org/{i}", f"<body><div>menu {i % 3}</div><article><p>text {i}</p><div>again</div></article></body>") for i in range(9)]]
+    seen, total = {}, {}
+    for _, url, source in pages:
+        host, page = url.split("/")[2], Page(source)
+        total.setdefault(host, set()).add(page.main_text())
+        for _, k in page.keyed(host):
+            seen.setdefault((host, k), set()).add(page.main_text())
+    want = set()
+    for (host, k), texts in seen.items():
+        n, m = len(texts), len(total[host])
+        p, z = n / m, 9 / m
+        if n > 1 and (p + z / 2 - 3 * (p * (1 - p) / m + z / (4 * m)) ** 0.5) / (1 + z) >= 0.2:
+            want.add(k)
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "://([^/]*)", 1))
+    assert {r["subtree"] for r in site_templates(rows).collect()} == want and len(want) >= 4
+
+
 def test_article_parts_are_not_templates(spark):
     parts = "<p>H<sub>2</sub>O <code>None</code></p><table><tr><td>Yes</td></tr></table><ul><li>One</li></ul>"
     pages = [(i, "http://h.org/x", f"<body><article><p>Story {i}</p>{parts}</article></body>") for i in range(12)]
-    pages += [(100 + i, "http://bare.org/x", f"<body><p>Tale {i}</p><p>x<sup>1</sup></p><table><tr><td>Yes</td></tr><tr><td>{i}</td></tr></table></body>") for i in range(12)]
-    pages += [(200 + i, "http://many.org/x", f"<body><article><p>Note {i}</p>{'<div><p>Shared</p></div>' if i < 11 else ''}<div><p>Promo</p></div></article></body>") for i in range(50)]
+    named = "".join(f'<p class="{c}">{c}</p>' for c in ("alert", "search-results", "related-work", "share-of-votes")) + '<div class="comments">gone</div>'
+    pages += [(20, "http://i.org/", f"<body><article><p>Story</p>{named}</article></body>")]
     got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Story 3 H2O None Yes One" and got[103] == "Tale 3 x1 Yes 3"
-    assert got[203] == "Note 3 Shared" and got[230] == "Note 30"
+    assert got[5] == "Story 5 H2O None Yes One" and got[20] == "Story alert search-results related-work share-of-votes"
 
 
 # 8: URL filter
