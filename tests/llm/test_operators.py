@@ -26,7 +26,7 @@ from lectern.llm.shingles import shingle_sets
 from lectern.llm.telephony import adpcm_samples, alaw_table, encode_media, media_features, mulaw_table, resampled, wav_codes, wav_file, write_pcm
 from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, read_documents, verified_documents, write_store
 from lectern.llm.toxicity import BlockIndex, Bounds, drop_toxic, score_toxicity
-from lectern.llm.url_filter import judge_urls
+from lectern.llm.url_filter import PRIOR, PRIOR_BRANCHES, PRIOR_ROWS, judge_urls, template_purity
 from lectern.llm.word_bpe import bpe_round_trip, loaded
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -577,6 +577,52 @@ def test_deep_templates_learn_from_rules(spark):
     assert len(got) == 40 and {r["template"] for r in got} == {"/*/a/b/c/d/*"} and {r["verdict"] for r in got} == {"block"}
 
 
+def brute_purity(tree):
+    """Purity of each (host, template) by recursion over prefixes, with every level looked at; ``tree`` is {(host, template): (good, bad)}."""
+    def share(rows):
+        good, bad = sum(g for g, _ in rows), sum(b for _, b in rows)
+        return good / (good + bad) if good + bad else None
+
+    def drawn(own, others, expected):
+        others = [s for s in others if s is not None]
+        return (sum(others) + PRIOR_BRANCHES * expected) / (len(others) + PRIOR_BRANCHES)
+
+    out = {}
+    for (host, template), own in tree.items():
+        expected = PRIOR
+        for depth in range(len(template)):
+            siblings = {}
+            for (h, t), labels in tree.items():
+                if h == host and t[:depth] == template[:depth]:
+                    siblings.setdefault(t[depth : depth + 1], []).append(labels)
+            expected = drawn(None, [share(v) for k, v in siblings.items() if k != template[depth : depth + 1] and k], expected) if len(siblings) > 1 else expected
+        if any(s not in ("*", "#") for s in template):
+            expected = drawn(None, [share([v]) for (h, t), v in tree.items() if t == template and h != host], expected)
+        out[host, template] = (own[0] + PRIOR_ROWS * expected) / (sum(own) + PRIOR_ROWS)
+    return out
+
+
+def test_purity_by_brute_force(spark):
+    rng, tree = random.Random(5), {}
+    for _ in range(120):
+        template = tuple(rng.choice(["en", "de", "*", "#", "a"]) for _ in range(rng.randrange(1, 5)))
+        tree[f"h{rng.randrange(6)}", template] = rng.choice([(0, 0), (0, 0), (3, 0), (0, 5), (2, 1)])
+    rows = spark.createDataFrame([(h, list(t), g, b) for (h, t), (g, b) in tree.items()], "host string, template array<string>, good long, bad long").repartition(3)
+    got = {(r["host"], tuple(r["template"])): r["purity"] for r in template_purity(rows).collect()}
+    want = brute_purity(tree)
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_labels_reach_other_hosts(spark):
+    """Hosts without labels: a template that is blocked elsewhere is blocked, any other allowed; very long paths are compared whole."""
+    urls = [f"http://h{h}.example.com/{lang}/{i}" for h in range(8) for lang in ("en", "de") for i in range(6)] + [f"http://free.org/{lang}/{i}" for lang in ("en", "de") for i in range(6)]
+    urls += ["http://long.org/" + "/".join(["seg"] * 300) + end for end in ("/a", "/b")]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    verdicts = {(r["host"], r["path"].split("/")[1]): r["verdict"] for r in got}
+    assert verdicts["free.org", "en"] == "block" and verdicts["free.org", "de"] == "allow" and verdicts["long.org", "seg"] == "allow"
+    assert len({r["purity"] for r in got if r["host"] == "free.org"}) == 2
+
+
 # 9: toxicity
 
 
