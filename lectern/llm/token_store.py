@@ -6,9 +6,11 @@ chunks' addresses in order, and the Merkle root over them. The store is a folder
 
 * ``objects/kind=chunk``: key (address), data (ids, little-endian unsigned, 2 or 4 bytes each)
 * ``index``: doc_id, start, n_tokens, root, recipe (addresses, 32 bytes each), in ascending doc_id order
-* ``manifest``: per run of the index its first id, documents, tokens and the Merkle root over the documents' roots
+* ``manifest``: a Merkle tree over the documents' roots in index order, as nodes (level, place, first, documents, tokens, root): a node of
+  level 0 covers ``FAN`` documents, a node above ``FAN`` nodes; the last level has one node
 
-Reading back recomputes every address from the stored bytes and every root from the recipe. Checksums of documents
+Reading back recomputes every address from the stored bytes, every root from the recipe and every node of the manifest
+from the index; what is missing or altered shows as documents that are not verified. Checksums of documents
 are combined from those of their chunks (a CRC of a concatenation follows from the parts' CRCs and lengths), so a
 verification moves a few bytes for each chunk; ``read_documents`` reassembles the ids themselves.
 """
@@ -24,16 +26,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, written
+from lectern.llm.common import map_arrow, salted_join, sliced, written
 from lectern.llm.pieces import PieceTable, flattened
 from lectern.llm.word_bpe import byte_characters
+from lectern.shipping import ship
 
 #: A chunk has 256 ids on average: a cut where the top 8 bits of the rolling hash are 0.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
+#: Children of a node of the manifest.
+FAN = 4096
 #: White space beside white space, at the end, or of another kind than space and line break: such texts are encoded as a whole.
 JOINED_SPACE = "[ \n][ \n]|\n\\z|[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
 #: Signs that stand apart from a word before them; an apostrophe may not.
@@ -209,85 +215,137 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     kind = f"<u{width}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, row, seen = TaskContext.get().partitionId(), 0, set()
-        names = ["kind", "key", "data", "doc_id", "n_tokens", "root"]
-        for whole in batches:
-            for first in range(0, len(whole), 1000):
-                batch, chunks, recipes = whole.slice(first, 1000), {}, []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1)), strict=True):
-                    ids, start, keys = np.append(ids, end_id), 0, []
-                    for end in chunk_ends(ids):
-                        data = ids[start:end].astype(kind).tobytes()
-                        keys.append(key := hashlib.sha256(data).digest())
-                        start = end
-                        if key not in seen:
-                            seen.add(key)
-                            chunks[key] = data
-                    recipes.append((b"%d/%d" % (task, row), b"".join(keys), doc, len(ids), merkle_root(keys)))
-                    row += 1
-                if len(seen) > 500_000:  # later copies are found by the grouping
-                    seen.clear()
-                n, m = len(chunks), len(recipes)
-                key, data, doc, count, root = zip(*recipes, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m), pa.array([*chunks, *key], pa.binary()), pa.array([*chunks.values(), *data], pa.binary()), pa.array([None] * n + [*doc], pa.int64()), pa.array([None] * n + [*count], pa.int64()), pa.array([None] * n + [*root], pa.binary())], names=names)
+        seen: set[bytes] = set()
+        names = ["kind", "key", "data", "doc_id", "n_tokens", "root", "copies"]
+        for batch in sliced(batches, rows=1000, size=2_000_000):
+            chunks, recipes = {}, {}
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1)), strict=True):
+                ids, start, keys = np.append(ids, end_id), 0, []
+                for end in chunk_ends(ids):
+                    data = ids[start:end].astype(kind).tobytes()
+                    keys.append(key := hashlib.sha256(data).digest())
+                    start = end
+                    if key not in seen:
+                        seen.add(key)
+                        chunks[key] = data
+                root = merkle_root(keys)
+                # A recipe's key is its content and the document's id, so a task that runs again gives the same.
+                name = root + (b"" if doc is None else doc.to_bytes(8, "big", signed=True))
+                recipes[name] = (b"".join(keys), doc, len(ids), root, recipes[name][4] + 1 if name in recipes else 1)
+            if len(seen) > 500_000:  # later copies are found by the grouping
+                seen.clear()
+            n, m = len(chunks), len(recipes)
+            data, doc, count, root, copies = zip(*recipes.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n + ["recipe"] * m, pa.string()), pa.array([*chunks, *recipes], pa.binary()), pa.array([*chunks.values(), *data], pa.binary()), pa.array([None] * n + [*doc], pa.int64()), pa.array([None] * n + [*count], pa.int64()), pa.array([None] * n + [*root], pa.binary()), pa.array([1] * n + [*copies], pa.int64())], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    objects = map_arrow(rows, cut, "kind string, key binary, data binary, doc_id long, n_tokens long, root binary")
-    objects = objects.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("data", "doc_id", "n_tokens", "root")])
+    objects = map_arrow(rows, cut, "kind string, key binary, data binary, doc_id long, n_tokens long, root binary, copies long")
+    objects = objects.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("data", "doc_id", "n_tokens", "root")], F.sum("copies").alias("copies"))
     objects.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
     _write_index(docs.sparkSession, path)
 
 
 def _objects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, data binary, doc_id long, n_tokens long, root binary, kind string").parquet(f"{path}/objects")
+    return spark.read.schema("key binary, data binary, doc_id long, n_tokens long, root binary, copies long, kind string").parquet(f"{path}/objects")
 
 
 def _write_index(spark: SparkSession, path: str) -> None:
-    """Recipes in id order with the number of ids before each: sums of range partitions first, then sums within one."""
-    recipes = _objects(spark, path).filter("kind = 'recipe'").select("doc_id", "n_tokens", "root", F.col("data").alias("recipe"))
+    """Recipes in id order, with the number of ids and of documents before each: sums of range partitions first, then sums within one."""
+    recipes = _objects(spark, path).filter("kind = 'recipe'").select("doc_id", "n_tokens", "root", F.col("data").alias("recipe"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
     order = ["doc_id", "root", "recipe"]
     placed = written(recipes.repartitionByRange(*order).withColumn("run", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "recipes")
-    runs = placed.groupBy("run").agg(F.sum("n_tokens").alias("run_tokens"), F.min("doc_id").alias("first_id"), F.count("*").alias("documents"))
+    runs = placed.groupBy("run").agg(F.sum("n_tokens").alias("run_tokens"), F.count("*").alias("run_documents"))
     before = W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)  # one row for each range partition
-    runs = written(runs.withColumn("run_start", F.coalesce(F.sum("run_tokens").over(before), F.lit(0))), "runs")
+    sums = {"run_start": F.coalesce(F.sum("run_tokens").over(before), F.lit(0)), "run_place": F.coalesce(F.sum("run_documents").over(before), F.lit(0))}
+    runs = written(runs.withColumns(sums), "runs")
     inner = W.partitionBy("run").orderBy(*order, "row").rowsBetween(W.unboundedPreceding, -1)
-    started = placed.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(runs.select("run", "run_start"), "run")
-    index = started.select("doc_id", (F.col("run_start") + F.col("inner")).alias("start"), "n_tokens", "root", "recipe", "run")
+    started = placed.withColumns({"inner": F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)), "nth": F.count("*").over(inner)}).join(runs.select("run", "run_start", "run_place"), "run")
+    index = started.select("doc_id", (F.col("run_start") + F.col("inner")).alias("start"), "n_tokens", "root", "recipe", (F.col("run_place") + F.col("nth")).alias("place"))
     index.repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/index")
-    roots = read_index(spark, path).groupBy("run").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-    runs.join(roots, "run").write.parquet(f"{path}/manifest")
+    manifest_nodes(read_index(spark, path)).write.parquet(f"{path}/manifest")
+
+
+def manifest_nodes(index: DataFrame) -> DataFrame:
+    """The nodes of the Merkle tree over ``index`` (place, n_tokens, root); each groups a fixed run of children, so no row grows with the corpus."""
+
+    @F.pandas_udf("binary")
+    def tree_root(roots):
+        return roots.map(lambda r: merkle_root([bytes(x) for x in r]))
+
+    def grouped(children: DataFrame, level: int) -> DataFrame:
+        at = F.floor(F.col("place") / FAN).cast("long")
+        rows = children.groupBy(at.alias("place")).agg(F.min("first").alias("first"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("place", "root")))["root"].alias("roots"))
+        return written(rows.select(F.lit(level).alias("level"), "place", "first", "documents", "tokens", tree_root("roots").alias("root")), "manifest-level")
+
+    ship(index.sparkSession)
+    nodes = grouped(index.select("place", F.col("place").alias("first"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), "root"), 0)
+    out, level = nodes, 0
+    while (nodes.agg(F.max("place")).first()[0] or 0) > 0:
+        level += 1
+        nodes = grouped(nodes.drop("level"), level)
+        out = out.unionByName(nodes)
+    return out
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("level int, place long, first long, documents long, tokens long, root binary").parquet(f"{path}/manifest")
+
+
+def damaged_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(place): numbers of the runs of ``FAN`` documents whose node, or a node above it, does not agree with the index.
+
+    A missing manifest agrees with nothing. Nodes are few: one for ``FAN`` documents.
+    """
+    index = read_index(spark, path)
+    found = manifest_nodes(index).select("level", "place", *[F.col(c).alias(f"own_{c}") for c in ("documents", "tokens", "root")])
+    try:
+        stored = read_manifest(spark, path)
+    except AnalysisException:
+        stored = spark.createDataFrame([], "level int, place long, first long, documents long, tokens long, root binary")
+    joined = found.join(stored, ["level", "place"], "full")
+    bad = joined.filter(F.coalesce((F.col("own_root") != F.col("root")) | (F.col("own_documents") != F.col("documents")) | (F.col("own_tokens") != F.col("tokens")), F.lit(True))).select("level", "place")
+    # A bad node above covers all runs below it; the root differs whenever anything does, so only nodes whose children all agree count by themselves.
+    bad = written(bad, "bad-nodes")
+    below = bad.filter("level > 0").select("level", "place").join(bad.select((F.col("level") + 1).alias("level"), F.floor(F.col("place") / FAN).cast("long").alias("place")).distinct(), ["level", "place"], "left_anti")
+    spread = below.select(F.explode(F.sequence(F.col("place") * F.pow(F.lit(float(FAN)), "level").cast("long"), (F.col("place") + 1) * F.pow(F.lit(float(FAN)), "level").cast("long") - 1)).alias("place"))
+    runs = found.filter("level = 0").select("place")
+    return bad.filter("level = 0").select("place").unionByName(runs.join(spread, "place", "left_semi")).distinct()
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, recipe binary, run int").parquet(f"{path}/index")
+    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, recipe binary, place long").parquet(f"{path}/index")
 
 
 def _addresses(index: DataFrame) -> DataFrame:
-    """One row for each chunk of each recipe: doc_id, start, n_tokens, root, at, key."""
+    """One row for each chunk of each recipe: doc_id, start, n_tokens, root, place, at, key."""
     at = F.explode(F.sequence(F.lit(0), (F.octet_length("recipe") / 32 - 1).cast("int"))).alias("at")
-    return index.select("doc_id", "start", "n_tokens", "root", "recipe", at).withColumn("key", F.substring(F.col("recipe"), F.col("at") * 32 + 1, F.lit(32))).drop("recipe")
+    return index.select("doc_id", "start", "n_tokens", "root", "place", "recipe", at).withColumn("key", F.substring(F.col("recipe"), F.col("at") * 32 + 1, F.lit(32))).drop("recipe")
 
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids): the id streams, reassembled from chunks by their recipes, end ids included."""
+    """(doc_id, start, ids): the id streams, reassembled from chunks by their recipes, end ids included; null where a chunk is missing.
+
+    An empty store gives no rows; repeated documents and null ids are rows of their own.
+    """
 
     @F.pandas_udf("array<int>")
     def joined(parts):
-        return parts.map(lambda p: np.frombuffer(b"".join(p), f"<u{width}").astype(np.int32))
+        return parts.map(lambda p: None if any(x is None for x in p) else np.frombuffer(b"".join(p), f"<u{width}").astype(np.int32))
 
+    ship(spark)
     chunks = _objects(spark, path).filter("kind = 'chunk'").select("key", "data")
-    parts = _addresses(read_index(spark, path)).join(chunks, "key")
-    grouped = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("parts"))
+    parts = salted_join(_addresses(read_index(spark, path)), chunks, ["key"], F.struct("place", "at"), salts=4)
+    grouped = parts.groupBy("place", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("parts"))
     return grouped.select("doc_id", "start", joined(F.col("parts.data")).alias("ids"))
 
 
 def verified_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, verified) of every document, all from the store's files.
+    """(doc_id, start, n_tokens, ids_crc32, verified) of every document of the index, all from the store's files.
 
     ``verified``: each chunk's bytes have the address they are stored under, all chunks of the recipe are there,
-    the Merkle root over them is the stored one, and the ids are as many as the index says.
+    the Merkle root over them is the stored one, the ids are as many as the index says, and the manifest agrees with the index
+    about the document's run. A missing chunk has the checksum of no bytes. An empty store gives no rows; repeated documents and null ids
+    are rows of their own.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +353,7 @@ def verified_documents(spark: SparkSession, path: str, width: int = 2) -> DataFr
             keys, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             crcs = [zlib.crc32(np.frombuffer(d, f"<u{width}").astype("<u4").tobytes()) for d in data]
             good = [hashlib.sha256(d).digest() == k for k, d in zip(keys, data, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array([len(d) // width for d in data], pa.int64()), pa.array(good)], names=["key", "crc", "n", "good"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array([len(d) // width for d in data], pa.int64()), pa.array(good, pa.bool_())], names=["key", "crc", "n", "good"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _crc_tables()
@@ -311,9 +369,14 @@ def verified_documents(spark: SparkSession, path: str, width: int = 2) -> DataFr
             total, faults = np.add.reduceat(sizes, at[:-1]), np.add.reduceat(1 - good, at[:-1])
             roots = [merkle_root(keys[a:b]) for a, b in zip(at, at[1:], strict=False)]
             fine = (total == np.asarray(batch.column(2))) & (faults == 0) & np.array([a == b for a, b in zip(roots, batch.column(3).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), pa.array(fine)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), pa.array(fine, pa.bool_()), batch.column(5)], names=["doc_id", "start", "n_tokens", "ids_crc32", "fine", "place"])
 
     chunks = map_arrow(_objects(spark, path).filter("kind = 'chunk'").select("key", "data"), sums, "key binary, crc long, n long, good boolean")
-    parts = _addresses(read_index(spark, path)).join(chunks, "key")  # one exchange on either side, so adaptive execution splits a hot chunk
-    grouped = parts.groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("at", "key", "crc", "n", "good"))).alias("parts"))
-    return map_arrow(grouped.select("doc_id", "start", "n_tokens", "root", "parts"), combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    # Missing chunks keep their documents in the result.
+    parts = salted_join(_addresses(read_index(spark, path)), chunks, ["key"], F.struct("place", "at"), salts=4)
+    part = F.struct("at", "key", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(False)).alias("good"))
+    grouped = parts.groupBy("place", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    combined = map_arrow(grouped.select("doc_id", "start", "n_tokens", "root", "parts", "place"), combine, "doc_id long, start long, n_tokens long, ids_crc32 long, fine boolean, place long")
+    bad = damaged_runs(spark, path).withColumn("bad", F.lit(True)).withColumnRenamed("place", "run")
+    judged = combined.withColumn("run", F.floor(F.col("place") / FAN).cast("long")).join(bad, "run", "left")
+    return judged.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("fine") & F.col("bad").isNull()).alias("verified"))

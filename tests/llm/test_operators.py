@@ -24,7 +24,7 @@ from lectern.llm.mixing import mix, mixed_rows, source_targets
 from lectern.llm.ngram_join import Join, announced, drop_near_duplicates, jaccard_components, linked
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.telephony import adpcm_samples, alaw_table, encode_media, media_features, mulaw_table, resampled, wav_codes, wav_file, write_pcm
-from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, read_documents, verified_documents, write_store
+from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, merkle_root, read_documents, read_index, verified_documents, write_store
 from lectern.llm.toxicity import BlockIndex, Bounds, drop_toxic, score_toxicity
 from lectern.llm.url_filter import PRIOR, PRIOR_BRANCHES, PRIOR_ROWS, judge_urls, template_purity
 from lectern.llm.word_bpe import bpe_round_trip, loaded
@@ -77,7 +77,9 @@ def test_token_store(spark, sf_dir):
         start += len(ids[i])
     chunks = spark.read.parquet(f"{folder}/objects").filter("kind = 'chunk'")
     assert chunks.count() == chunks.select("key").distinct().count()
-    assert spark.read.parquet(f"{folder}/manifest").agg(F.sum("documents")).first()[0] == len(texts)
+    nodes = spark.read.parquet(f"{folder}/manifest").collect()
+    roots = [r["root"] for r in read_index(spark, folder).orderBy("place").collect()]
+    assert [(n["documents"], n["tokens"], bytes(n["root"])) for n in nodes] == [(len(texts), start, merkle_root(list(map(bytes, roots))))]
 
 
 def test_token_store_of_nothing(spark):
@@ -94,6 +96,49 @@ def test_token_store_repeated_and_null_ids(spark):
     assert [g[0] for g in got] == [0, 2, 4, 6] and got[0][1] is None and all(g[2] for g in got)
 
 
+@pytest.mark.parametrize("damage", ["chunk gone", "chunk altered", "index altered", "manifest gone", "manifest altered", "top altered"])
+def test_token_store_detects_damage(spark, monkeypatch, tmp_path, damage):
+    """Every document stays in the result; those that the damage touches are not verified."""
+    from lectern.llm import token_store
+
+    monkeypatch.setattr(token_store, "FAN", 3)
+    texts = [f"text number {i} " * 40 for i in range(10)]
+    folder = str(tmp_path / "store")
+    write_store(documents(spark, texts), folder, tokenizer("byte_bpe_50k.json"))
+    assert all(r["verified"] for r in verified_documents(spark, folder).collect())
+
+    def rewrite(name, change, by=None):
+        kept = str(tmp_path / f"new-{name}")
+        change(spark.read.parquet(f"{folder}/{name}")).write.partitionBy(*([by] if by else [])).parquet(kept)
+        (tmp_path / "store" / name).rename(tmp_path / f"old-{name}")
+        (tmp_path / f"new-{name}").rename(tmp_path / "store" / name)
+
+    first = bytes(read_index(spark, folder).filter("doc_id = 4").first()["recipe"])[:32]
+    sharing = {r["doc_id"] for r in read_index(spark, folder).collect() if first in [bytes(r["recipe"])[k : k + 32] for k in range(0, len(r["recipe"]), 32)]}
+    if damage == "chunk gone":
+        rewrite("objects", lambda d: d.filter(F.col("key") != F.lit(first)), "kind")
+        want = sharing
+    elif damage == "chunk altered":
+        rewrite("objects", lambda d: d.withColumn("data", F.when(F.col("key") == F.lit(first), F.unhex(F.concat(F.lit("0001"), F.substring(F.hex("data"), 5, 9999)))).otherwise(F.col("data"))), "kind")
+        want = sharing
+    elif damage == "index altered":
+        rewrite("index", lambda d: d.withColumn("n_tokens", F.when(F.col("doc_id") == 4, 7).otherwise(F.col("n_tokens"))))
+        want = {3, 4, 5}
+    elif damage == "manifest gone":
+        (tmp_path / "store" / "manifest").rename(tmp_path / "gone")
+        want = set(range(10))
+    elif damage == "manifest altered":
+        rewrite("manifest", lambda d: d.withColumn("root", F.when((F.col("level") == 0) & (F.col("place") == 1), F.lit(b"x")).otherwise(F.col("root"))))
+        want = {3, 4, 5}
+    else:
+        rewrite("manifest", lambda d: d.withColumn("tokens", F.when(F.col("level") == 2, 1).otherwise(F.col("tokens"))))
+        want = set(range(10))
+    got = verified_documents(spark, folder).collect()
+    assert len(got) == 10 and {r["doc_id"] for r in got if not r["verified"]} == want
+    read = {r["doc_id"]: r["ids"] for r in read_documents(spark, folder).collect()}
+    assert len(read) == 10 and (damage != "chunk gone" or {i for i, x in read.items() if x is None} == want)
+
+
 def test_chunks_and_checksums():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 30_000).astype(np.int32)
