@@ -35,17 +35,20 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Bounds:
-    """Labelled rows to learn from at most; neighbours that vote; examples in a block; rows of the mean rate that smooth a word's counts; weight of the mean rate in a vote."""
+    """Labelled rows to learn from at most; neighbours that vote; examples in a block; share of examples from which a word is frequent, and
+    how many are at most; rows of the mean rate that smooth a word's counts; weight of the mean rate in a vote."""
 
     examples: int = 4000
     neighbours: int = 15
     block: int = 32
+    rare: float = 0.02
+    frequent: int = 1024
     smoothing: float = 5.0
     shrink: float = 0.5
 
 
-#: Results of equal texts that a task keeps; similarity from which an example does not vote on a copy of itself.
-KEPT_RESULTS, SAME = 20_000, 0.95
+#: Results of equal texts that a task keeps; similarity from which an example does not vote on a copy of itself; queries at a time.
+KEPT_RESULTS, SAME, QUERIES = 20_000, 0.95, 128
 
 
 def word_counts(text: str | None) -> Counter:
@@ -59,7 +62,12 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class BlockIndex:
-    """Examples (id, toxic, word numbers, counts) as unit vectors in an inverted index with block maxima; ``nearest`` finds the exact k best cosines."""
+    """Examples (id, toxic, word numbers, counts) as unit vectors in an inverted index of blocks of examples; ``nearest`` finds the exact k best cosines of many queries.
+
+    Words that few examples have lie in posting lists and are summed for every example that has them. Words that many have
+    lie in blocks (examples by words) with the largest weight of each word in each block: a query's sum over them and the largest
+    rare sum in a block bound the block's cosines, and a block is multiplied with the queries only that it may serve.
+    """
 
     def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: np.ndarray, bounds: Bounds):
         self.bounds, self.weight = bounds, weight
@@ -73,53 +81,79 @@ class BlockIndex:
         terms = np.concatenate([np.zeros(0, np.int64), *[v[2] for v in vectors]])
         owner = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
         weights = np.concatenate([np.zeros(0), *[v[3] for v in vectors]])
+        #: Number of a frequent word among those, -1 for others.
+        frequent = np.argsort(-use, kind="stable")[: bounds.frequent]
+        frequent = frequent[use[frequent] > len(vectors) * bounds.rare]
+        self.column = np.full(len(weight), -1)
+        self.column[frequent] = np.arange(len(frequent))
+        own = self.column[terms] >= 0
+        self.cells = (owner[own], self.column[terms[own]], weights[own])
+        terms, owner, weights = terms[~own], owner[~own], weights[~own]
         order = np.lexsort((owner, terms))
         self.owner, self.weights = owner[order], weights[order]
-        # One entry for each word and block that has it: the block, the largest weight, where its postings begin.
-        cell = terms[order] * (self.blocks + 1) + self.owner // bounds.block
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.block = (self.owner // bounds.block)[first]
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.begin = np.append(first, len(self.owner))
-        self.entry = np.searchsorted(terms[order][first], np.arange(len(weight) + 1))
-
-    @property
-    def blocks(self) -> int:
-        return -(-len(self.ids) // self.bounds.block)
+        self.begin = np.searchsorted(terms[order], np.arange(len(weight) + 1))
+        self.dense: np.ndarray | None = None
+        self.most: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "most": None}
+
+    def _spread(self) -> None:
+        """The blocks, [block, example, word], and their largest weights, [word, block]; made once for each worker."""
+        size, blocks = self.bounds.block, -(-len(self.ids) // self.bounds.block)
+        flat = np.zeros((blocks * size, int(self.column.max(initial=-1)) + 1))
+        flat[self.cells[0], self.cells[1]] = self.cells[2]
+        self.dense = flat.reshape(blocks, size, -1)
+        self.most = np.ascontiguousarray(self.dense.max(1, initial=0).T)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weight[terms]
         return w / math.sqrt(float(w @ w) or 1.0)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, below: float = math.inf) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above 0 (and under ``below``), best first, ties by example; ``terms`` ascend, ``weights`` is their unit vector."""
-        entries = _ranges(self.entry[terms], self.entry[terms + 1])
-        if not len(entries):
-            return []
-        query = np.repeat(weights, self.entry[terms + 1] - self.entry[terms])
-        block, k = self.block[entries], self.bounds.neighbours
-        limits = np.bincount(block, query * self.most[entries], self.blocks)
-        order = np.argsort(-limits, kind="stable")
-        order, done, step = order[: int((limits > 0).sum())], 0, 4
-        best, near = np.zeros(0), np.zeros(0, np.int64)
-        while done < len(order) and (len(best) < k or limits[order[done]] + 1e-9 >= best[-1]):
-            part = order[done : done + step]
-            if len(best) == k:
-                part = part[limits[part] + 1e-9 >= best[-1]]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            own = np.flatnonzero(chosen[block])
-            starts, ends = self.begin[entries[own]], self.begin[entries[own] + 1]
-            at = _ranges(starts, ends)
-            sums = np.bincount(self.owner[at], np.repeat(query[own], ends - starts) * self.weights[at], len(self.ids))
-            found = np.flatnonzero(sums)
-            values = np.round(sums[found], 9)
-            found, values = found[values < below], values[values < below]
-            best, near = np.concatenate([best, values]), np.concatenate([near, found])
-            first = np.lexsort((near, -best))[:k]
-            best, near = best[first], near[first]
-            done, step = done + step, step * 4
-        return list(zip(best.tolist(), near.tolist(), strict=True))
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], below: float = math.inf) -> list[list[tuple[float, int]]]:
+        """For each query (ascending words, their unit vector): (cosine, example) of the k nearest with a cosine above 0 (and under ``below``), best first, ties by example."""
+        return [near for first in range(0, len(queries), QUERIES) for near in self._nearest(queries[first : first + QUERIES], below)]
+
+    def _nearest(self, queries: list, below: float) -> list[list[tuple[float, int]]]:
+        if not self.ids:
+            return [[] for _ in queries]
+        if self.dense is None:
+            self._spread()
+        (blocks, size, width), k, n = self.dense.shape, self.bounds.neighbours, len(queries)
+        terms, weights = np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries])
+        row, column = np.repeat(np.arange(n), [len(q[0]) for q in queries]), self.column[terms]
+        common = column >= 0
+        wide = np.zeros((n, width))
+        wide[row[common], column[common]] = weights[common]
+        terms, weights, row = terms[~common], weights[~common], row[~common]
+        starts, ends = self.begin[terms], self.begin[terms + 1]
+        at, times = _ranges(starts, ends), ends - starts
+        sums = np.bincount(np.repeat(row, times) * (blocks * size) + self.owner[at], np.repeat(weights, times) * self.weights[at], n * blocks * size).astype(np.float64).reshape(n, blocks, size)
+        limits = sums.max(2) + wide @ self.most
+        visited = np.zeros((n, blocks), bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                own = np.flatnonzero(wanted[:, b])
+                sums[own, b] += wide[own] @ self.dense[b].T
+            np.logical_or(visited, wanted, out=visited)
+
+        first = np.zeros((n, blocks), bool)
+        np.put_along_axis(first, np.argpartition(-limits, min(blocks, -(-2 * k // size)) - 1, 1)[:, : -(-2 * k // size)], True, 1)
+        visit(first & (limits > 0))
+        flat = sums.reshape(n, -1)
+        scores = lambda: np.where(np.repeat(visited, size, 1) & (flat < below - 1e-9), flat, 0.0)
+        least = np.partition(scores(), -k, 1)[:, -k] if flat.shape[1] >= k else np.zeros(n)
+        visit(~visited & (limits > 0) & (limits + 1e-9 >= least[:, None]))
+        final = np.round(scores(), 9)
+        out = []
+        for own in final:
+            found = np.flatnonzero(own)
+            if len(found) > k:
+                found = found[own[found] >= np.partition(own[found], -k)[-k]]
+            found = found[np.lexsort((found, -own[found]))][:k]
+            out.append(list(zip(own[found].tolist(), found.tolist(), strict=True)))
+        return out
 
     def vote(self, near: list[tuple[float, int]], base: float) -> float:
         """The share of toxic examples among the neighbours, weighted by similarity and shrunk towards ``base``, as log odds."""
@@ -237,7 +271,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()
         index = shared.value.index
         for batch in batches:
             own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.vote(index.nearest(*index.vectors[i], below=SAME), base) for i in own], pa.float64())], names=["at", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.vote(near, base) for near in index.nearest([index.vectors[i] for i in own], below=SAME)], pa.float64())], names=["at", "vote"])
 
     numbers = docs.sparkSession.range(0, len(model.index.ids), 1, max(1, min(64, len(model.index.ids) // 50))).select(F.col("id").alias("at"))
     cast = map_arrow(numbers, votes, "at long, vote double").toArrow().sort_by("at")
@@ -252,25 +286,21 @@ def _scorer(learned: tuple) -> Callable[[list[str | None]], list[tuple[float, li
     numbers, model, seen = _numbers(words), shared.value, {}
     index = model.index
 
-    def one(text: str | None) -> tuple[float, list[dict]]:
-        near = []
-        if index is not None:
-            found = sorted((numbers[w], n) for w, n in word_counts(text).items() if w in numbers)
-            if found:
-                terms, counts = np.array(found, np.int64).T
-                near = index.nearest(terms, index.unit(terms, counts))
-            return model.score(index.vote(near, model.base)), [{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "similarity": s} for s, i in near[:3]]
-        return model.base, []
+    def query(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = sorted((numbers[w], n) for w, n in word_counts(text).items() if w in numbers)
+        terms, counts = np.array(found, np.int64).reshape(-1, 2).T
+        return terms, index.unit(terms, counts)
 
     def score(texts: list[str | None]) -> list[tuple[float, list[dict]]]:
-        out = []
-        for text in texts:
-            key = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
-            if (result := seen.get(key)) is None:
-                if len(seen) >= KEPT_RESULTS:
-                    seen.clear()
-                result = seen[key] = one(text)
-            out.append(result)
+        if index is None:
+            return [(model.base, [])] * len(texts)
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
+        for key, near in zip(new, index.nearest([query(t) for t in new.values()]), strict=True):
+            seen[key] = (model.score(index.vote(near, model.base)), [{"doc_id": index.ids[i], "toxic": int(index.labels[i]), "similarity": s} for s, i in near[:3]])
+        out = [seen[k] for k in keys]
+        if len(seen) > KEPT_RESULTS:
+            seen.clear()
         return out
 
     return score
