@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow
+from lectern.llm.common import map_arrow, sliced
 from lectern.llm.token_store import mixed_bits
 
 BUCKETS, GRAMS, SWITCH, SMOOTHING, RARE = 1 << 16, (2, 3, 4), 12.0, 0.1, 0.002
@@ -129,25 +129,24 @@ def held_out_of(doc_id: Column, folds: int, fold: int) -> Column:
 def learn(rows: DataFrame) -> Model:
     """A model of ``rows`` (text, lang), all of them: n-gram and script counts for each language, summed by Spark.
 
-    Each task counts in fixed tables and gives what is not zero; the driver gets ``BUCKETS`` counts for each language.
+    Null and empty texts count for no n-gram, repeated rows each count, no rows give a model without languages; other columns are not
+    read. ``lang`` must not be null. Each task counts in fixed tables and gives what is not zero; the driver gets ``BUCKETS`` counts for each language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for whole in batches:
-            for first in range(0, len(whole), 500):
-                batch = whole.slice(first, 500)
-                words, langs = words_of(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), object)
-                for lang in set(langs):
-                    table = tables.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS + 1, np.int64))
-                    own = (langs == lang)[words.owner]
-                    for word, bucket in words.grams:
-                        table[:BUCKETS] += np.bincount(bucket[own[word]], minlength=BUCKETS)
-                    table[BUCKETS:-1] += np.bincount(words.script[own], words.letters[own], N_SCRIPTS).astype(np.int64)
-                    table[-1] += int((langs == lang).sum())
+        for batch in sliced(batches, column=0, rows=500, size=1_000_000):
+            words, langs = words_of(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), object)
+            for lang in set(langs):
+                table = tables.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS + 1, np.int64))
+                own = (langs == lang)[words.owner]
+                for word, bucket in words.grams:
+                    table[:BUCKETS] += np.bincount(bucket[own[word]], minlength=BUCKETS)
+                table[BUCKETS:-1] += np.bincount(words.script[own], words.letters[own], N_SCRIPTS).astype(np.int64)
+                table[-1] += int((langs == lang).sum())
         for lang, table in tables.items():
             at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at])], names=["lang", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], names=["lang", "cell", "n"])
 
     counted = map_arrow(rows.select("text", "lang"), count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = counted.toArrow().to_pandas()
@@ -172,26 +171,24 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for whole in batches:
-            for first in range(0, len(whole), 500):
-                batch = whole.slice(first, 500)
-                words = words_of(batch.column(1).to_pylist())
-                scores, bounds = own.word_scores(words), np.searchsorted(words.owner, np.arange(len(batch) + 1))
-                rows = []
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    if a == b or not own.languages:
-                        rows.append(("und", 0.0, []))
-                        continue
-                    path, letters = best_path(scores[a:b], switch), words.letters[a:b]
-                    known = scores[a:b].min(1) < 0 if len(own.languages) > 1 else own.candidates[words.script[a:b], 0]
-                    weight = np.bincount(path[known], letters[known], len(own.languages))
-                    best = int(weight.argmax()) if weight.any() else own.commonest
-                    cuts = np.flatnonzero(np.diff(path, prepend=-1))
-                    spans = [{"first": int(i), "words": int(n), "lang": own.languages[path[i]]} for i, n in zip(cuts, np.diff(np.append(cuts, b - a)), strict=True)]
-                    rows.append((own.languages[best], float(weight[best] / letters.sum()), spans))
-                lang, score, spans = zip(*rows, strict=True)
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
+        for batch in sliced(batches, rows=500, size=1_000_000):
+            words = words_of(batch.column(1).to_pylist())
+            scores, bounds = own.word_scores(words), np.searchsorted(words.owner, np.arange(len(batch) + 1))
+            rows = []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a == b or not own.languages:
+                    rows.append(("und", 0.0, []))
+                    continue
+                path, letters = best_path(scores[a:b], switch), words.letters[a:b]
+                known = scores[a:b].min(1) < 0 if len(own.languages) > 1 else own.candidates[words.script[a:b], 0]
+                weight = np.bincount(path[known], letters[known], len(own.languages))
+                best = int(weight.argmax()) if weight.any() else own.commonest
+                cuts = np.flatnonzero(np.diff(path, prepend=-1))
+                spans = [{"first": int(i), "words": int(n), "lang": own.languages[path[i]]} for i, n in zip(cuts, np.diff(np.append(cuts, b - a)), strict=True)]
+                rows.append((own.languages[best], float(weight[best] / letters.sum()), spans))
+            lang, score, spans = zip(*rows, strict=True)
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, label, "doc_id long, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")

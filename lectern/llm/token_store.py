@@ -217,7 +217,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         names = ["kind", "key", "data", "doc_id", "n_tokens", "root", "copies"]
-        for batch in sliced(batches, rows=1000, size=2_000_000):
+        for batch in sliced(batches, rows=2000, size=4_000_000):
             chunks, recipes = {}, {}
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1)), strict=True):
                 ids, start, keys = np.append(ids, end_id), 0, []
@@ -372,8 +372,8 @@ def verified_documents(spark: SparkSession, path: str, width: int = 2) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), pa.array(fine, pa.bool_()), batch.column(5)], names=["doc_id", "start", "n_tokens", "ids_crc32", "fine", "place"])
 
     chunks = map_arrow(_objects(spark, path).filter("kind = 'chunk'").select("key", "data"), sums, "key binary, crc long, n long, good boolean")
-    # Missing chunks keep their documents in the result.
-    parts = salted_join(_addresses(read_index(spark, path)), chunks, ["key"], F.struct("place", "at"), salts=4)
+    # Missing chunks keep their documents in the result. One exchange on either side, so adaptive execution splits a hot chunk.
+    parts = _addresses(read_index(spark, path)).join(chunks, "key", "left")
     part = F.struct("at", "key", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(False)).alias("good"))
     grouped = parts.groupBy("place", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     combined = map_arrow(grouped.select("doc_id", "start", "n_tokens", "root", "parts", "place"), combine, "doc_id long, start long, n_tokens long, ids_crc32 long, fine boolean, place long")

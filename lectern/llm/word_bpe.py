@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import map_arrow
+from lectern.llm.common import map_arrow, sliced
 from lectern.llm.pieces import PieceTable, flattened
 
 SHORT, NEVER = 96, 1 << 60
@@ -140,15 +140,13 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path)
-        for whole in batches:
-            for first in range(0, len(whole), 500):
-                batch = whole.slice(first, 500)
-                ids, counts = bpe.encode(batch.column(1))
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                tokens = list(map(bpe.tokens.__getitem__, ids.tolist()))
-                decoded = pa.array([" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
+        for batch in sliced(batches, rows=500, size=2_000_000):
+            ids, counts = bpe.encode(batch.column(1))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            tokens = list(map(bpe.tokens.__getitem__, ids.tolist()))
+            decoded = pa.array([" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
