@@ -17,7 +17,7 @@ MARKS = {"utf-8": "EFBBBF", "utf-16le": "FFFE", "utf-16be": "FEFF"}
 def unsigned(data: Column, offset: Column | int, size: int) -> Column:
     """A big-endian number of ``size`` bytes at an offset; null beyond the end."""
     offset = F.lit(offset) if isinstance(offset, int) else offset
-    part = F.substring(data, offset.cast("int") + 1, F.lit(size))
+    part = F.substring(data, offset.try_cast("int") + 1, F.lit(size))
     return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
 
 

@@ -19,6 +19,7 @@ from lectern.functions.encoding import palmdoc, unsigned
 from lectern.functions.text import docx_text, js_length, js_trim, markup_to_plain, page_text, sanitize_control
 from lectern.operators import chapters as book
 from lectern.operators.decoding import best_decoding, decoding_warnings
+from lectern.shipping import written
 
 LEAST_BOOK_CHARACTERS = 500
 
@@ -63,7 +64,7 @@ def docx_documents(files: DataFrame) -> DataFrame:
 def epub_documents(files: DataFrame, skip_non_linear: bool = True, include_image_alt: bool = True, respect_aria_hidden: bool = False, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, chapters) of e-books: doc_id, text, title, author, warnings, error; and doc_id, pos, id, title, start_char, end_char."""
     opened = files.select("doc_id", arrow_udf(_text_entries, "struct<entries:array<struct<path:string,text:string>>,error:string>", F.col("content")).alias("x")).select("doc_id", "x.entries", F.col("x.error").alias("zip_error"))
-    opened = opened.persist()
+    opened = written(opened, "book-entries")
     entries = opened.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.path", "e.text")
     named = lambda path, name: entries.filter(F.col("path") == path).select("doc_id", F.col("text").alias(name))
     heads = opened.select("doc_id", "zip_error").join(named("META-INF/container.xml", "container"), "doc_id", "left").join(named("META-INF/encryption.xml", "encryption"), "doc_id", "left")
@@ -108,8 +109,9 @@ def mobi_headers(files: DataFrame) -> DataFrame:
     rows = files.withColumns({"size": F.octet_length(c), "kind": _ascii(c, 60, 4), "creator": _ascii(c, 64, 4), "listed": unsigned(c, 76, 2)})
     offsets = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce("listed", F.lit(1)) - 1, F.lit(0)).cast("int")), lambda i: unsigned(c, i * 8 + 78, 4)), lambda o: o.isNotNull())
     rows = rows.withColumn("offsets", F.when(F.coalesce("listed", F.lit(0)) > 0, offsets).otherwise(F.array().cast("array<bigint>"))).withColumn("records", F.size("offsets"))
-    start = F.coalesce(F.get("offsets", F.lit(0)), F.col("size")).cast("int")
-    first_end = F.least(F.col("size"), F.greatest(start, F.coalesce(F.get("offsets", F.lit(1)), F.col("size")).cast("int")))
+    # Offsets may be anything; what lies beyond the file is its end.
+    start = F.least(F.get("offsets", F.lit(0)), F.col("size")).cast("int")
+    first_end = F.greatest(start, F.least(F.get("offsets", F.lit(1)), F.col("size")).cast("int"))
     rows = rows.withColumns({"start": start, "first_size": F.greatest(first_end - start, F.lit(0))})
     at = F.col("start")
     rows = rows.withColumns({"compression": unsigned(c, at, 2), "text_length": unsigned(c, at + 4, 4), "text_records": unsigned(c, at + 8, 2), "encryption": unsigned(c, at + 12, 2), "magic": unsigned(c, at + 16, 4), "header_length": unsigned(c, at + 20, 4), "code_page": unsigned(c, at + 28, 4), "first_other": F.coalesce(unsigned(c, at + 124, 4), F.lit(0).cast("long"))})
@@ -127,7 +129,7 @@ def mobi_headers(files: DataFrame) -> DataFrame:
 
 def mobi_metadata(headers: DataFrame) -> DataFrame:
     """(doc_id, title, author) from the extended header: records of type 503 and 100, the last of each."""
-    c, at = F.col("content"), (F.col("start") + 16 + F.col("header_length")).cast("int")
+    c, at = F.col("content"), (F.col("start") + 16 + F.col("header_length")).try_cast("int")
     rows = headers.filter("error is null").withColumn("at", at).withColumn("flags", unsigned(c, F.col("start") + 16 + 128, 4)).filter(F.col("flags").bitwiseAND(0x40) != 0)
     rows = rows.filter(unsigned(c, F.col("at"), 4) == 0x45585448).withColumn("n", unsigned(c, F.col("at") + 8, 4))
     empty = F.struct((F.col("at") + 12).alias("next"), F.lit(None).cast("binary").alias("title"), F.lit(None).cast("binary").alias("author"), F.lit(True).alias("going"))
@@ -138,7 +140,7 @@ def mobi_metadata(headers: DataFrame) -> DataFrame:
         data = F.when(fits & (size > 8), F.substring(c, (s["next"] + 9).cast("int"), (size - 8).cast("int")))
         return F.struct(F.when(fits, s["next"] + size.cast("int")).otherwise(s["next"]).cast("int").alias("next"), F.when(kind == 503, F.coalesce(data, s["title"])).otherwise(s["title"]).alias("title"), F.when(kind == 100, F.coalesce(data, s["author"])).otherwise(s["author"]).alias("author"), fits.alias("going"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(100_000)), F.lit(1)).cast("int")), empty, step)
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("n", F.octet_length(c) / 8), F.lit(1)).cast("int")), empty, step)
     rows = rows.withColumn("m", found)
     text = lambda name: F.when(F.is_valid_utf8(F.col(f"m.{name}").cast("string")), F.col(f"m.{name}").cast("string"))
     return rows.select("doc_id", text("title").alias("title"), text("author").alias("author"))
@@ -148,7 +150,7 @@ def mobi_text_bytes(headers: DataFrame) -> DataFrame:
     """(doc_id, data): the text records, decompressed and joined as far as the declared length, without zeros at the end."""
     last = F.when((F.col("first_other") > 0) & (F.col("first_other") < F.col("records")), F.col("first_other")).otherwise(F.greatest(F.lit(0), F.least(F.col("records") - 1, F.when(F.col("text_records") > 0, F.col("text_records")).otherwise(F.col("records") - 1))) + 1)
     rows = headers.filter("error is null").select("doc_id", "content", "compression", "text_length", "records", "size", "offsets", last.alias("last"))
-    rows = rows.select("*", F.posexplode("offsets").alias("pos", "begin")).filter("pos >= 1 and pos < last")
+    rows = rows.select("*", F.posexplode("offsets").alias("pos", "begin")).filter("pos >= 1 and pos < last").withColumn("begin", F.least("begin", "size"))
     stop = F.least(F.col("size"), F.greatest(F.col("begin"), F.coalesce(F.get("offsets", F.col("pos") + 1), F.col("size"))))
     records = rows.select("doc_id", "pos", "compression", "text_length", F.when(F.col("begin") < F.col("size"), F.substring("content", (F.col("begin") + 1).cast("int"), (stop - F.col("begin")).cast("int"))).alias("record")).filter("octet_length(record) > 0")
     parts = records.filter("compression = 1").withColumn("part", F.col("record")).unionByName(records.filter("compression = 2").withColumn("part", palmdoc(F.col("record"))))
@@ -156,13 +158,13 @@ def mobi_text_bytes(headers: DataFrame) -> DataFrame:
     kept = parts.withColumn("before", before).filter("text_length = 0 or before < text_length")
     joined = kept.groupBy("doc_id").agg(F.first("text_length").alias("text_length"), F.array_sort(F.collect_list(F.struct("pos", F.hex("part").alias("h")))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["h"]), "")
-    text = F.when(F.col("text_length") > 0, F.substring(text, F.lit(1), (F.col("text_length") * 2).cast("int"))).otherwise(text)
+    text = F.when(F.col("text_length") > 0, F.substring(text, F.lit(1), F.least(F.col("text_length") * 2, F.length(text)).cast("int"))).otherwise(text)
     return joined.select("doc_id", F.unhex(F.regexp_replace(text, "(?:00)+$", "")).alias("data"))
 
 
 def mobi_documents(files: DataFrame) -> DataFrame:
     """(doc_id, text, title, author, warnings, error) of Palm database books."""
-    headers = mobi_headers(files).persist()
+    headers = written(mobi_headers(files), "book-headers")
     texts = mobi_text_bytes(headers).join(headers.select("doc_id", "code_page"), "doc_id")
     decoded = best_decoding(texts)
     plain = decoded.withColumn("plain", markup_to_plain(sanitize_control(F.col("text"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.reading import eta_label, library_progress, word_label
 from lectern.functions.text import js_trim, word_count
-from lectern.shipping import checkpoint_folder
+from lectern.shipping import written
 
 
 def normalized(docs: DataFrame, now: Column) -> DataFrame:
@@ -50,12 +50,12 @@ def ranked(docs: DataFrame, order: str, first: int | None = None, collation: str
     """
     keys = order_keys(order, collation)
     if first is not None:
-        return docs.orderBy(*keys).limit(first).withColumn("rank", F.row_number().over(W.orderBy(*keys)) - 1)
-    placed = docs.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+        return docs.orderBy(*keys).limit(first).withColumn("rank", (F.row_number().over(W.orderBy(*keys)) - 1).cast("long"))
+    # The rows are computed once; sampling the ranges and sorting read them again.
+    placed = written(docs, "ranked-rows").repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     # Both uses below must see the same places, and outlive a lost executor.
-    checkpoint_folder(docs.sparkSession)
-    placed = placed.checkpoint()
+    placed = written(placed, "ranked-places")
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return placed.join(starts.select("_range", "_start"), "_range").withColumn("rank", F.col("_start") + F.col("_in")).drop("_at", "_range", "_in", "_start")

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import display, encoding, files, quality, reading, text
 from lectern.operators import chapters, containers, decoding, library, progress
-from lectern.plans import sql
+from lectern.plans import file_queries, sql  # noqa: F401  (file_queries registers its own)
+from lectern.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lectern.plans.tables import named, progress_events, table
 from lectern.plans.tables import library as lib
 from lectern.sources import settings, store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    """Register a function under its name, with its SQL if there is any."""
-
-    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return add
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -148,14 +131,17 @@ def readability_gate(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", fine.alias("is_readable"), F.when(~fine, "This TXT file does not contain readable text content.").alias("unreadable_reason"))
 
 
-@query("SELECT doc_id, true AS valid, octet_length(encode(text)) :: INTEGER AS n_bytes FROM documents")
+@query("SELECT doc_id, doc_id % 4 = 0 AS valid, (octet_length(encode(text)) + [0, 1, 1, 3][(doc_id % 4 + 1) :: INT]) :: INTEGER AS n_bytes FROM documents")
 def utf8_validity(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", encoding.is_valid_utf8(F.encode("text", "UTF-8")).alias("valid"), F.octet_length("text").alias("n_bytes"))
+    """Texts as they are, and with a lead byte, a byte that never occurs, or half a pair behind them."""
+    broken = F.unhex(F.get(F.array(*map(F.lit, ("", "C3", "FF", "EDA080"))), (F.col("doc_id") % 4).cast("int")))
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.encode("text", "UTF-8"), broken).alias("data"))
+    return rows.select("doc_id", encoding.is_valid_utf8(F.col("data")).alias("valid"), F.octet_length("data").alias("n_bytes"))
 
 
 @query()
 def decode_candidates_best(spark, sf_dir):
-    """UTF-8 bytes of documents, decoded: SQL has no lenient decoder, so a brute-force test stands for an oracle."""
+    """UTF-8 bytes of documents: of all decodings tried the right one wins."""
     rows = _docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("data"), F.lit(65001).alias("code_page"))
     return decoding.best_decoding(rows).filter("text <> ''").select("doc_id", "text", "encoding", "transform")
 
