@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.shipping import checkpoint_folder, ship
+from lectern.shipping import scratch_path, ship, written  # noqa: F401  (the operators take them from here)
 
 #: A word in every contract of this subpackage: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,22 +19,6 @@ FILTER_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a new table in the shared folder; nothing else uses it."""
-    return f"{checkpoint_folder(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table into the shared folder and return it as read from there.
-
-    This cuts the lineage: an executor that is lost later costs a re-read, not a recomputation, and
-    columns such as generated row numbers stay what they were.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lowered(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
