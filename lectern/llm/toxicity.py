@@ -87,10 +87,10 @@ class BlockIndex:
         self.column = np.full(len(weight), -1)
         self.column[frequent] = np.arange(len(frequent))
         own = self.column[terms] >= 0
-        self.cells = (owner[own], self.column[terms[own]], weights[own])
+        self.cells = (owner[own].astype(np.int32), self.column[terms[own]].astype(np.int32), weights[own])
         terms, owner, weights = terms[~own], owner[~own], weights[~own]
         order = np.lexsort((owner, terms))
-        self.owner, self.weights = owner[order], weights[order]
+        self.owner, self.weights = owner[order].astype(np.int32), weights[order]
         self.begin = np.searchsorted(terms[order], np.arange(len(weight) + 1))
         self.dense: np.ndarray | None = None
         self.most: np.ndarray | None = None
@@ -215,6 +215,7 @@ def document_frequencies(rows: DataFrame, words) -> np.ndarray:
             found += np.bincount(np.array(own, np.int64), minlength=len(found))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["word", "n"])
+        _NUMBERS.clear()
 
     summed = map_arrow(rows.select("text"), count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(words.value[1]), np.int64)
@@ -280,6 +281,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()
     return words, context.broadcast(model)
 
 
+def _release(learned: tuple) -> None:
+    """Drop what a task built from the broadcasts: workers live on idle while other stages need the memory."""
+    _NUMBERS.clear()
+    if (index := learned[1].value.index) is not None:
+        index.dense = index.most = None
+
+
 def _scorer(learned: tuple) -> Callable[[list[str | None]], list[tuple[float, list[dict]]]]:
     """A function from texts to (score, evidence) for use in a task; equal texts are scored once."""
     words, shared = learned
@@ -323,6 +331,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()
             out = score(batch.column(1).to_pylist())
             scores = np.array([s for s, _ in out], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), pa.array([e for _, e in out], kind)], names=["doc_id", "score", "predicted", "evidence"])
+        _release(learned)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, vote, "doc_id long, score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,similarity:double>>")
@@ -343,5 +352,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id
         score = _scorer(learned)
         for texts in parts:
             yield pa.concat_arrays([pa.array([s for s, _ in score(texts.slice(first, 300).to_pylist())], pa.float64()) for first in range(0, max(1, len(texts)), 300)])
+        _release(learned)
 
     return docs.filter(toxicity(F.col(text_col)) < 0.5)
