@@ -14,6 +14,7 @@ size bound with the sample, so it is broadcast.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
@@ -286,6 +287,8 @@ def _release(learned: tuple) -> None:
     _NUMBERS.clear()
     if (index := learned[1].value.index) is not None:
         index.dense = index.most = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def _scorer(learned: tuple) -> Callable[[list[str | None]], list[tuple[float, list[dict]]]]:
