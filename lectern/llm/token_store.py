@@ -137,26 +137,47 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of one stream end. No chunk is under ``LEAST`` ids but the last, none over ``MOST``."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
-    g = mixed_bits(ids)
-    rolling = g.copy()
-    for k in range(1, WINDOW):
-        rolling[k:] += g[:-k] << np.uint64(4 * k)
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ``WINDOW`` ids asks for a cut, after which id; each step doubles the window summed so far."""
+    rolling, width = mixed_bits(ids), 1
+    while width < WINDOW:
+        rolling[width:] += rolling[:-width] << np.uint64(4 * width)
+        width *= 2
+    return np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def _ends(size: int, cuts: list[int]) -> list[int]:
+    """Where the chunks of a stream of ``size`` ids end, given its cut points. No chunk is under ``LEAST`` ids but the last, none over ``MOST``."""
+    if size <= LEAST:
+        return [size]
     ends, start = [], 0
-    for cut in (np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
+    for cut in cuts:
         while cut - start > MOST:
             start += MOST
             ends.append(start)
         if cut - start >= LEAST:
             ends.append(cut)
             start = cut
-    while len(ids) - start > MOST:
+    while size - start > MOST:
         start += MOST
         ends.append(start)
-    return ends if start == len(ids) else [*ends, len(ids)]
+    return ends if start == size else [*ends, size]
+
+
+def streams_ends(flat: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Where the chunks of many streams end, which lie one behind the other in ``flat``, from ``bounds``.
+
+    A window that reaches back into the stream before ends within the first ``WINDOW`` ids, under ``LEAST``, where no chunk is cut.
+    """
+    points = cut_points(flat)
+    own = np.searchsorted(points, bounds, "right")
+    starts = bounds[:-1].tolist()
+    return [_ends(n, (points[a:b] - start).tolist()) for n, start, a, b in zip(np.diff(bounds).tolist(), starts, own.tolist(), own[1:].tolist(), strict=False)]
+
+
+def chunk_ends(ids: np.ndarray) -> list[int]:
+    """Where the chunks of one stream end."""
+    return streams_ends(ids, np.array([0, len(ids)]))[0]
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -219,19 +240,25 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
         names = ["kind", "key", "data", "doc_id", "n_tokens", "root", "copies"]
         for batch in sliced(batches, rows=2000, size=4_000_000):
             chunks, recipes = {}, {}
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1)), strict=True):
-                ids, start, keys = np.append(ids, end_id), 0, []
-                for end in chunk_ends(ids):
-                    data = ids[start:end].astype(kind).tobytes()
+            coded = encoder(tokenizer_path).encode(batch.column(1))
+            bounds = np.cumsum([0, *[len(ids) + 1 for ids in coded]])
+            flat = np.full(int(bounds[-1]), end_id, np.int64)
+            for ids, first in zip(coded, bounds.tolist(), strict=False):
+                flat[first : first + len(ids)] = ids
+            raw = flat.astype(kind).tobytes()
+            for doc, first, ends in zip(batch.column(0).to_pylist(), bounds.tolist(), streams_ends(flat, bounds), strict=False):
+                start, keys = first, []
+                for end in ends:
+                    data = raw[start * width : (first + end) * width]
                     keys.append(key := hashlib.sha256(data).digest())
-                    start = end
+                    start = first + end
                     if key not in seen:
                         seen.add(key)
                         chunks[key] = data
                 root = merkle_root(keys)
                 # A recipe's key is its content and the document's id, so a task that runs again gives the same.
                 name = root + (b"" if doc is None else doc.to_bytes(8, "big", signed=True))
-                recipes[name] = (b"".join(keys), doc, len(ids), root, recipes[name][4] + 1 if name in recipes else 1)
+                recipes[name] = (b"".join(keys), doc, ends[-1], root, recipes[name][4] + 1 if name in recipes else 1)
             if len(seen) > 500_000:  # later copies are found by the grouping
                 seen.clear()
             n, m = len(chunks), len(recipes)

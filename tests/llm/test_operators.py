@@ -24,7 +24,7 @@ from lectern.llm.mixing import mix, mixed_rows, source_targets
 from lectern.llm.ngram_join import Join, announced, drop_near_duplicates, jaccard_components, linked
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.telephony import adpcm_samples, alaw_table, encode_media, media_features, mulaw_table, resampled, wav_codes, wav_file, write_pcm
-from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, merkle_root, read_documents, read_index, verified_documents, write_store
+from lectern.llm.token_store import _crc_tables, chunk_ends, combined_crcs, merkle_root, mixed_bits, read_documents, read_index, streams_ends, verified_documents, write_store
 from lectern.llm.toxicity import BlockIndex, Bounds, drop_toxic, score_toxicity
 from lectern.llm.url_filter import PRIOR, PRIOR_BRANCHES, PRIOR_ROWS, judge_urls, template_purity
 from lectern.llm.word_bpe import bpe_round_trip, loaded
@@ -146,6 +146,13 @@ def test_chunks_and_checksums():
     assert ends[-1] == len(ids) and ends == sorted(set(ends))
     moved = chunk_ends(np.concatenate([ids[:100], ids]))
     assert len({e - 100 for e in moved} & set(ends)) > 0.9 * len(ends)
+    # Window by window, and many streams at once, of which some are empty, short or without a cut.
+    g = [int(x) for x in mixed_bits(ids[:3000])]
+    wanted = {i + 1 for i in range(3000) if sum(g[i - k] << 4 * k for k in range(min(16, i + 1))) % 2**64 >> 56 == 0}
+    assert set(chunk_ends(ids[:3000])[:-1]) <= wanted
+    streams = [ids[:0], ids[:10], ids[:64], ids[:65], ids[5:5000], np.full(5000, 7), ids[5:5000], ids[:1]]
+    bounds = np.cumsum([0, *map(len, streams)])
+    assert streams_ends(np.concatenate(streams), bounds) == [chunk_ends(s) for s in streams]
     parts = [rng.bytes(n) for n in (4, 400, 8, 1000, 64)]
     crcs, sizes = np.array([zlib.crc32(p) for p in parts], np.uint32), np.array([len(p) for p in parts])
     assert combined_crcs(crcs, sizes, np.array([0, 2, 5]), _crc_tables()).tolist() == [zlib.crc32(b"".join(parts[:2])), zlib.crc32(b"".join(parts[2:]))]
