@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +75,17 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def release_memory() -> None:
+    """Give memory that this process no longer uses back to the system: Arrow's, and the C library's where it can be asked.
+
+    Driver and Python workers live on while other stages need the memory.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 300, size: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a task holds the Python objects of few texts at a time: by rows, and by bytes of a column."""
     for whole in batches:

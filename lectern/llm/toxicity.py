@@ -14,7 +14,6 @@ size bound with the sample, so it is broadcast.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import re
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, sliced, written
+from lectern.llm.common import map_arrow, release_memory, sliced, written
 from lectern.shipping import ship
 
 WORD = re.compile(r"\w+")
@@ -242,6 +241,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()
     Labels that are null, neither 0 nor 1, or without a document are not used; of several for one id the highest counts; of
     several rows with one id one is an example.
     """
+    learned = _learned(docs, labels, bounds, id_col, text_col)
+    release_memory()  # the driver's: sample and temporary arrays are gone by now
+    return learned
+
+
+def _learned(docs: DataFrame, labels: DataFrame, bounds: Bounds, id_col: str, text_col: str) -> tuple:
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # The sample's size is bounded, so it may pass through the driver.
@@ -287,8 +292,7 @@ def _release(learned: tuple) -> None:
     _NUMBERS.clear()
     if (index := learned[1].value.index) is not None:
         index.dense = index.most = None
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    release_memory()
 
 
 def _scorer(learned: tuple) -> Callable[[list[str | None]], list[tuple[float, list[dict]]]]:
