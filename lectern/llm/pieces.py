@@ -33,6 +33,11 @@ class PieceTable(dict):
         self.new.append(piece)
         return row
 
+    def known(self, piece) -> list[int] | None:
+        """Ids of a piece that was encoded in an earlier call."""
+        row = self.get(piece)
+        return None if row is None or row >= len(self.starts) else self.flat[self.starts[row] : self.starts[row] + self.sizes[row]].tolist()
+
     def lookup(self, lists: pa.ListArray, first: Callable[[str], object] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, number of ids of each text); a text is a list of its pieces.
 
@@ -43,7 +48,7 @@ class PieceTable(dict):
             self._halve()
         bounds = np.asarray(lists.offsets)
         coded = lists.flatten().dictionary_encode()
-        distinct = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        distinct = np.fromiter(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         rows = distinct[np.asarray(coded.indices)]
         if first is not None:
             starts = bounds[:-1][np.diff(bounds) > 0] - bounds[0]

@@ -70,17 +70,22 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """Plain words with signs behind them go to the library's model directly, all else through its whole chain."""
+        """Plain words with signs behind them go to the library's model directly, all else through its whole chain; a word is encoded once, with signs and without."""
         found: list[list[int] | None] = []
-        other, tokenize, blank = [], self.tokenizer.model.tokenize, self.blank
+        other, tokenize, blank, words = [], self.tokenizer.model.tokenize, self.blank, {}
         for i, p in enumerate(pieces):
             if p.__class__ is str and p.isascii() and p.isalpha():  # most pieces
-                found.append([t.id for t in tokenize(blank + p)])
+                if (ids := words.get(p)) is None:
+                    ids = words[p] = [t.id for t in tokenize(blank + p)]
+                found.append(ids)
                 continue
             start, p = ("", p[0]) if isinstance(p, tuple) else ("\n", p[1:]) if p[:1] == "\n" else (" ", p)
             word = p.rstrip(SIGNS)
             if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
-                ids = self._word(start, word)
+                if start != " ":
+                    ids = self._word(start, word)
+                elif (ids := words.get(word)) is None:
+                    ids = words[word] = self.table.known(word) or self._word(start, word)
                 found.append(ids + self._signs(p[len(word) :]) if len(word) < len(p) else ids)
             else:
                 found.append(None)
