@@ -272,7 +272,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     objects = map_arrow(rows, cut, "kind string, key binary, data binary, doc_id long, n_tokens long, root binary, copies long")
-    objects = objects.groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("data", "doc_id", "n_tokens", "root")], F.sum("copies").alias("copies"))
+    # A task gives a chunk once for each 500,000, so there is little to combine before the exchange: one sort instead of two.
+    objects = objects.repartition("kind", "key").groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in ("data", "doc_id", "n_tokens", "root")], F.sum("copies").alias("copies"))
     objects.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
     _write_index(docs.sparkSession, path)
 
@@ -387,28 +388,43 @@ def verified_documents(spark: SparkSession, path: str, width: int = 2) -> DataFr
             good = [hashlib.sha256(d).digest() == k for k, d in zip(keys, data, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array([len(d) // width for d in data], pa.int64()), pa.array(good, pa.bool_())], names=["key", "crc", "n", "good"])
 
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of whole documents: rows come by document and place in it, and a batch's last document may go on in the next batch."""
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            place = np.asarray(batch.column(0))
+            if not len(place):
+                continue
+            new = np.flatnonzero(np.diff(place, prepend=rest[-1].column(0)[-1].as_py() if rest else place[0]))
+            if len(new):
+                yield pa.concat_batches([*rest, batch.slice(0, new[-1])])
+                rest, batch = [], batch.slice(new[-1])
+            rest.append(batch)
+        if rest:
+            yield pa.concat_batches(rest)
+
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _crc_tables()
-        for batch in batches:
-            parts = batch.column(4)
-            at = np.asarray(parts.offsets)
-            flat = parts.flatten()
-            column = lambda name: flat.field(name)
-            crcs, sizes = np.asarray(column("crc")).astype(np.uint32), np.asarray(column("n"))
-            keys, good = column("key").to_pylist(), np.asarray(column("good").cast(pa.int8()))
-            at = at - at[0]
+        for batch in documents(batches):
+            place = np.asarray(batch.column("place"))
+            at = np.flatnonzero(np.diff(place, prepend=place[0] - 1, append=place[-1] + 1))
+            first = batch.take(pa.array(at[:-1]))
+            crcs, sizes = np.asarray(batch.column("crc")).astype(np.uint32), np.asarray(batch.column("n"))
+            keys, good = batch.column("key").to_pylist(), np.asarray(batch.column("good").cast(pa.int8()))
             crc = combined_crcs(crcs, sizes * 4, at, tables)
             total, faults = np.add.reduceat(sizes, at[:-1]), np.add.reduceat(1 - good, at[:-1])
-            roots = [merkle_root(keys[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            fine = (total == np.asarray(batch.column(2))) & (faults == 0) & np.array([a == b for a, b in zip(roots, batch.column(3).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), pa.array(fine, pa.bool_()), batch.column(5)], names=["doc_id", "start", "n_tokens", "ids_crc32", "fine", "place"])
+            roots = [merkle_root(keys[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            fine = (total == np.asarray(first.column("n_tokens"))) & (faults == 0) & np.array([a == b for a, b in zip(roots, first.column("root").to_pylist(), strict=True)])
+            own = [first.column(c) for c in ("doc_id", "start", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(crc.astype(np.int64)), pa.array(fine, pa.bool_()), first.column("place")], names=["doc_id", "start", "n_tokens", "ids_crc32", "fine", "place"])
 
     chunks = map_arrow(_objects(spark, path).filter("kind = 'chunk'").select("key", "data"), sums, "key binary, crc long, n long, good boolean")
     # Missing chunks keep their documents in the result. One exchange on either side, so adaptive execution splits a hot chunk.
     parts = _addresses(read_index(spark, path)).join(chunks, "key", "left")
-    part = F.struct("at", "key", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(False)).alias("good"))
-    grouped = parts.groupBy("place", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    combined = map_arrow(grouped.select("doc_id", "start", "n_tokens", "root", "parts", "place"), combine, "doc_id long, start long, n_tokens long, ids_crc32 long, fine boolean, place long")
+    root = F.when(F.col("at") <= 0, F.col("root")).alias("root")
+    found = [F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(False)).alias("good")]
+    parts = parts.select("place", "at", "doc_id", "start", "n_tokens", root, "key", *found).repartition("place").sortWithinPartitions("place", "at")
+    combined = map_arrow(parts, combine, "doc_id long, start long, n_tokens long, ids_crc32 long, fine boolean, place long")
     bad = damaged_runs(spark, path).withColumn("bad", F.lit(True)).withColumnRenamed("place", "run")
     judged = combined.withColumn("run", F.floor(F.col("place") / FAN).cast("long")).join(bad, "run", "left")
     return judged.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("fine") & F.col("bad").isNull()).alias("verified"))
