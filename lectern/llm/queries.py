@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import scratch_path
+from lectern.llm.conversations import damaged, repaired_report
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.html_main import main_texts
 from lectern.llm.langid import held_out_of, label_languages, learn
 from lectern.llm.mixing import mix
+from lectern.llm.near_vectors import near_duplicates
+from lectern.llm.negatives import mine_negatives
 from lectern.llm.ngram_join import Join, jaccard_components
 from lectern.llm.telephony import encode_media, media_features
 from lectern.llm.token_store import verified_documents, write_store
@@ -84,8 +87,23 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repaired_report(rows, damaged(rows))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_telephony, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_source_mix, op7_html_main_text, op8_url_filter, op9_toxicity, op10_word_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_telephony, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_source_mix, op7_html_main_text, op8_url_filter, op9_toxicity, op10_word_bpe, op11_hard_negatives, op12_conversation_repair, op13_near_vectors)}
 
 
 _OP5 = """
@@ -130,5 +148,27 @@ FROM m LEFT JOIN one ON m.sig = one.sig AND m.n > 0 LEFT JOIN c ON c.x = one.rep
 """
 
 
+_OP11 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x :: DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.q, c.q) :: BIGINT AS score FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)) :: INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+_OP13 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding :: DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS root FROM v UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x),
+c AS (SELECT x, min(root) AS component_id FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(k.n, 0) :: BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.x = e.vec_id LEFT JOIN k ON k.x = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": _OP3, "op5_exact_dedup": _OP5, "op6_source_mix": _OP6}
+    return {"op3_ngram_join": _OP3, "op5_exact_dedup": _OP5, "op6_source_mix": _OP6, "op11_hard_negatives": _OP11, "op13_near_vectors": _OP13}
