@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from lectern.functions.columns import arrow_udf
 #: What Windows-1252 has at 0x80 to 0x9F; the five bytes it leaves out are dropped.
 WINDOWS_1252 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
 CODE_PAGES = {65001: "utf-8", 1252: "windows-1252", 1200: "utf-16le", 1201: "utf-16be"}
+SIGNATURE_CHARACTERS = 4096
 MARKS = {"utf-8": "EFBBBF", "utf-16le": "FFFE", "utf-16be": "FEFF"}
 
 
@@ -55,55 +59,56 @@ def encoding_of_code(code: Column) -> Column:
     return found
 
 
+#: A lead byte with as many bytes as it asks for, whatever they are; or a byte that leads nothing.
+_SEQUENCE = re.compile("[\xc0-\xdf].|[\xe0-\xef]..|[\xf0-\xf7]...|[\x80-\xff]", re.DOTALL)
+_LEAD_BITS = {1: 0, 2: 0x1F, 3: 0x0F, 4: 0x07}
+
+
+def _point(found: re.Match) -> str:
+    units = found[0]
+    if len(units) == 1:
+        return ""
+    point = ord(units[0]) & _LEAD_BITS[len(units)]
+    for unit in units[1:]:
+        point = point << 6 | ord(unit) & 0x3F
+    return chr(point) if point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else "\ufffd"
+
+
 def utf8_lenient(data: bytes) -> str:
-    """UTF-8 without any checks of continuation bytes: bad leads are skipped, overlong forms accepted."""
-    out, at = [], 0
-    for_lead = ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0xF8, 3, 0x07))
-    while at < len(data):
-        lead = data[at]
-        at += 1
-        if lead < 0x80:
-            out.append(lead)
-            continue
-        for low, high, more, mask in for_lead:
-            if low <= lead < high and at + more <= len(data):
-                point = lead & mask
-                for b in data[at : at + more]:
-                    point = point << 6 | b & 0x3F
-                at += more
-                out.append(point)
-    return "".join(chr(p) if p <= 0x10FFFF and not 0xD800 <= p <= 0xDFFF else "�" for p in out)
+    """UTF-8 without any checks of continuation bytes: bad leads are skipped, overlong forms accepted. Runs of ASCII are copied as they are."""
+    return _SEQUENCE.sub(_point, data.decode("latin-1"))
 
 
 def utf16_lenient(data: bytes, order: str) -> str:
     """UTF-16 of whole units, zeros dropped; a half pair becomes U+FFFD."""
-    data = data[: len(data) // 2 * 2]
-    units = memoryview(data if order == "little" else bytes(b for i in range(0, len(data), 2) for b in (data[i + 1], data[i]))).cast("H") if data else []
-    kept = b"".join(int(u).to_bytes(2, "little") for u in units if u)
-    return kept.decode("utf-16-le", "replace")
+    units = np.frombuffer(data[: len(data) // 2 * 2], "<u2" if order == "little" else ">u2")
+    return units[units != 0].astype("<u2").tobytes().decode("utf-16-le", "replace")
 
 
-def _decoded(data: pd.Series, encoding: pd.Series) -> pd.Series:
-    def one(b, name):
-        if b is None:
-            return None
-        if name == "windows-1252":
-            return "".join(c if not "\x80" <= c <= "\x9f" else WINDOWS_1252.get(ord(c), "") for c in b.decode("latin-1"))
-        if name in ("utf-16le", "utf-16be"):
-            return utf16_lenient(b, "little" if name == "utf-16le" else "big")
-        return b.decode("utf-8", "replace")
+_MOVED = {c: WINDOWS_1252.get(c, "") for c in range(0x80, 0xA0)}
 
-    return pd.Series([one(b, n) for b, n in zip(data, encoding, strict=True)])
 
+def decoded_text(data: bytes, name: str) -> str:
+    if name == "windows-1252":
+        return data.decode("latin-1").translate(_MOVED)
+    if name in ("utf-16le", "utf-16be"):
+        return utf16_lenient(data, "little" if name == "utf-16le" else "big")
+    return data.decode("utf-8", "replace")
+
+
+def text_repaired(text: str | None) -> str | None:
+    if not text or text.isascii() or max(text) > "\xff":
+        return None
+    again = utf8_lenient(text.encode("latin-1"))
+    return again if again and again != text else None
+
+
+def _decoded(data: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else decoded_text(b, n) for b, n in zip(data, encoding, strict=True)])
 
-def _repaired(texts: pd.Series) -> pd.Series:
-    def one(t):
-        if not t or max(t) > "\xff":
-            return None
-        again = utf8_lenient(t.encode("latin-1"))
-        return again if again and again != t else None
 
-    return texts.map(one)
+def _repaired(texts: pd.Series) -> pd.Series:
+    return texts.map(text_repaired)
 
 
 def palmdoc_bytes(data: bytes) -> bytes:
@@ -145,5 +150,36 @@ def repaired_text(text: Column) -> Column:
     return arrow_udf(_repaired, "string", text)
 
 
+def _lenient(data: pd.Series) -> pd.Series:
+    return data.map(lambda b: None if b is None else utf8_lenient(b))
+
+
+def text_of_bytes(data: Column) -> Column:
+    """The text of bytes that claim to be UTF-8; those that are not go the lenient decoder's way."""
+    plain = data.cast("string")
+    broken = F.when(~F.is_valid_utf8(plain), data)
+    return F.when(F.is_valid_utf8(plain), plain).otherwise(arrow_udf(_lenient, "string", broken))
+
+
+def _candidates(data: pd.Series, encodings: pd.Series) -> pd.Series:
+    def one(b, names):
+        out, seen = [], set()
+        for i, name in enumerate(names if b is not None and names is not None else ()):
+            mark = bytes.fromhex(MARKS.get(name, ""))
+            raw = decoded_text(b[len(mark) :] if mark and b.startswith(mark) else b, name)
+            for k, (kind, text) in enumerate((("direct", raw), ("utf8-repair", text_repaired(raw)))):
+                if text and (sign := (name, kind, text[:SIGNATURE_CHARACTERS])) not in seen:
+                    seen.add(sign)
+                    out.append({"prio": 2 * i + k, "encoding": name, "transform": kind, "text": text})
+        return out
+
+    return pd.Series([one(b, n) for b, n in zip(data, encodings, strict=True)])
+
+
+def decoding_array(data: Column, encodings: Column) -> Column:
+    """Every decoding of bytes that gives a text, as an array of structs (prio, encoding, transform, text) in the order tried, no candidate twice."""
+    return arrow_udf(_candidates, "array<struct<prio: int, encoding: string, transform: string, text: string>>", data, encodings)
+
+
 def palmdoc(records: Column) -> Column:
     return arrow_udf(_palmdoc, "binary", records)

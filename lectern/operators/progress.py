@@ -6,14 +6,11 @@ counts and maxima combine before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.shipping import ship
+from lectern.shipping import written
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -53,21 +50,37 @@ def double_tap_pairs(taps: DataFrame, within_ms: int = 350) -> DataFrame:
 
 
 def double_taps(taps: DataFrame, within_ms: int = 350) -> DataFrame:
-    """As :func:`double_tap_pairs`, but a double tap ends its pair: three in a row are one double tap and a single one."""
-
-    def fold(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, doc = None, object()
-        for batch in groups:
-            kept = []
-            for d, ts in zip(batch["doc_id"], batch["ts"], strict=True):
-                if d != doc:
-                    last, doc = None, d
-                second = last is not None and (ts - last).total_seconds() * 1000 < within_ms
-                kept.append(second)
-                last = None if second else ts
-            yield batch[kept]
-
-    ship(taps.sparkSession)
-    rows = taps.select("doc_id", "event_id", "ts")
-    # Rows of a document are neighbours in a sorted partition; nothing is gathered for each document.
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ts", "event_id").mapInPandas(fold, rows.schema)
+    """As :func:`double_tap_pairs`, but a double tap ends its pair: three in a row are one double tap and a single one.
+
+    A tap is a map of two states, whether one waits for a second or not: one that is close to its predecessor swaps them, any
+    other makes both wait. So a tap is a double one if an odd number of close ones ends with it, and maps compose by adding
+    numbers. Taps lie in ranges of document and time; each range's part of a document becomes one map, the maps of a
+    document are composed in order, and its taps are then decided range by range. No task sees a whole document.
+    """
+    order = ["doc_id", "ts", "event_id"]
+    n = int(taps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = taps.select("doc_id", "event_id", "ts").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Both passes must see the same ranges, and outlive a lost executor.
+    dealt = written(dealt.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id(), "us": F.unix_micros(F.col("ts").cast("timestamp"))}), "tap-ranges")
+    own = W.partitionBy("part", "doc_id").orderBy("at")
+    near = lambda gap: F.coalesce(gap < within_ms * 1000, F.lit(False))
+    rows = dealt.withColumns({"first": F.row_number().over(own) == 1, "close": near(F.col("us") - F.lag("us").over(own))})
+    # One row for each document in a range; of one document as many as there are ranges at most.
+    broken = F.max(F.when(~F.col("first") & ~F.col("close"), F.col("at")))
+    parts = rows.groupBy("doc_id", "part").agg(F.min(F.struct("at", "us")).alias("begin"), F.max(F.struct("at", "us")).alias("end"), F.count("*").alias("n"), broken.alias("broken"))
+    before = W.partitionBy("doc_id").orderBy("part")
+    parts = parts.withColumn("joined", near(F.col("begin.us") - F.lag("end.us").over(before)))
+    # Close taps at a part's end: since the last one that is not close, or all of them and those before the part.
+    through = F.col("broken").isNull() & F.col("joined")
+    ends = F.col("end.at") - F.coalesce("broken", "begin.at")
+    parts = parts.withColumns({"kept": F.when(through, F.col("n")).otherwise(ends), "stop": F.when(~through, F.col("part"))})
+    parts = parts.withColumn("since", F.max("stop").over(before))
+    run = W.partitionBy("doc_id", "since").orderBy("part")
+    parts = parts.withColumn("total", F.sum("kept").over(run)).withColumn("carried", F.when(F.col("joined"), F.coalesce(F.lag("total").over(before), F.lit(0))))
+    told = rows.join(parts.select("doc_id", "part", "joined", "carried"), ["doc_id", "part"])
+    close = F.when(F.col("first"), F.col("joined")).otherwise(F.col("close"))
+    told = told.withColumn("close", close)
+    last = F.max(F.when(~F.col("close"), F.col("at"))).over(own)
+    start = F.min("at").over(own)
+    number = F.when(last.isNotNull(), F.col("at") - last).otherwise(F.col("at") - start + 1 + F.coalesce("carried", F.lit(0)))
+    return told.withColumn("number", number).filter("close and number % 2 = 1").select("doc_id", "event_id", "ts")

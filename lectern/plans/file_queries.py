@@ -22,6 +22,7 @@ from lectern.plans.tables import named, table
 from lectern.shipping import scratch_path
 from lectern.sources import files as sources
 from lectern.sources import settings, store
+from lectern.streaming import imports
 
 # Bytes and encodings.
 
@@ -270,6 +271,83 @@ def stored_library(spark, sf_dir):
     return kept.documents().select("id", "title", "chunk_index", "updated_at", "word_count", "is_readable")
 
 
+_LIBRARY = f"""d AS (SELECT doc_id, coalesce(source, 'none') || '_' || doc_id AS title, {sql.clean('text')} AS t FROM documents),
+l AS (SELECT title, doc_id, CASE WHEN length({sql.trim('t')}) >= 24 THEN t ELSE '' END AS content, length({sql.trim('t')}) >= 24 AS is_readable FROM d)"""
+_WORDS = f"CASE WHEN is_readable THEN len({sql.words('content')}) ELSE 0 END :: BIGINT"
+
+
+def _folder_of_texts(spark, sf_dir) -> str:
+    """Each document's text as a file of its own; the folder of a file is its name."""
+    folder = scratch_path(spark, "texts")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("file").write.partitionBy("file").text(folder)
+    return folder
+
+
+def _file_in(path: Column) -> Column:
+    return F.regexp_extract(path, "/file=([^/]+)/", 1)
+
+
+@query(f"""WITH {_LIBRARY} SELECT title, 'TXT' AS source_format, is_readable, md5(content) AS digest, {_WORDS} AS word_count,
+CASE WHEN NOT is_readable THEN 'This TXT file does not contain readable text content.' END AS unreadable_reason, 1000 :: BIGINT AS updated_at FROM l""")
+def imported_library(spark, sf_dir):
+    """A folder of files arrives as a stream and becomes a library; then the stream is run again from nothing, and every batch replaces itself."""
+    folder, path = _folder_of_texts(spark, sf_dir), scratch_path(spark, "library")
+    for _ in range(2):
+        imports.import_stream(spark, folder, path, scratch_path(spark, "checkpoint"), glob="*.txt", name=_file_in, now=F.lit(1000), files_per_batch=4_000).trigger(availableNow=True).start().awaitTermination()
+    rows = store.Library(spark, path).documents()
+    return rows.select("title", "source_format", "is_readable", F.md5("content").alias("digest"), "word_count", "unreadable_reason", "updated_at")
+
+
+def _payloads(spark, sf_dir) -> DataFrame:
+    number = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select(number.alias("id"), F.concat(F.lit("t"), number).alias("title"), F.lit("TXT").alias("source_format"), F.col("text").alias("content"), F.lit(True).alias("is_readable"), F.lit(None).cast("string").alias("unreadable_reason"), F.array().cast("array<string>").alias("conversion_warnings"))
+
+
+_WRITTEN = """SELECT doc_id :: VARCHAR AS id, CASE WHEN doc_id % 6 = 0 THEN 'late' WHEN doc_id % 3 = 0 THEN 'first' ELSE 't' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 0 END :: BIGINT AS chunk_index,
+CASE WHEN doc_id % 6 = 0 THEN 2500 WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN 2000 ELSE 1000 END :: BIGINT AS updated_at, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 11 <> 0"""
+
+
+def _written_together(spark, sf_dir) -> store.Library:
+    """Two writers who saw the same library: one gives titles, the other positions; then a title comes that is older than one that is there."""
+    path = scratch_path(spark, "library")
+    one, two = store.Library(spark, path), store.Library(spark, path)
+    one.add(_payloads(spark, sf_dir), 1000)
+    seen = _payloads(spark, sf_dir).select("id", F.col("id").cast("long").alias("n"))
+    one.update(seen.filter("n % 3 = 0").select("id", F.lit("first").alias("title")), 2000)
+    two.update(seen.filter("n % 2 = 0").select("id", F.lit(7).cast("long").alias("chunk_index")), 2000)
+    two.update(seen.filter("n % 6 = 0").select("id", F.lit("late").alias("title")), 2500)
+    one.update(seen.filter("n % 6 = 0").select("id", F.lit("early").alias("title")), 2400)
+    one.delete(seen.filter("n % 11 = 0").select("id"), 3000)
+    return one
+
+
+def _written_rows(kept: store.Library) -> DataFrame:
+    return kept.documents().select("id", "title", "chunk_index", "updated_at", F.md5("content").alias("digest"))
+
+
+@query(_WRITTEN)
+def concurrent_changes(spark, sf_dir):
+    """Of changes to different fields none is lost, and of one field the later one counts, whoever writes first."""
+    return _written_rows(_written_together(spark, sf_dir))
+
+
+@query(_WRITTEN)
+def compacted_library(spark, sf_dir):
+    """The same library with its live values only."""
+    return _written_rows(_written_together(spark, sf_dir).compact(scratch_path(spark, "library")))
+
+
+@query("""WITH d AS (SELECT doc_id, text, ['', 'A', 'q' || chr(233) || '(', chr(945) || '!'][(doc_id % 4 + 1) :: INT] AS more FROM documents WHERE text IS NOT NULL) SELECT doc_id, """ + sql.clean("'x' || more || ' ' || text") + """ AS text FROM d""")
+def lenient_texts(spark, sf_dir):
+    """Text files with what strict decoders refuse: bytes that lead nothing, an overlong form, a lead whose continuation is none, a lead at the end."""
+    kinds = ("8081FE", "C181", "71C329" + "28", "CEB121")
+    broken = F.unhex(F.get(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 4).cast("int")))
+    data = F.concat(F.encode(F.lit("x"), "UTF-8"), broken, F.encode(F.concat(F.lit(" "), "text"), "UTF-8"), F.unhex(F.when(F.col("doc_id") % 3 == 0, "E2").otherwise("")))
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", data.alias("data"))
+    return rows.select("doc_id", text.clean_text(encoding.text_of_bytes(F.col("data"))).alias("text"))
+
+
 @query(f"SELECT doc_id :: VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Untitled Document' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'PDF' ELSE 'TXT' END AS format, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 99 END :: BIGINT AS created_at, CASE WHEN length({sql.trim('text')}) > 0 THEN len({sql.words('text')}) ELSE 0 END :: BIGINT AS word_count, '2D' AS last_mode FROM documents")
 def normalized_rows(spark, sf_dir):
     """Stored rows with gaps, filled with defaults."""

@@ -125,6 +125,13 @@ def text_scores(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(quality.quality_columns(F.col("text"))["score"], 9).alias("score"))
 
 
+@query(f"SELECT doc_id, {', '.join(f'round({e}, 9) AS {k}' if k != 'mojibake_count' else f'({e}) :: INTEGER AS {k}' for k, e in sql.quality('text', True).items())} FROM documents")
+def whole_text_quality(spark, sf_dir):
+    """The same measures of every character and word, however long the text."""
+    found = quality.quality_columns(F.col("text"), None, None)
+    return _docs(spark, sf_dir).select("doc_id", *[F.round(found[k], 9).alias(k) for k in ("readability", "ascii_letter_ratio", "space_ratio", "english_density")], found["mojibake_count"].cast("int").alias("mojibake_count"))
+
+
 @query(f"SELECT doc_id, coalesce(length({sql.trim('text')}) >= 24, false) AS is_readable, CASE WHEN NOT coalesce(length({sql.trim('text')}) >= 24, false) THEN 'This TXT file does not contain readable text content.' END AS unreadable_reason FROM documents")
 def readability_gate(spark, sf_dir):
     fine = text.is_readable_text(F.col("text"))
@@ -301,7 +308,9 @@ def double_tap_pairs(spark, sf_dir):
     return progress.double_tap_pairs(taps, within_ms=3_600_000).select("doc_id", "event_id")
 
 
-@query()
+@query(f"""WITH {_EVENTS}, t AS (SELECT * FROM ev WHERE event_type IN ('click', 'view')), l AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts, event_id) < INTERVAL 1 HOUR, false) AS close FROM t),
+g AS (SELECT *, sum(CASE WHEN close THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY ts, event_id) - 1 AS number FROM g) SELECT doc_id, event_id FROM n WHERE close AND number % 2 = 1""")
 def double_taps(spark, sf_dir):
     taps = progress_events(spark, sf_dir).filter("event_type in ('click', 'view')").withColumn("ts", F.col("ts").cast("timestamp"))
     return progress.double_taps(taps, within_ms=3_600_000).select("doc_id", "event_id")

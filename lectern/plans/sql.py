@@ -92,10 +92,10 @@ def share(part: str, whole: str) -> str:
     return f"coalesce(({part}) :: DOUBLE / nullif(({whole}) :: DOUBLE, 0), 0)"
 
 
-def quality(x: str) -> dict[str, str]:
-    """Texts beyond the sampled 24,000 characters are cut, as in the expression."""
-    s = f"left({x}, 24000)"
-    first = f"list_slice({words(f'lower({s})')}, 1, 500)"
+def quality(x: str, whole: bool = False) -> dict[str, str]:
+    """Texts beyond the sampled 24,000 characters are cut, as in the expression, unless the ``whole`` text counts."""
+    s = x if whole else f"left({x}, 24000)"
+    first = words(f"lower({s})") if whole else f"list_slice({words(f'lower({s})')}, 1, 500)"
     common = ", ".join(f"'{w}'" for w in COMMON_WORDS)
     out = {
         "readability": share(f"length({s}) - {count(s, r'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]')}", f"length({s})"), "ascii_letter_ratio": share(count(s, "[A-Za-z]"), f"length({s}) - {count(s, r'[\x00-\x1F\x7F]')}"), "space_ratio": share(count(s, " "), f"length({s})"),
