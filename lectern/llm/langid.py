@@ -95,12 +95,18 @@ class Model:
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The language of each word on the path with the largest sum of scores less ``switch`` for each change.
 
-    One language throughout is best if no run of words gains more than one switch by any other; that is tested first.
+    One language throughout is best if no run of words gains more than half a switch over it: a path leaves it and comes back for two
+    switches at most a run, or one at an end, however many languages the run goes through. That is tested first, over the best
+    word by word. Of equal paths the one that leaves a language later wins, and of equal languages the first.
     """
     best = int(scores.sum(0).argmax())
+    # A run away from the best language, through any others, gains no more than its words' best scores do, and costs a switch at least.
+    gained = np.cumsum(scores.max(1) - scores[:, best], dtype=np.float64)
+    if not len(scores) or gained[-1] <= switch:
+        return np.full(len(scores), best)
     gained = np.cumsum(scores - scores[:, best : best + 1], 0, dtype=np.float64)
     least = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gained[:-1]]), 0)
-    if (gained - least).max() <= switch:
+    if 2 * (gained - least).max() <= switch:
         return np.full(len(scores), best)
     rows, n = scores.tolist(), scores.shape[1]
     total, back = rows[0][:], []
