@@ -8,9 +8,9 @@ outside the content only, since articles share their form. A page's content is i
 smallest container that holds most of its text. A digest recurs if a lower confidence bound of its share of the host's pages
 passes ``SHARE``; copies of one article count once.
 
-What is left loses the elements that HTML itself sets apart from an article (nav, footer, form, script and the like). Words of class,
-id and role are weak evidence: outside an article they mark menus and notices on hosts too small to show a template; inside one, only
-elements whose class is such a word as a whole go.
+What is left loses the elements that HTML itself sets apart from an article (nav, footer, form, script and the like). Classes,
+ids and roles that are such a word as a whole mark menus and notices on hosts too small to show a template. No name drops an element
+that holds the article, or most of the text of a page without one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,23 +51,39 @@ BOUNDS = frozenset("table td th caption button object article section main div u
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist discussion disqus respond share sharing social related recommended newsletter subscribe subscription signup popup modal overlay widget toolbar pagination pager skip complementary contentinfo search login".split())
 #: Of these, the words that mark an element inside an article, where they are its whole class, id or role.
 STRONG = MARKS - frozenset("alert notice notices search share social related widget recommended promo promotion banner discussion login skip".split())
+#: Words that may stand beside a mark in one class: where it is, not what else it is.
+PLACES = frozenset("site page main global top bottom left right primary secondary header box bar block section area inner list item the js c l u block module region slot unit zone panel link links button nav".split())
+#: Elements that some sites put around everything.
+WRAPPERS = frozenset("form header".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=10_000)
+def _marks(name: str) -> bool:
+    """Whether a class, id or role is a mark as a whole: words of ``MARKS``, and of ``PLACES`` beside them. ``no-sidebar`` and ``page-with-comments`` are none."""
+    words = _WORDS.findall(name)
+    return any(w in MARKS for w in words) and all(w in MARKS or w in PLACES for w in words)
+
+
 class Page:
     """The elements of one page in page order: tags, attributes, parents, and children (texts and element numbers)."""
 
     def __init__(self, source: str):
         self.tags, self.attributes, self.parents, self.children = ["#page"], [""], [-1], [[]]
-        stack, at, end = [0], 0, len(source)
+        # No tag ends behind the last ``>``, so none is sought there; names of open elements are counted, so none is sought in vain.
+        stack, at, end, last = [0], 0, len(source), source.rfind(">") + 1
+        self.open: Counter[str] = Counter()
         while at < end:
-            found = TOKEN.search(source, at)
+            found = TOKEN.search(source, at, last) if at < last else None
             if not found:
-                self._text(stack[-1], source[at:])
+                tail = source.find("<!--", at)
+                self._text(stack[-1], source[at:] if tail < 0 else source[at:tail])
                 break
             if found.start() > at:
                 self._text(stack[-1], source[at : found.start()])
             at = found.end()
+            if found[0].startswith("<!--") and not (found[0].endswith("-->") and len(found[0]) > 6):
+                break
             closing, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
             if not tag:
                 continue
@@ -87,31 +105,41 @@ class Page:
                 at = end if not stop else (source.find(">", stop.end()) + 1 or end)
             elif tag not in VOID:
                 stack.append(number)
+                self.open[tag] += 1
 
     def _text(self, parent: int, raw: str) -> None:
         self.children[parent].append(html.unescape(raw) if "&" in raw else raw)
 
+    def _cut(self, stack: list[int], depth: int) -> None:
+        self.open.subtract(self.tags[i] for i in stack[depth:])
+        del stack[depth:]
+
     def _close(self, stack: list[int], tag: str) -> None:
+        if not self.open[tag]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if self.tags[stack[depth]] == tag:
-                del stack[depth:]
+                self._cut(stack, depth)
                 return
             if tag == "p" and self.tags[stack[depth]] in BOUNDS:
                 return
 
     def _make_room(self, stack: list[int], tag: str) -> None:
         closes = CLOSES.get(tag)
-        if not closes:
+        left = sum(self.open[c] for c in closes or ())
+        if not left:
             return
         bounds, cut = SCOPE.get(tag, BOUNDS), None
         for depth in range(len(stack) - 1, 0, -1):
             open_tag = self.tags[stack[depth]]
             if open_tag in closes:
-                cut = depth
+                cut, left = depth, left - 1
+                if not left:
+                    break
             elif open_tag in bounds:
                 break
         if cut is not None:
-            del stack[cut:]
+            self._cut(stack, cut)
 
     def hashes(self) -> list[bytes]:
         """A digest of each element: tag, attributes and content. Children come after parents, so one pass backwards serves."""
@@ -140,15 +168,32 @@ class Page:
             out[i] = form if len(form) < 2000 else hashlib.blake2b(form.encode("utf-8", "replace"), digest_size=16).hexdigest()
         return out
 
+    @cached_property
+    def kept(self) -> list[bool]:
+        """Elements that no name can drop: those that hold an article or main element with text, and, on pages without, those with most of the text."""
+        n, sizes = len(self.tags), self._sizes(DROPPED - WRAPPERS)
+        out = [False] * n
+        for i in range(n - 1, 0, -1):
+            out[self.parents[i]] |= out[i] or self.tags[i] in MAIN and sizes[i] > 0
+        if not out[0]:
+            total = sizes[0]
+            out = [2 * s > total for s in sizes]
+        return out
+
+    @cached_property
+    def sizes(self) -> list[int]:
+        return self._sizes()
+
     def dropped(self, i: int, in_article: bool) -> bool:
         tag = self.tags[i]
         if tag in DROPPED or (tag == "header" and not in_article):
-            return True
+            return tag not in WRAPPERS or not self.kept[i]
         if tag in MAIN or tag in ("html", "body", "#page") or not self.attributes[i]:
             return False
+        names = self.names(i)
         if in_article:
-            return bool(STRONG & set(self.names(i)))
-        return bool(MARKS & {w for n in self.names(i) for w in _WORDS.findall(n)})
+            return bool(STRONG & set(names)) and 2 * self.sizes[i] <= self.sizes[0]
+        return any(_marks(n) for n in names) and not self.kept[i]
 
     def walk(self, deleted: frozenset[int] = frozenset(), by_name: bool = True) -> Iterator[tuple[int, str, bool]]:
         """(element, text, in article) of each text in page order and, with a space as text, of each block's start and end; without what is dropped."""
@@ -179,12 +224,12 @@ class Page:
             texts = [(t, inside) for t, inside in texts if inside]
         return " ".join("".join(t for t, _ in texts).split())
 
-    def _sizes(self) -> list[int]:
-        """Characters of text in each element."""
+    def _sizes(self, without: frozenset[str] = RAW | {"head"}) -> list[int]:
+        """Characters of text in each element, leaving those ``without`` out of what they are in."""
         out = [0] * len(self.tags)
         for i in range(len(self.tags) - 1, 0, -1):
             out[i] += sum(len(c) for c in self.children[i] if isinstance(c, str) and not c.isspace())
-            if self.tags[i] not in RAW and self.tags[i] != "head":
+            if self.tags[i] not in without:
                 out[self.parents[i]] += out[i]
         return out
 
@@ -211,7 +256,7 @@ class Page:
             filled[up] = filled[up] or filled[i]
             blocks[up] = blocks[up] or blocks[i] or self.tags[i] in BLOCK
             holds_main[up] = holds_main[up] or holds_main[i] or self.tags[i] in MAIN
-        sizes = self._sizes()
+        sizes = self.sizes
         content = self._content(sizes, holds_main)
         # Below the innermost content nothing is told by its form; beside it, all containers are, and where nothing holds most of the text, those that are mostly links.
         innermost, links = max(content), [0] * n
