@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, release_memory, sliced, written
-from lectern.shipping import ship
+from lectern.llm.common import map_arrow, release_memory, sliced, without_rows, written
 
 WORD = re.compile(r"\w+")
 
@@ -282,6 +281,7 @@ def _learned(docs: DataFrame, labels: DataFrame, bounds: Bounds, id_col: str, te
 
     numbers = docs.sparkSession.range(0, len(model.index.ids), 1, max(1, min(64, len(model.index.ids) // 50))).select(F.col("id").alias("at"))
     cast = map_arrow(numbers, votes, "at long, vote double").toArrow().sort_by("at")
+    shared.destroy()
     model.curve = fitted_curve(cast.column("vote").to_numpy(), model.index.labels)
     model.index.vectors = []
     return words, context.broadcast(model)
@@ -351,14 +351,19 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), id
     texts stay unless most labelled rows are toxic; repeated rows stay or go together; very long texts are read whole; an empty table
     gives an empty result.
     """
-    ship(docs.sparkSession)
     learned = learn_toxicity(docs, labels, bounds, id_col, text_col)
 
-    @F.arrow_udf("double")
-    def toxicity(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(learned)
-        for texts in parts:
-            yield pa.concat_arrays([pa.array([s for s, _ in score(texts.slice(first, 300).to_pylist())], pa.float64()) for first in range(0, max(1, len(texts)), 300)])
+        for batch in sliced(batches):
+            hit = pa.array([s >= 0.5 for s, _ in score(batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["id", "digest"]).filter(hit)
         _release(learned)
 
-    return docs.filter(toxicity(F.col(text_col)) < 0.5)
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    lost = written(map_arrow(rows, judge, f"id {dict(rows.dtypes)['id']}, digest string").distinct().withColumn("same", F.lit(0)), "toxic-rows")
+    # The verdicts are in a table, so nothing needs the model any more, on the driver or elsewhere.
+    for shared in learned:
+        shared.destroy()
+    return without_rows(docs, lost, id_col, digest)
