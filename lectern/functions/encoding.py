@@ -111,33 +111,61 @@ def _repaired(texts: pd.Series) -> pd.Series:
     return texts.map(text_repaired)
 
 
+#: Bytes that stand for themselves, as many as follow each other.
+_PLAIN = re.compile(rb"[\x00\x09-\x7f]+")
+
+
 def palmdoc_bytes(data: bytes) -> bytes:
-    """Undo PalmDoc compression: literals, runs of literals, back references, and a blank with a character."""
+    """Undo PalmDoc compression: literals, runs of literals, back references, and a blank with a character.
+
+    Plain bytes and back references are copied as whole slices; a reference that reaches into its own output repeats it.
+    One that points before the start gives blanks, one cut off at the end gives nothing.
+    """
     out, at = bytearray(), 0
     while at < len(data):
         code = data[at]
-        at += 1
         if 1 <= code <= 8:
-            out += data[at : at + code]
-            at += code
+            out += data[at + 1 : at + 1 + code]
+            at += 1 + code
         elif code < 0x80:
-            out.append(code)
+            run = _PLAIN.match(data, at)
+            out += run[0]
+            at = run.end()
         elif code >= 0xC0:
             out += bytes((0x20, code ^ 0x80))
-        elif at < len(data):
-            pair = code << 8 | data[at]
             at += 1
-            back, size = pair >> 3 & 0x7FF, (pair & 7) + 3
-            if not 0 < back <= len(out):
-                out += b" " * size
-            else:
-                for _ in range(size):
-                    out.append(out[-back])
+        else:
+            pair = data[at : at + 2]
+            at += 2
+            if len(pair) == 2:
+                number = int.from_bytes(pair)
+                back, size = number >> 3 & 0x7FF, (number & 7) + 3
+                start = len(out) - back
+                window = out[start : start + size] if 0 < back <= len(out) else b" "
+                out += (window * size)[:size]
     return bytes(out)
 
 
-def _palmdoc(records: pd.Series) -> pd.Series:
-    return records.map(lambda b: None if b is None else palmdoc_bytes(b))
+def book_bytes(records, compression: int, declared: int) -> bytes | None:
+    """Text records decompressed and joined until the declared length is reached, cut there, without zeros at the end.
+
+    Records behind the one that reaches it are not decompressed. A length of 0 declares none; without records the result is null.
+    """
+    parts, size = [], 0
+    for record in records:
+        if record:
+            parts.append(palmdoc_bytes(record) if compression == 2 else record)
+            size += len(parts[-1])
+            if 0 < declared <= size:
+                break
+    if not parts:
+        return None
+    joined = b"".join(parts)
+    return (joined[:declared] if declared > 0 else joined).rstrip(b"\0")
+
+
+def _book_bytes(records: pd.Series, compression: pd.Series, declared: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else book_bytes(r, c, n) for r, c, n in zip(records, compression, declared, strict=True)], dtype=object)
 
 
 def decode_bytes(data: Column, encoding: Column) -> Column:
@@ -181,5 +209,6 @@ def decoding_array(data: Column, encodings: Column) -> Column:
     return arrow_udf(_candidates, "array<struct<prio: int, encoding: string, transform: string, text: string>>", data, encodings)
 
 
-def palmdoc(records: Column) -> Column:
-    return arrow_udf(_palmdoc, "binary", records)
+def book_text_bytes(records: Column, compression: Column, declared: Column) -> Column:
+    """The text of a book's records (an array of binaries) as bytes, see :func:`book_bytes`."""
+    return arrow_udf(_book_bytes, "binary", records, F.coalesce(compression, F.lit(1)), F.coalesce(declared, F.lit(0)))

@@ -7,70 +7,112 @@ read has an error and no text; nothing fails for another one's sake.
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import arrow_udf
-from lectern.functions.encoding import palmdoc, unsigned
+from lectern.functions.encoding import book_text_bytes, unsigned
 from lectern.functions.text import docx_text, js_length, js_trim, markup_to_plain, page_text, sanitize_control
 from lectern.operators import chapters as book
 from lectern.operators.decoding import best_decoding, decoding_warnings
 from lectern.shipping import written
 
 LEAST_BOOK_CHARACTERS = 500
+#: No member of an archive may unpack to more.
+MEMBER_BYTES = 1 << 28
 
 
-def _docx_xml(contents: pd.Series) -> pd.DataFrame:
+#: What is raised where an archive or a member of it is broken or encrypted.
+_BROKEN = (zipfile.BadZipFile, OSError, RuntimeError, ValueError, NotImplementedError, EOFError, zlib.error, lzma.LZMAError)
+
+
+def _directory(contents: pd.Series) -> pd.DataFrame:
     rows = []
     for data in contents:
         try:
             with zipfile.ZipFile(io.BytesIO(data or b"")) as archive:
-                rows.append((archive.read("word/document.xml").decode("utf-8", "replace"), None))
-        except KeyError:
-            rows.append((None, "DOCX archive is missing word/document.xml"))
-        except (zipfile.BadZipFile, OSError, RuntimeError, ValueError, NotImplementedError) as e:
+                rows.append(([{"path": i.filename, "packed": i.compress_size, "unpacked": i.file_size} for i in archive.infolist()], None))
+        except _BROKEN as e:
             rows.append((None, str(e) or type(e).__name__))
-    return pd.DataFrame(rows, columns=["xml", "error"])
+    return pd.DataFrame(rows, columns=["entries", "error"])
+
+
+def _unpacked(archive: zipfile.ZipFile, path: str, most: int) -> str:
+    with archive.open(path) as member:
+        data = member.read(most + 1)
+    if len(data) > most:
+        raise ValueError(f'Archive member "{path}" unpacks to more than {most} bytes.')
+    return data.decode("utf-8", "replace")
 
 
-#: Entries of an archive that hold no text of a book are not unpacked.
-def _text_entries(contents: pd.Series) -> pd.DataFrame:
+def _members(contents: pd.Series, wanted: pd.Series, most: pd.Series) -> pd.DataFrame:
     rows = []
-    for data in contents:
+    for data, paths, limit in zip(contents, wanted, most, strict=True):
         try:
             with zipfile.ZipFile(io.BytesIO(data or b"")) as archive:
-                names = [n for n in archive.namelist() if n.lower().endswith((".xml", ".opf", ".ncx", ".xhtml", ".html", ".htm"))]
-                rows.append(([{"path": n, "text": archive.read(n).decode("utf-8", "replace")} for n in names], None))
-        except (zipfile.BadZipFile, OSError, RuntimeError, ValueError, NotImplementedError) as e:
-            rows.append((None, "This file doesn't appear to be a valid EPUB. The archive structure is corrupted or invalid. " + str(e)))
-    return pd.DataFrame(rows, columns=["entries", "error"])
+                known = archive.NameToInfo
+                paths = dict.fromkeys(p for p in (() if paths is None else paths) if p in known)
+                rows.append(([{"path": p, "text": _unpacked(archive, p, limit)} for p in paths], None))
+        except _BROKEN as e:
+            rows.append((None, str(e) or type(e).__name__))
+    return pd.DataFrame(rows, columns=["members", "error"])
+
+
+def archive_directory(content: Column) -> Column:
+    """struct<entries, error>: what a zip archive's directory lists (path, packed and unpacked size); no member is unpacked."""
+    return arrow_udf(_directory, "struct<entries:array<struct<path:string,packed:bigint,unpacked:bigint>>,error:string>", content)
+
+
+def archive_members(content: Column, paths: Column, most_bytes: int = MEMBER_BYTES) -> Column:
+    """struct<members, error>: the texts (path, text) of the named members of a zip archive, each once, in the order of ``paths``.
+
+    Members are found by the archive's directory and only these are unpacked. Names that are not there are left out. A broken
+    member, or one of more than ``most_bytes`` whatever the directory says of it, gives an error and no members.
+    """
+    return arrow_udf(_members, "struct<members:array<struct<path:string,text:string>>,error:string>", content, paths, F.lit(most_bytes))
+
+
+def _member(members: Column, path: Column | str) -> Column:
+    """The text of one member, null if it is not among them."""
+    path = F.lit(path) if isinstance(path, str) else path
+    return F.get(F.filter(members, lambda m: m["path"] == path), F.lit(0))["text"]
 
 
 def _no_warnings() -> Column:
     return F.array().cast("array<string>")
 
 
-def docx_documents(files: DataFrame) -> DataFrame:
+def docx_documents(files: DataFrame, most_bytes: int = MEMBER_BYTES) -> DataFrame:
     """(doc_id, text, warnings, error) of word-processor archives."""
-    opened = files.select("doc_id", arrow_udf(_docx_xml, "struct<xml:string,error:string>", F.col("content")).alias("x")).select("doc_id", "x.xml", "x.error")
+    path = "word/document.xml"
+    opened = files.select("doc_id", archive_members(F.col("content"), F.array(F.lit(path)), most_bytes).alias("x")).select("doc_id", _member(F.col("x.members"), path).alias("xml"), "x.error")
     read = opened.withColumn("d", F.when(F.col("xml").isNotNull(), docx_text(F.col("xml"))))
-    return read.select("doc_id", F.col("d.text").alias("text"), F.coalesce("d.warnings", _no_warnings()).alias("warnings"), "error")
-
-
-def epub_documents(files: DataFrame, skip_non_linear: bool = True, include_image_alt: bool = True, respect_aria_hidden: bool = False, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents, chapters) of e-books: doc_id, text, title, author, warnings, error; and doc_id, pos, id, title, start_char, end_char."""
-    opened = files.select("doc_id", arrow_udf(_text_entries, "struct<entries:array<struct<path:string,text:string>>,error:string>", F.col("content")).alias("x")).select("doc_id", "x.entries", F.col("x.error").alias("zip_error"))
-    opened = written(opened, "book-entries")
-    entries = opened.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.path", "e.text")
-    named = lambda path, name: entries.filter(F.col("path") == path).select("doc_id", F.col("text").alias(name))
-    heads = opened.select("doc_id", "zip_error").join(named("META-INF/container.xml", "container"), "doc_id", "left").join(named("META-INF/encryption.xml", "encryption"), "doc_id", "left")
-    heads = heads.withColumns({"protected": book.is_protected(F.col("encryption")), "opf_path": book.package_path(F.col("container"))})
-    packages = heads.join(entries.select("doc_id", F.col("path").alias("opf_path"), F.col("text").alias("opf")), ["doc_id", "opf_path"], "left")
+    missing = F.when(F.col("xml").isNull(), f"DOCX archive is missing {path}")
+    return read.select("doc_id", F.col("d.text").alias("text"), F.coalesce("d.warnings", _no_warnings()).alias("warnings"), F.coalesce("error", missing).alias("error"))
+
+
+def epub_documents(files: DataFrame, skip_non_linear: bool = True, include_image_alt: bool = True, respect_aria_hidden: bool = False, compat: bool = False, most_bytes: int = MEMBER_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(documents, chapters) of e-books: doc_id, text, title, author, warnings, error; and doc_id, pos, id, title, start_char, end_char.
+
+    Within each row the container names the package, the package names the members to read, and only these are unpacked.
+    """
+    unpack = lambda rows, paths: rows.withColumn("x", archive_members(F.col("content"), paths, most_bytes))
+    fixed_paths = ("META-INF/container.xml", "META-INF/encryption.xml")
+    opened = unpack(files.select("doc_id", "content"), F.array(*map(F.lit, fixed_paths)))
+    opened = opened.select("doc_id", "content", F.col("x.error").alias("zip_error"), *[_member(F.col("x.members"), p).alias(n) for p, n in zip(fixed_paths, ("container", "encryption"), strict=True)])
+    opened = opened.withColumns({"protected": book.is_protected(F.col("encryption")), "opf_path": book.package_path(F.col("container"))})
+    opened = unpack(opened, F.array("opf_path")).withColumns({"opf": _member(F.col("x.members"), F.col("opf_path")), "zip_error": F.coalesce("zip_error", "x.error")})
+    wanted = F.when(~F.col("protected"), book.wanted_paths(F.col("opf"), F.col("opf_path"), compat))
+    opened = unpack(opened, wanted).withColumns({"entries": F.col("x.members"), "zip_error": F.coalesce("zip_error", "x.error")})
+    packages = written(opened.select("doc_id", "zip_error", "protected", "container", "opf_path", "opf", "entries"), "book-entries")
+    entries = packages.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.path", "e.text")
     usable = packages.filter("not protected and opf is not null").select("doc_id", "opf_path", "opf")
+    packages = packages.drop("entries")
     manifest, spine = book.manifest(usable), book.spine(usable)
     placed = manifest.join(usable.select("doc_id", "opf_path"), "doc_id").withColumn("path", book.resolved_path(F.col("opf_path"), F.col("href"), compat)).join(entries, ["doc_id", "path"])
     ncx = placed.filter("media_type = 'application/x-dtbncx+xml'").withColumn("source", F.struct(F.lit(0).alias("kind"), "pos"))
@@ -85,7 +127,7 @@ def epub_documents(files: DataFrame, skip_non_linear: bool = True, include_image
     texts = packages.join(book.joined_text(parts), "doc_id", "left").join(counts(manifest, "items"), "doc_id", "left").join(counts(spine, "refs"), "doc_id", "left")
     fixed = F.col("opf").contains("rendition:layout") & book.any_of(F.col("opf"), ("pre-paginated", "fixed-layout"))
     error = (
-        F.when(F.col("zip_error").isNotNull(), F.col("zip_error")).when(F.col("protected"), "This EPUB is DRM-protected and cannot be read. Please use a DRM-free version.")
+        F.when(F.col("zip_error").isNotNull(), F.concat(F.lit("This file doesn't appear to be a valid EPUB. The archive structure is corrupted or invalid. "), "zip_error")).when(F.col("protected"), "This EPUB is DRM-protected and cannot be read. Please use a DRM-free version.")
         .when(F.col("container").isNull(), "Invalid EPUB structure: Invalid EPUB: missing META-INF/container.xml").when(F.col("opf_path").isNull(), "Invalid EPUB structure: Invalid EPUB: cannot locate package document in container.xml")
         .when(F.col("opf").isNull(), F.concat(F.lit('Invalid EPUB: package document not found at "'), F.col("opf_path"), F.lit('". The EPUB structure may be corrupted.')))
         .when(F.coalesce("items", F.lit(0)) == 0, "Invalid EPUB: manifest is empty or cannot be parsed").when(F.coalesce("refs", F.lit(0)) == 0, "Invalid EPUB: spine is empty or cannot be parsed - cannot determine reading order")
@@ -147,26 +189,26 @@ def mobi_metadata(headers: DataFrame) -> DataFrame:
 
 
 def mobi_text_bytes(headers: DataFrame) -> DataFrame:
-    """(doc_id, data): the text records, decompressed and joined as far as the declared length, without zeros at the end."""
+    """(doc_id, code_page, data): the text records, decompressed and joined as far as the declared length, without zeros at the end.
+
+    All of it happens within the row; books without a record of text are absent.
+    """
     last = F.when((F.col("first_other") > 0) & (F.col("first_other") < F.col("records")), F.col("first_other")).otherwise(F.greatest(F.lit(0), F.least(F.col("records") - 1, F.when(F.col("text_records") > 0, F.col("text_records")).otherwise(F.col("records") - 1))) + 1)
-    rows = headers.filter("error is null").select("doc_id", "content", "compression", "text_length", "records", "size", "offsets", last.alias("last"))
-    rows = rows.select("*", F.posexplode("offsets").alias("pos", "begin")).filter("pos >= 1 and pos < last").withColumn("begin", F.least("begin", "size"))
-    stop = F.least(F.col("size"), F.greatest(F.col("begin"), F.coalesce(F.get("offsets", F.col("pos") + 1), F.col("size"))))
-    records = rows.select("doc_id", "pos", "compression", "text_length", F.when(F.col("begin") < F.col("size"), F.substring("content", (F.col("begin") + 1).cast("int"), (stop - F.col("begin")).cast("int"))).alias("record")).filter("octet_length(record) > 0")
-    parts = records.filter("compression = 1").withColumn("part", F.col("record")).unionByName(records.filter("compression = 2").withColumn("part", palmdoc(F.col("record"))))
-    before = F.coalesce(F.sum(F.octet_length("part")).over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    kept = parts.withColumn("before", before).filter("text_length = 0 or before < text_length")
-    joined = kept.groupBy("doc_id").agg(F.first("text_length").alias("text_length"), F.array_sort(F.collect_list(F.struct("pos", F.hex("part").alias("h")))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["h"]), "")
-    text = F.when(F.col("text_length") > 0, F.substring(text, F.lit(1), F.least(F.col("text_length") * 2, F.length(text)).cast("int"))).otherwise(text)
-    return joined.select("doc_id", F.unhex(F.regexp_replace(text, "(?:00)+$", "")).alias("data"))
+
+    def record(i: Column) -> Column:
+        begin = F.least(F.get("offsets", i), "size")
+        end = F.least("size", F.greatest(begin, F.coalesce(F.get("offsets", i + 1), "size")))
+        return F.substring("content", (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    rows = headers.filter("error is null").withColumn("last", F.least(last, "records").cast("int"))
+    records = F.when(F.col("last") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("last") - 1, F.lit(1))), record)).otherwise(F.array().cast("array<binary>"))
+    return rows.select("doc_id", "code_page", book_text_bytes(records, F.col("compression"), F.col("text_length")).alias("data")).filter("data is not null")
 
 
 def mobi_documents(files: DataFrame) -> DataFrame:
     """(doc_id, text, title, author, warnings, error) of Palm database books."""
     headers = written(mobi_headers(files), "book-headers")
-    texts = mobi_text_bytes(headers).join(headers.select("doc_id", "code_page"), "doc_id")
-    decoded = best_decoding(texts)
+    decoded = best_decoding(mobi_text_bytes(headers))
     plain = decoded.withColumn("plain", markup_to_plain(sanitize_control(F.col("text"))))
     shown = decoding_warnings(plain)
     rows = headers.select("doc_id", "error").join(shown, "doc_id", "left").join(mobi_metadata(headers), "doc_id", "left")

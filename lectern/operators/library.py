@@ -31,6 +31,11 @@ def searched(docs: DataFrame, query: str) -> DataFrame:
     return docs if not query.strip() else docs.filter(F.lower("title").contains(query.lower()))
 
 
+def looked_up(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` of the given ids (doc_id), each with ``found``; an id of no document gives a row of nulls."""
+    return ids.join(docs.withColumn("found", F.lit(True)), "doc_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def progress_share() -> Column:
     return F.when(F.col("word_count") > 0, F.col("chunk_index").cast("double") / F.col("word_count")).otherwise(0.0)
 

@@ -6,7 +6,7 @@ counts and maxima combine before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +36,17 @@ def toggled(marks, chunk):
     return F.when(F.array_contains(marks, chunk), F.array_remove(marks, chunk)).otherwise(F.array_sort(F.array_append(marks, chunk)))
 
 
+def is_bookmarked(marks: Column, chunk: Column) -> Column:
+    """Whether a chunk is among the bookmarks; documents without any have none."""
+    return F.coalesce(F.array_contains(marks, chunk), F.lit(False))
+
+
+def bookmark_chips(marks: Column, shown: int = 4) -> Column:
+    """struct(chips, more): the first bookmarks, and how many more there are, null if none."""
+    more = F.size(marks) - shown
+    return F.struct(F.slice(marks, 1, shown).alias("chips"), F.when(more > 0, F.concat(F.lit("+"), more.cast("string"), F.lit(" more"))).alias("more"))
+
+
 def checkpoints(events: DataFrame, every: int = 20) -> DataFrame:
     """Positions that playback saves: each ``every``-th chunk but a document's first position."""
     start = F.first("chunk_index").over(W.partitionBy("doc_id").orderBy("ts", "event_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import display, encoding, files, quality, reading, text
 from lectern.operators import chapters, containers, decoding, library, progress
-from lectern.plans import file_queries, sql  # noqa: F401  (file_queries registers its own)
+from lectern.plans import edge_queries, file_queries, sql  # noqa: F401  (these register their own)
 from lectern.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from lectern.plans.tables import named, progress_events, table
 from lectern.plans.tables import library as lib

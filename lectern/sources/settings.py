@@ -50,3 +50,8 @@ def load_settings(rows: DataFrame, json_col: str = "settings") -> DataFrame:
 
 def saved(settings: Column) -> Column:
     return F.to_json(settings)
+
+
+def reset() -> Column:
+    """The defaults as they are stored."""
+    return saved(parsed(F.lit("{}")))

@@ -79,7 +79,12 @@ def test_bytes(value):
     assert value(encoding.unsigned(binary("00010203"), 1, 2)) == 0x0102 and value(encoding.unsigned(binary("00"), 0, 2)) is None
     assert encoding.palmdoc_bytes(bytes.fromhex("616263801B")) == b"abcabcabc"
     assert encoding.palmdoc_bytes(b"\xc1") == b" A" and encoding.palmdoc_bytes(b"\x02\xff\xfe") == b"\xff\xfe"
-    assert value(encoding.palmdoc(binary("616263801B"))) == b"abcabcabc"
+    assert encoding.palmdoc_bytes(b"ab\x80\x11\x80") == b"ababab" and encoding.palmdoc_bytes(b"a\x80\x11") == b"a    "
+    records = F.array(binary("616263801B"), binary(""), binary("6465"), binary("C1"))
+    joined = lambda declared: value(encoding.book_text_bytes(records, F.lit(2), F.lit(declared)))
+    assert joined(0) == b"abcabcabcde A" and joined(10) == b"abcabcabcd" and joined(9) == b"abcabcabc"
+    assert value(encoding.book_text_bytes(F.array(binary("410000"), binary("0000")), F.lit(1), F.lit(0))) == b"A"
+    assert value(encoding.book_text_bytes(F.array(binary("")), F.lit(1), F.lit(0))) is None
     assert encoding.utf16_lenient("a\U0001f600".encode("utf-16-be"), "big") == "a\U0001f600"
     assert encoding.utf16_lenient(b"\x00\xdc\x41\x00\x00", "little") == "�A"
     assert encoding.utf8_lenient(b"\xc3\xa9\xff\x41") == "éA"
