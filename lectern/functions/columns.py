@@ -6,7 +6,7 @@ import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.shipping import ship
@@ -34,3 +34,12 @@ def nfc_udf(text: Column) -> Column:
 def fixed_1(value: Column) -> Column:
     """A number with one decimal, halves of its exact binary value rounded up."""
     return arrow_udf(_fixed_1, "string", value)
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are computed once, whatever is done with them later.
+
+    A filter on a plain column is moved below it, where the column's expression, and Python functions in it, would run
+    a second time; nothing is moved below a generator.
+    """
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

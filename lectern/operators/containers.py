@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.columns import arrow_udf
+from lectern.functions.columns import arrow_udf, computed
 from lectern.functions.encoding import book_text_bytes, unsigned
 from lectern.functions.text import docx_text, js_length, js_trim, markup_to_plain, page_text, sanitize_control
 from lectern.operators import chapters as book
@@ -209,7 +209,7 @@ def mobi_documents(files: DataFrame) -> DataFrame:
     """(doc_id, text, title, author, warnings, error) of Palm database books."""
     headers = written(mobi_headers(files), "book-headers")
     decoded = best_decoding(mobi_text_bytes(headers))
-    plain = decoded.withColumn("plain", markup_to_plain(sanitize_control(F.col("text"))))
+    plain = computed(decoded, plain=markup_to_plain(sanitize_control(F.col("text"))))
     shown = decoding_warnings(plain)
     rows = headers.select("doc_id", "error").join(shown, "doc_id", "left").join(mobi_metadata(headers), "doc_id", "left")
     empty = F.when(F.col("error").isNull() & F.col("text").isNull(), "No text records could be extracted from MOBI file")

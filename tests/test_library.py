@@ -149,9 +149,13 @@ def test_counts_agree_with_the_expressions(spark):
     letters = "aZ \t\n\r\x00\x07\x1f\x7f\x80\xbf\xc2\xc3\xe2\xd0\xd1�😀éthe"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", None, "the and " * 8000, "Ã" + "\u0080" * 3, "â\u0080\u0099Ã"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
-    one, two = quality.quality_columns(F.col("t")), quality.measures(F.col("t"))
-    for r in rows.select("i", F.struct(*[one[k].cast("double").alias(k) for k in quality.MEASURES]).alias("a"), F.struct(*[two[k].cast("double").alias(k) for k in quality.MEASURES]).alias("b")).collect():
-        assert r["a"] == r["b"], texts[r["i"]]
+    one, two = quality.quality_columns(F.col("t")), quality.measures(F.array("t"))[0]
+    spelled = {k: getattr(quality, k)(F.left("t", F.lit(quality.SAMPLE_CHARACTERS))) for k in quality.MEASURES[:5]}
+    shown = lambda c, names: F.struct(*[c[k].cast("double").alias(k) for k in names])
+    for r in rows.select("i", shown(one, quality.MEASURES).alias("a"), shown(two, quality.MEASURES).alias("b"), shown(spelled, spelled).alias("c")).collect():
+        assert r["a"] == r["b"] and r["a"][:5] == r["c"], texts[r["i"]]
+    many = rows.filter("t is not null").agg(F.collect_list("t").alias("ts")).select(F.arrays_zip("ts", quality.measures(F.col("ts")).alias("m")).alias("z")).select(F.inline("z"))
+    assert {r["ts"]: r["m"] for r in many.collect()} == {r["t"]: r["m"] for r in rows.filter("t is not null").select("t", two.alias("m")).collect()}
     whole = quality.quality_columns(F.col("t"), None, None)["english_density"]
     late = spark.createDataFrame([("x " * 30_000 + "the " * 30_000,)], "t string")
     assert late.select(whole).first()[0] == 1.0 and late.select(quality.quality_columns(F.col("t"))["english_density"]).first()[0] == 0.0

@@ -45,7 +45,7 @@ def mobi(text: bytes, code_page: int = 65001, compression: int = 1, encryption:
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(rows)], "doc_id long, content binary")
+    return spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(rows)], "doc_id long, content binary")
 
 
 def test_docx_documents(spark):
@@ -203,3 +203,58 @@ def test_streams(spark, tmp_path):
     q = stream.double_tap_stream(read(), 1500).writeStream.format("memory").queryName("taps").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["event_id"] for r in spark.table("taps").collect()] == [2]
+
+
+def broken_behind(book: bytes, kept: tuple[str, ...]) -> bytes:
+    """An archive in which every member's bytes but those of ``kept`` are damaged; the directory stays as it is."""
+    data = bytearray(book)
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        for i in z.infolist():
+            if i.filename not in kept:
+                start = i.header_offset + 30 + len(i.filename)
+                data[start : start + i.compress_size] = b"\xff" * i.compress_size
+    return bytes(data)
+
+
+def test_only_named_members_are_unpacked(spark):
+    """Of ten thousand members a book needs three; all others are damaged, and it can be read all the same."""
+    book = epub(**{f"x{i}.xhtml": "<p>unused</p>" for i in range(10_000)})
+    needed = [n for n in zipfile.ZipFile(io.BytesIO(book)).namelist() if not n.rsplit("/", 1)[-1].startswith("x")]
+    files = table(spark, [book, broken_behind(book, tuple(needed)), broken_behind(book, tuple(needed[:-1]))])
+    rows = [r for r in containers.epub_documents(files)[0].orderBy("doc_id").collect()]
+    assert rows[0]["error"] is None and rows[1]["text"] == rows[0]["text"] and rows[1]["error"] is None
+    assert rows[2]["text"] is None and rows[2]["error"].startswith("This file doesn't appear to be a valid EPUB.")
+    listed = files.select("doc_id", F.size(containers.archive_directory(F.col("content"))["entries"]).alias("n")).collect()
+    assert {r["n"] for r in listed} == {len(needed) + 10_000}
+
+
+def test_members_beyond_the_bound(spark):
+    """A member that unpacks to much more than it takes gives an error row, and other rows are read."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", b"<w:p>" + bytes(64 << 20))
+        z.writestr("small", "s")
+    files = table(spark, [data.getvalue(), docx("<w:p><w:t>Hi</w:t></w:p>"), b"", None])
+    rows = {r["doc_id"]: r for r in containers.docx_documents(files, most_bytes=1 << 20).collect()}
+    errors = [rows[k]["error"] for k in sorted(rows)]
+    assert errors == ['Archive member "word/document.xml" unpacks to more than 1048576 bytes.', None, "File is not a zip file", "File is not a zip file"]
+    small = files.select("doc_id", containers.archive_members(F.col("content"), F.array(F.lit("small"), F.lit("none"), F.lit("small")), 1 << 20).alias("x")).orderBy("doc_id").first()["x"]
+    assert [tuple(m) for m in small["members"]] == [("small", "s")] and small["error"] is None
+
+
+def test_compressed_records_round_trip():
+    """Packed and unpacked again, over few letters, so that references reach into their own output."""
+    import random
+
+    from lectern.functions.encoding import book_bytes, palmdoc_bytes
+    from lectern.plans.edge_queries import palmdoc_packed
+
+    rng = random.Random(3)
+    for _ in range(400):
+        data = bytes(rng.choice(b"ab  A\x00\x01\x08\t\x7f\x80\xc3\xff") for _ in range(rng.randint(0, 300)))
+        packed = palmdoc_packed(data)
+        assert palmdoc_bytes(packed) == data
+        cut = rng.randint(0, len(data) + 1)
+        assert book_bytes([packed, b"", packed], 2, cut) == ((data + data)[:cut] if cut else data + data).rstrip(b"\0") if packed else True
+    assert len(palmdoc_packed(b"ab" * 500)) < 250
+    assert book_bytes([b"\x41", b"\x80\x80\x80"], 2, 1) == b"A"
