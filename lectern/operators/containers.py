@@ -202,7 +202,8 @@ def mobi_text_bytes(headers: DataFrame) -> DataFrame:
 
     rows = headers.filter("error is null").withColumn("last", F.least(last, "records").cast("int"))
     records = F.when(F.col("last") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("last") - 1, F.lit(1))), record)).otherwise(F.array().cast("array<binary>"))
-    return rows.select("doc_id", "code_page", book_text_bytes(records, F.col("compression"), F.col("text_length")).alias("data")).filter("data is not null")
+    joined = computed(rows, data=book_text_bytes(records, F.col("compression"), F.col("text_length")))
+    return joined.select("doc_id", "code_page", "data").filter("data is not null")
 
 
 def mobi_documents(files: DataFrame) -> DataFrame:
