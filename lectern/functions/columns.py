@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +15,6 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def _fixed_1(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else str(Decimal(float(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)))
-
-
 def arrow_udf(function, returns: str, *columns: Column) -> Column:
     """``function`` of this package over Arrow batches; it goes along to the workers of the active session."""
     ship(SparkSession.active())
@@ -31,9 +26,18 @@ def nfc_udf(text: Column) -> Column:
     return arrow_udf(_nfc, "string", text)
 
 
-def fixed_1(value: Column) -> Column:
-    """A number with one decimal, halves of its exact binary value rounded up."""
-    return arrow_udf(_fixed_1, "string", value)
+def fixed_1(count: Column, unit: int) -> Column:
+    """An integer over ``unit`` (a multiple of 20) with one decimal, halves of the quotient's exact binary value rounded up.
+
+    Only a quotient of an odd number of twentieths can be a half. Whether the nearest double lies below it is seen
+    from its rest, which doubles give exactly up to 2^53: both differences are of numbers within a factor of two.
+    """
+    step = unit // 10
+    whole, rest = F.floor(count / step), count % step
+    odd, near = (whole * 2 + 1).cast("double"), count.cast("double") / unit
+    up = (rest * 2 > step) | ((rest * 2 == step) & ((odd - near * 16) - near * 4 <= 0))
+    tenths = whole + up.cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def computed(rows: DataFrame, **columns: Column) -> DataFrame:

@@ -117,7 +117,7 @@ def library_progress(chunk_index: Column, n_words: Column) -> Column:
 
 def word_label(count: Column) -> Column:
     """999, 1.2K, 3.4M; one decimal, halves of the exact binary value up."""
-    return F.when(count >= 1_000_000, F.concat(fixed_1(count / 1e6), F.lit("M"))).when(count >= 1_000, F.concat(fixed_1(count / 1e3), F.lit("K"))).otherwise(count.cast("string"))
+    return F.when(count >= 1_000_000, F.concat(fixed_1(count, 1_000_000), F.lit("M"))).when(count >= 1_000, F.concat(fixed_1(count, 1_000), F.lit("K"))).otherwise(count.cast("string"))
 
 
 def eta_label(n_words: Column, chunk_index: Column, wpm: int = 300) -> Column:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -132,3 +134,11 @@ def text_words(t: str) -> list[str]:
 
 def test_once(value):
     assert value(once(L(2), lambda x: x * x + x)) == 6
+
+
+def test_word_labels_round_the_binary_value(spark):
+    """Against decimals of the quotient's exact binary value, at every tie and beside it."""
+    counts = [c for n in range(10, 10_000, 7) for c in (n * 100 + 49, n * 100 + 50, n * 100 + 51)] + [n * 100_000 + 50_000 for n in range(10, 30_000, 11)]
+    want = {c: f"{Decimal(c / u).quantize(Decimal('0.1'), ROUND_HALF_UP)}{s}" for c in counts for u, s in [(1_000_000, "M") if c >= 1_000_000 else (1_000, "K")]}
+    rows = spark.createDataFrame([(c,) for c in counts], "c long").select("c", reading.word_label(F.col("c")).alias("label"))
+    assert {r["c"]: r["label"] for r in rows.collect()} == want
