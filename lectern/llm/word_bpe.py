@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
+from tokenizers.pre_tokenizers import Split
 
 from lectern.llm.common import map_arrow, sliced
 from lectern.llm.pieces import PieceTable, flattened
@@ -39,8 +42,6 @@ class WordBpe:
     """Encoder and decoder of one vocabulary file with word ends, lower-casing and dropped white space."""
 
     def __init__(self, path: str):
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
@@ -55,6 +56,8 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.normalizer = Sequence([NFC(), Lowercase()])
+        self.known, self.stand_ins = set(), {}
         self.words: dict[str, list[int]] = {}
         self.table = PieceTable(lambda pieces: flattened([self.encode_piece(p) for p in pieces]), limit=200_000)
 
@@ -105,14 +108,33 @@ class WordBpe:
                 self.words[word] = ids
         return ids
 
+    def _classed(self, text: str) -> str:
+        """``text`` with characters that this interpreter and the library class differently replaced by one of the library's class.
+
+        Their versions of Unicode differ. Each character is asked about once.
+        """
+        if new := set(text) - self.known:
+            self.known |= new
+            line = "".join(sorted(new))
+            for kind, mark in ((r"[^\p{L}\p{N}\s]", "!"), (r"\p{L}", "a"), (r"\p{N}", "0"), (r"\s", " ")):
+                found = Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(line)
+                theirs = set("".join(piece for piece, _ in found))
+                self.stand_ins |= {ord(c): mark for c in theirs - set(regex.findall(kind, line))}
+        return text.translate(self.stand_ins)
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self._classed(text))]
+
     def encode_piece(self, piece: str) -> list[int]:
         ids = []
         for part in self.specials.split(piece) if self.specials else [piece]:
             if part in self.special:
                 ids.append(self.special[part])
-            else:  # lower-casing goes character by character: no final sigma
-                text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for word in self.pattern.findall(text):
+            else:
+                text = part.lower() if part.isascii() else self.normalizer.normalize_str(part)
+                for word in self._split(text):
                     ids += self.encode_word(word)
         return ids
 
