@@ -15,12 +15,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lowered, maybe_among, salted_join, without_rows, written
+from lectern.llm.common import counted_join, lowered, maybe_among, salted_join, without_rows, written
 
 
 def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The distinct ``keys`` with ``name``: an integer that follows their sort order over all partitions."""
-    distinct = items.select(*keys).distinct()
+    """The distinct ``keys`` with their number of ``items`` and ``name``: an integer that follows their sort order over all partitions."""
+    distinct = items.groupBy(*keys).agg(F.count("*").alias("items"))
     ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return written(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
@@ -35,7 +35,7 @@ def block_identities(texts: DataFrame, block_chars: int = 4096) -> DataFrame:
     blocks = F.when(F.size(blocks) > 0, blocks).otherwise(F.array(F.lit("")))
     cut = texts.select("row", F.size(blocks).alias("left"), F.posexplode(blocks).alias("at", "block"))
     names = _named(cut, ["block"], "block-names")
-    parts = written(cut.join(names, "block").select("row", "left", "at", "name"), "named-blocks")
+    parts = written(counted_join(cut, names, ["block"], F.struct("row", "at"), "items").select("row", "left", "at", "name"), "named-blocks")
     level, done = 0, []
     while True:
         done.append(parts.filter("left = 1").select("row", F.lit(level).alias("level"), "name"))
@@ -49,7 +49,7 @@ def block_identities(texts: DataFrame, block_chars: int = 4096) -> DataFrame:
             .agg(F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("b"), F.first(F.ceil(F.col("left") / 2).cast("int")).alias("left"))
         )
         pairs = written(pairs, "pairs")
-        parts = written(pairs.join(_named(pairs, ["a", "b"], "pair-names"), ["a", "b"]).select("row", "left", "at", "name"), "named-pairs")
+        parts = written(counted_join(pairs, _named(pairs, ["a", "b"], "pair-names"), ["a", "b"], F.struct("row", "at"), "items").select("row", "left", "at", "name"), "named-pairs")
         level += 1
 
 
