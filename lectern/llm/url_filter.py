@@ -125,13 +125,15 @@ def _alike(placed: DataFrame) -> DataFrame:
     pooled_cells = cells.groupBy("host", "above", "below").agg(F.sum("pages").alias("pool_cell"))
     pooled = branches.groupBy("host", "above").agg(F.sum("n").alias("pool_n"), F.sum("g").alias("pool_g"), F.sum("b").alias("pool_b"), F.count("*").alias("branches")).filter("branches > 1")
     # Mass the branch has beyond the pool: summed over its own cells this is the total variation distance.
-    shares = cells.join(branches, ["host", "above", "own"]).join(pooled, ["host", "above"]).join(pooled_cells, ["host", "above", "below"])
+    shares = salted_join(cells, branches, ["host", "above", "own"], F.struct("below"), "inner", salts=8)
+    shares = salted_join(shares, pooled, ["host", "above"], F.struct("own", "below"), "inner", salts=8)
+    shares = salted_join(shares, pooled_cells, ["host", "above", "below"], F.struct("own"), "inner", salts=8)
     beyond = F.greatest(F.col("pages") / F.col("n") - F.col("pool_cell") / F.col("pool_n"), F.lit(0.0))
     tested = shares.groupBy("host", "above", "own").agg(F.sum(beyond).alias("distance"), *[F.first(c).alias(c) for c in ("n", "purity", "pool_g", "pool_b")])
     near = (F.col("distance") <= NEAR + 1 / F.sqrt("n")) & (F.abs(F.col("purity") - _purity("pool_g", "pool_b", F.lit(PRIOR))) <= NEAR)
     tested = tested.withColumn("alike", near).filter("alike")
     several = tested.groupBy("host", "above").agg(F.count("*").alias("k")).filter("k > 1")
-    return tested.join(several, ["host", "above"], "left_semi").select("host", "above", "own", "alike")
+    return salted_join(tested, several, ["host", "above"], F.struct("own"), "inner", salts=8).select("host", "above", "own", "alike")
 
 
 def template_purity(tree: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = cut.withColumns({"rule": rule, "label": label, "shape": shape})
     tree = path_templates(rows)
     purities = template_purity(tree.select("host", "template", "good", "bad")).select("host", "template", "purity")
-    judged = tree.select("host", "shape", "template").join(purities, ["host", "template"])
+    judged = salted_join(tree.select("host", "shape", "template"), purities, ["host", "template"], F.struct("shape"), "inner", salts=8)
     judged = judged.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
     found = salted_join(rows, judged, ["host", "shape"], F.struct("page_id", "path"))
     verdict = F.coalesce("label", F.when(F.col("purity") < REJECT_BELOW, "block").otherwise("allow"))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import queries as registered
-from lectern.llm.common import maybe_among, salted_join, scratch_path
+from lectern.llm.common import counted_join, maybe_among, salted_join, scratch_path
 from lectern.llm.components import components
 from lectern.llm.exact_dedup import block_identities, drop_exact_duplicates, exact_duplicates
 from lectern.llm.html_main import Page, main_texts, site_templates
@@ -409,6 +409,35 @@ def test_exact_duplicates(spark):
     assert exact_duplicates(empty(spark)).count() == 0 and drop_exact_duplicates(empty(spark)).count() == 0
 
 
+def test_exact_duplicates_of_a_hot_group(spark):
+    """A group above the bound from which blocks and pairs are joined salted, over more partitions than it has blocks."""
+    texts = ["abc" * 70 if i % 3 == 0 else f"{i}" * 40 + "abc" * 30 if i % 3 == 1 else f"{i // 6} tail" for i in range(6000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(21)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_duplicates(rows, block_chars=64).collect()}
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t, []).append(i)
+    assert got == {i: (max(ids), len(ids)) for ids in groups.values() for i in ids}
+
+
+def test_counted_join_spreads_hot_keys(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    facts = rows.groupBy("key").agg(F.count("*").alias("items"), F.max("id").alias("last"))
+    got = counted_join(rows, facts, ["key"], F.col("id"), "items", hot=100)
+    assert sorted(got.columns) == ["id", "items", "key", "last"]
+    want = {i: (2000, 5997) if i % 3 == 0 else (1, i) for i in range(6000)}
+    assert {r["id"]: (r["items"], r["last"]) for r in got.collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = counted_join(rows, facts, ["key"], F.col("id"), "items", hot=100)
+        largest = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert largest < 2000
+
+
 def test_exact_duplicates_of_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "B"), (2, "c")], "doc_id long, text string")
     got = exact_duplicates(rows)
@@ -802,6 +831,18 @@ def test_word_bpe(spark):
     assert bpe_round_trip(empty(spark), path).count() == 0
 
 
+def test_word_bpe_classes():
+    """Every code point is classed as the library does it, whatever Unicode version this interpreter has."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    plain, bpe = Tokenizer.from_file(path), loaded(path)
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    lines = [" ".join(f"{c}x7{c}!" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    for line, want in zip(lines, plain.encode_batch(lines, add_special_tokens=False), strict=True):
+        assert bpe.encode_piece(line) == want.ids
+
+
 def test_merges_agree():
     """The scan over ranks and the heap for long words give the same merges."""
     bpe, rng = loaded(tokenizer("word_bpe_49k.json")), random.Random(1)
