@@ -258,3 +258,19 @@ def test_compressed_records_round_trip():
         assert book_bytes([packed, b"", packed], 2, cut) == ((data + data)[:cut] if cut else data + data).rstrip(b"\0") if packed else True
     assert len(palmdoc_packed(b"ab" * 500)) < 250
     assert book_bytes([b"\x41", b"\x80\x80\x80"], 2, 1) == b"A"
+
+
+def test_functions_see_slices(spark):
+    """A function over Arrow batches gets few rows and bytes at once, however large Spark's batches are, and a long row alone."""
+    from lectern.functions import columns
+
+    def sizes(texts):
+        return texts.map(lambda _: f"{len(texts)}:{texts.str.len().sum()}")
+
+    length = F.when(F.col("id") % 500 == 7, 2 << 20).otherwise(300).cast("int")
+    rows = spark.range(0, 6000, 1, 1).select("id", F.repeat(F.lit("x"), length).alias("text"))
+    got = {r["id"]: tuple(map(int, r["s"].split(":"))) for r in rows.select("id", columns.arrow_udf(sizes, "string", F.col("text")).alias("s")).collect()}
+    assert len(got) == 6000
+    assert all(n == 1 or (n <= columns.SLICE_ROWS and size <= columns.SLICE_BYTES) for n, size in got.values())
+    assert all(got[i] == (1, 2 << 20) for i in range(7, 6000, 500))
+    assert max(n for n, _ in got.values()) > 100
