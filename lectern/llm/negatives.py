@@ -243,7 +243,8 @@ def _searched(blocks: DataFrame, buckets: DataFrame, segments: Column, same: boo
     ``blocks`` has ``limits``: an array of (row, slot, low, high); a row or slot that is missing looks for nothing.
     """
     own = [F.col(n).alias(f"b_{n}") for n in ("place", "width", "ids", "keys", "labels", "anchors", "cells")]
-    left = blocks.select(*own, "limits", F.explode(segments).alias("segment"))
+    # A block stands here once for each segment: Spark sizes it as one and would broadcast it through the driver.
+    left = blocks.select(*own, "limits", F.explode(segments).alias("segment")).hint("merge")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now = None, None

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, maybe_among, salted_join, sliced, without_rows, written
+from lectern.llm.common import counted_join, map_arrow, maybe_among, salted_join, sliced, without_rows, written
 from lectern.llm.components import components
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.token_store import mixed_bits
@@ -155,14 +155,16 @@ def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     for _ in range(PRUNINGS):
         enough = held.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("node").bitwiseAND(255)).select("node")
         held = held.join(enough, "node").drop("hub")
-        held = written(salted_join(held, _shared(held), ["mark"], F.col("node"), "inner", salts=4), "shared-marks")
+        # Marks are many and most have few nodes, so only those of very many are repeated.
+        held = written(counted_join(held, _shared(held, "n"), ["mark"], F.col("node"), "n").drop("n"), "shared-marks")
     spokes = held.filter("node <> hub").select(F.shiftright("node", 8).alias("a"), F.shiftright("hub", 8).alias("b"))
     return components(spokes).select("node", F.col("root").alias("cluster"))
 
 
-def _shared(marks: DataFrame) -> DataFrame:
-    """(mark, hub) of the marks that two nodes or more have; hub is the least of them."""
-    return marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other").select("mark", "hub")
+def _shared(marks: DataFrame, *counted: str) -> DataFrame:
+    """(mark, hub) of the marks that two nodes or more have; hub is the least of them. A further name is that of a column with the number of rows."""
+    counts = [F.count("*").alias(n) for n in counted]
+    return marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other"), *counts).filter("hub < other").select("mark", "hub", *counted)
 
 
 def _nodes(sets: DataFrame, join: Join) -> DataFrame:

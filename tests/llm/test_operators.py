@@ -929,3 +929,36 @@ def test_pipeline(spark, sf_dir):
             plain = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
             want = [(r["doc_id"], plain.encode(r["text"] or "", add_special_tokens=False).ids) for r in before]
             assert sorted((r["doc_id"], list(r["ids"])) for r in after) == sorted(want) and all(r["n_tokens"] == len(r["ids"]) for r in after)
+
+
+def test_repeated_facts_are_not_broadcast(spark):
+    """A side that is repeated for salts is many times the size Spark takes it for, so it must not go through the driver."""
+    from lectern.llm.common import counted_join, salted_join
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 10).alias("key"))
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    joined = salted_join(rows, facts, ["key"], F.col("id"), "inner")
+    counted = counted_join(rows, facts, ["key"], F.col("id"), "n")
+    wide = lambda plan: [x for x in plan.splitlines() if "Join" in x and "__salt__" in x]
+    for got in (joined, counted):
+        found = wide(got._jdf.queryExecution().executedPlan().toString())
+        assert found and all("SortMergeJoin" in x for x in found)
+        assert got.count() == 3000
+
+
+def test_blocks_of_anchors_are_not_broadcast(spark, monkeypatch):
+    """A block of anchors stands once for each segment: its join with the buckets must not go through the driver."""
+    from lectern.llm import negatives
+
+    seen = []
+
+    def watched(df, fn, schema):
+        seen.append((schema, df._jdf.queryExecution().executedPlan().toString()))
+        return map_arrow(df, fn, schema)
+
+    map_arrow = negatives.map_arrow
+    monkeypatch.setattr(negatives, "map_arrow", watched)
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("label"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    assert negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0).count() > 0
+    searches = [plan for schema, plan in seen if schema == negatives.FOUND]
+    assert searches and all([x for x in plan.splitlines() if "Join" in x and "segment" in x] and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "segment" in x] for plan in searches)
