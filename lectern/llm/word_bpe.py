@@ -25,7 +25,7 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from lectern.llm.common import map_arrow, sliced
+from lectern.llm.common import map_arrow, release_memory, sliced
 from lectern.llm.pieces import PieceTable, flattened
 
 SHORT, NEVER = 96, 1 << 60
@@ -152,8 +152,8 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) of every row of ``docs``.
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of ``docs``; without ``decode`` (doc_id, ids).
 
     ``tokenizer_path`` must exist on every executor. Null and empty texts have no ids and an empty decoded text;
     very long texts and words are encoded whole; repeated rows and null ids are kept; an empty table gives an empty
@@ -165,11 +165,13 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in sliced(batches, rows=500, size=2_000_000):
             ids, counts = bpe.encode(batch.column(1))
             ends = np.concatenate([[0], np.cumsum(counts)])
-            tokens = list(map(bpe.tokens.__getitem__, ids.tolist()))
-            decoded = pa.array([" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
+            out = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}
+            if decode:
+                tokens = list(map(bpe.tokens.__getitem__, ids.tolist()))
+                out["decoded"] = pa.array([" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return map_arrow(rows, encode, schema)
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return map_arrow(rows, encode, schema.add("decoded", T.StringType()) if decode else schema)

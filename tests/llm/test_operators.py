@@ -962,3 +962,15 @@ def test_blocks_of_anchors_are_not_broadcast(spark, monkeypatch):
     assert negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0).count() > 0
     searches = [plan for schema, plan in seen if schema == negatives.FOUND]
     assert searches and all([x for x in plan.splitlines() if "Join" in x and "segment" in x] and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "segment" in x] for plan in searches)
+
+
+def test_ids_without_decoding(spark, sf_dir):
+    """A caller that needs ids only does not pay for decoded texts; the ids are the same."""
+    import public_tokenizers
+
+    from lectern.llm.word_bpe import bpe_round_trip
+
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")
+    bare = bpe_round_trip(docs, path, decode=False)
+    assert bare.columns == ["doc_id", "ids"]
+    assert sorted(map(tuple, bare.collect())) == sorted((r["doc_id"], r["ids"]) for r in bpe_round_trip(docs, path).collect())
