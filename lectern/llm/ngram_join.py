@@ -149,22 +149,21 @@ def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Both uses below read one shuffle of the marks: the filter is what the join would add on its side only.
     marks = map_arrow(rows, announce, "mark long, node long").filter("mark is not null and node is not null").repartition("mark")
-    shared = marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other")
     # Both sides come from one shuffle; the shared marks are few, so their side is hashed and the other streams by.
-    held = written(marks.join(_shared(marks).hint("shuffle_hash"), "mark"), "shared-marks")
+    # Each row keeps how many nodes its mark had, so that later joins know the marks of very many on either side.
+    held = written(marks.join(_shared(marks, F.count("*")).hint("shuffle_hash"), "mark"), "shared-marks")
     for _ in range(PRUNINGS):
         enough = held.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("node").bitwiseAND(255)).select("node")
         held = held.join(enough, "node").drop("hub")
         # Marks are many and most have few nodes, so only those of very many are repeated.
-        held = written(counted_join(held, _shared(held, "n"), ["mark"], F.col("node"), "n").drop("n"), "shared-marks")
+        held = written(counted_join(held, _shared(held, F.max("n")), ["mark"], F.col("node"), "n"), "shared-marks")
     spokes = held.filter("node <> hub").select(F.shiftright("node", 8).alias("a"), F.shiftright("hub", 8).alias("b"))
     return components(spokes).select("node", F.col("root").alias("cluster"))
 
 
-def _shared(marks: DataFrame, *counted: str) -> DataFrame:
-    """(mark, hub) of the marks that two nodes or more have; hub is the least of them. A further name is that of a column with the number of rows."""
-    counts = [F.count("*").alias(n) for n in counted]
-    return marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other"), *counts).filter("hub < other").select("mark", "hub", *counted)
+def _shared(marks: DataFrame, most: Column) -> DataFrame:
+    """(mark, hub, n) of the marks that two nodes or more have; hub is the least of them, n what ``most`` says of a mark's rows."""
+    return marks.groupBy("mark").agg(F.min("node").alias("hub"), F.max("node").alias("other"), most.alias("n")).filter("hub < other").select("mark", "hub", "n")
 
 
 def _nodes(sets: DataFrame, join: Join) -> DataFrame:

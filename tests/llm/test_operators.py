@@ -931,6 +931,15 @@ def test_pipeline(spark, sf_dir):
             assert sorted((r["doc_id"], list(r["ids"])) for r in after) == sorted(want) and all(r["n_tokens"] == len(r["ids"]) for r in after)
 
 
+def test_counted_rows_need_no_bitmap(spark):
+    """Rows that carry the count of their key say by themselves whether it is hot: no join with a bitmap, which makes a row for each of theirs."""
+    ids = spark.range(3000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 10).alias("key"))
+    counts = ids.groupBy("key").agg(F.count("*").alias("n"))
+    got = counted_join(ids.join(counts, "key"), counts.withColumn("last", F.col("key") * 2), ["key"], F.col("id"), "n", hot=500)
+    assert sorted(got.columns) == ["id", "key", "last", "n"] and "__bit_part" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["key"], r["n"], r["last"]) for r in got.collect()) == sorted((i, k, 2100 if k == 0 else 100, 2 * k) for i in range(3000) for k in [0 if i < 2000 else i % 10])
+
+
 def test_repeated_facts_are_not_broadcast(spark):
     """A side that is repeated for salts is many times the size Spark takes it for, so it must not go through the driver."""
     from lectern.llm.common import counted_join, salted_join
