@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_arrow, salted_join, sliced, written
-from lectern.llm.pieces import PieceTable, flattened
+from lectern.llm.pieces import PieceTable, flattened, ranges
 from lectern.llm.word_bpe import byte_characters
 from lectern.shipping import ship
 
@@ -44,6 +44,8 @@ FAN = 4096
 JOINED_SPACE = "[ \n][ \n]|\n\\z|[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
 #: Signs that stand apart from a word before them; an apostrophe may not.
 SIGNS, LATIN_END = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'"), "\u0250"
+#: A word of letters below ``LATIN_END``, and the signs behind it.
+PLAIN_WORD = r"\A(?P<word>[%s]+)(?P<signs>[%s]*)\z" % ("".join(c for c in map(chr, range(ord(LATIN_END))) if c.isalpha()), "".join(f"\\x{ord(c):02X}" for c in SIGNS))
 
 
 class Encoder:
@@ -69,23 +71,40 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Plain words with signs behind them go to the library's model directly, all else through its whole chain; a word is encoded once, with signs and without."""
+        table, cut = self.table, pc.extract_regex(pieces, PLAIN_WORD)
+        plain = np.asarray(cut.is_valid().cast(pa.int8())).astype(bool)
+        word, signs = (x.dictionary_encode() for x in cut.filter(pa.array(plain)).flatten())
+        held = table.find(word.dictionary)
+        old, rest = held >= 0, np.flatnonzero(~plain)
+        sources = [(self._words(word.dictionary.filter(pa.array(~old)))), flattened([self._signs(x) for x in signs.dictionary.to_pylist()]), self._others(pieces.take(pa.array(rest)).to_pylist())]
+        flats = [table.flat, *[flat for flat, _ in sources]]
+        begin = np.cumsum([len(flat) for flat in flats])
+        new, behind, whole = [(first + np.cumsum(sizes) - sizes, sizes) for first, (_, sizes) in zip(begin.tolist(), sources, strict=False)]
+        # Of each piece where the ids of its word lie and where those of its signs do; other pieces are whole, without signs.
+        at, n = np.zeros((2, len(pieces), 2), np.int64)
+        for out, known, found, sign, other in ((at, table.starts, new[0], behind[0], whole[0]), (n, table.sizes, new[1], behind[1], whole[1])):
+            of_words = np.zeros(len(held), np.int64)
+            of_words[old], of_words[~old] = known[held[old]], found
+            out[plain, 0], out[plain, 1], out[rest, 0] = of_words[np.asarray(word.indices)], sign[np.asarray(signs.indices)], other
+        return np.concatenate(flats)[ranges(at.ravel(), n.ravel())], n.sum(1)
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words with the space before each, and their numbers."""
+        tokenize, blank = self.tokenizer.model.tokenize, self.blank
+        spelled = " ".join(["", *words.to_pylist()]).encode().decode("latin-1").translate(self.characters).split(blank)[1:]
+        return flattened([[t.id for t in tokenize(blank + w)] for w in spelled])
+
+    def _others(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin a text (marked by a space) or a line, or are more than a plain word with signs, and their numbers."""
         found: list[list[int] | None] = []
-        other, tokenize, blank, words = [], self.tokenizer.model.tokenize, self.blank, {}
+        other = []
         for i, p in enumerate(pieces):
-            if p.__class__ is str and p.isascii() and p.isalpha():  # most pieces
-                if (ids := words.get(p)) is None:
-                    ids = words[p] = [t.id for t in tokenize(blank + p)]
-                found.append(ids)
-                continue
-            start, p = ("", p[0]) if isinstance(p, tuple) else ("\n", p[1:]) if p[:1] == "\n" else (" ", p)
+            start, p = ("", p[1:]) if p[:1] == " " else ("\n", p[1:]) if p[:1] == "\n" else (" ", p)
             word = p.rstrip(SIGNS)
-            if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
-                if start != " ":
-                    ids = self._word(start, word)
-                elif (ids := words.get(word)) is None:
-                    ids = words[word] = self.table.known(word) or self._word(start, word)
+            if start != " " and word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+                ids = self._word(start, word)
                 found.append(ids + self._signs(p[len(word) :]) if len(word) < len(p) else ids)
             else:
                 found.append(None)
@@ -98,7 +117,7 @@ class Encoder:
         text = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
         if start == "\n":
             return [*self._signs("\n"), *(t.id for t in self.tokenizer.model.tokenize(text))]
-        return [t.id for t in self.tokenizer.model.tokenize(self.blank + text if start else text)]
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def _signs(self, signs: str) -> list[int]:
         if (ids := self.known_signs.get(signs)) is None:
@@ -121,7 +140,7 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         whole = np.asarray(pc.match_substring_regex(texts, JOINED_SPACE).cast(pa.int8())).astype(bool)
         cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n"), " ")
-        ids, counts = self.table.lookup(cut, first=lambda p: (p,))
+        ids, counts = self.table.lookup(cut, mark=" ")
         out = np.split(ids, np.cumsum(counts)[:-1])
         at = np.flatnonzero(whole)
         for i, found in zip(at, self.plain(texts.take(pa.array(at)).to_pylist()), strict=True):

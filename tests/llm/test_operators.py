@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -931,6 +932,43 @@ def test_pipeline(spark, sf_dir):
             assert sorted((r["doc_id"], list(r["ids"])) for r in after) == sorted(want) and all(r["n_tokens"] == len(r["ids"]) for r in after)
 
 
+def test_piece_table_is_bounded_by_bytes(monkeypatch):
+    """Few pieces that are very long do not stay either, and pieces are found again as Arrow strings, the first of a text apart."""
+    from lectern.llm import pieces
+
+    monkeypatch.setattr(pieces, "HELD_BYTES", 10_000)
+    asked = []
+
+    def encode(new):
+        asked.append(new.to_pylist())
+        return np.array([len(p) for p in asked[-1]], np.int32), np.ones(len(new), np.int64)
+
+    table = pieces.PieceTable(encode, limit=100)
+    for texts in ([["ab", "c", "ab"], [], ["c"]], [["c", "ab"]], [["x" * 20_000]], [["ab"]]):
+        ids, counts = table.lookup(pa.array(texts, pa.list_(pa.string())), mark=" ")
+        assert counts.tolist() == [len(t) for t in texts] and ids.tolist() == [len(p) + (i == 0) for t in texts for i, p in enumerate(t)]
+    assert asked == [[" ab", "c", "ab", " c"], [" " + "x" * 20_000], [" ab"]] and table.pieces.nbytes < 10_000
+
+
+def test_word_bpe_merges_many_words_at_once():
+    """Pieces of a batch as the library encodes each of them; words of every length as merged one by one."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(7)
+    bpe, theirs = loaded(path), Tokenizer.from_file(path)
+    signs = "eeeetttaoinshrdlu'’.,-0179éßΣσŉﬁ한語\u0301\u200b\t😀"
+    pieces = ["".join(rng.choice(signs) for _ in range(rng.choice((0, 1, 2, 5, 9, 20, 40, 200)))) for _ in range(3000)] + ["<|endoftext|>", "a<|startoftext|>b!<|endoftext|>", "\u0301x", "ΑΣ"]
+    ids, counts = bpe.encode_pieces(pa.array(pieces))
+    ends = np.cumsum(counts)
+    for piece, a, b in zip(pieces, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == theirs.encode(piece, add_special_tokens=False).ids, piece
+    words = ["".join(rng.choice("etaoinsh") for _ in range(n)) for n in range(1, 130) for _ in range(5)]
+    ids, counts = bpe.merge_words(pa.array(words))
+    want = [bpe.merge([bpe.vocab[c] for c in w[:-1]] + [bpe.vocab[w[-1] + bpe.suffix]]) for w in words]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert bpe.encode_pieces(pa.array([""]))[1].tolist() == [0]
+
+
 def test_counted_rows_need_no_bitmap(spark):
     """Rows that carry the count of their key say by themselves whether it is hot: no join with a bitmap, which makes a row for each of theirs."""
     ids = spark.range(3000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 10).alias("key"))
