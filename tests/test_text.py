@@ -142,3 +142,15 @@ def test_word_labels_round_the_binary_value(spark):
     want = {c: f"{Decimal(c / u).quantize(Decimal('0.1'), ROUND_HALF_UP)}{s}" for c in counts for u, s in [(1_000_000, "M") if c >= 1_000_000 else (1_000, "K")]}
     rows = spark.createDataFrame([(c,) for c in counts], "c long").select("c", reading.word_label(F.col("c")).alias("label"))
     assert {r["c"]: r["label"] for r in rows.collect()} == want
+
+
+def test_sanitized_decodings(spark):
+    """The function of one text for Arrow batches follows the expression's rule, whatever line ends and white space there are."""
+    import random
+
+    rng = random.Random(3)
+    signs = [*"ab  \t\n\n\n\r\x0b\x0c\x00\x1f\x85", "\u2028", "\u3000", "\xa0", "\ufeff", "\ufffd", "\u200b", "\U0001f600"]
+    plain = [c for c in signs if c not in "\r\x85\u2028"]
+    texts = ["".join(rng.choice(signs if i % 2 else plain) for _ in range(rng.randrange(25))) for i in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.sanitize_control(F.col("t")).alias("want")).collect()
+    assert [text.sanitized_control(r["t"]) for r in rows] == [r["want"] for r in rows]
