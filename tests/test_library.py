@@ -169,3 +169,48 @@ def test_decodings_stay_within_the_row(spark):
     assert got[1] == ("né’e", "utf-8", "direct") and got[2][0] == got[3][0] == "" and got[3][1] == "utf-8"
     tried = decoding.decoding_candidates(rows).filter("doc_id = 1").collect()
     assert len({(r["encoding"], r["transform"]) for r in tried}) == len(tried) and tried[0]["prio"] == 0
+
+
+ODD = [("wiki", "These are quite enough characters to be read.\n\n\n\nMore of them."), ("a/b %41+c", "A name with signs of addresses; the text is long enough."), ("_hidden", "few"), ("ü é", ""), (None, "short"), ("wiki", " " * 30)]
+
+
+@pytest.fixture
+def odd_documents(spark, tmp_path):
+    rows = [(i, text, source) for i, (source, text) in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    return str(tmp_path / "sf")
+
+
+def test_imported_library_of_odd_names(spark, odd_documents):
+    """Files are called what SQL says, whatever signs are in a name, and none is lost."""
+    import duckdb
+
+    from lectern.plans.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd_documents}/documents.parquet/*.parquet'")
+    got, want = QUERIES["imported_library"](spark, odd_documents), con.sql(ORACLES["imported_library"])
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(str(spark.createDataFrame([r], got.select(*want.columns).schema).first()) for r in want.fetchall())
+
+
+def test_folder_of_many_files_has_few_folders(spark, tmp_path):
+    """A folder for each file made readers list as many folders as there were files."""
+    from lectern.sources import files
+
+    rows = spark.range(1500).select(F.concat(F.lit("n_"), F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.encode(F.concat(F.lit("text "), F.col("id").cast("string")), "UTF-8").alias("content"))
+    assert files.write_files(rows, f"file://{tmp_path}/in") == 1500
+    assert len([p for p in (tmp_path / "in").rglob("*") if p.is_dir()]) <= files.FOLDERS
+    found = files.read_files(spark, f"{tmp_path}/in", "*.txt").select(files.written_name(F.col("uri")).alias("name"), F.decode("content", "UTF-8").alias("t")).collect()
+    assert sorted((r["name"], r["t"]) for r in found) == sorted((f"n_{i}.txt", f"text {i}") for i in range(1500))
+    assert files.write_files(rows.limit(0), f"file://{tmp_path}/none") == 0
+
+
+def test_only_formats_that_occur_are_planned(spark):
+    """A batch of plain texts needs no reader of books; rows are those of all readers."""
+    from lectern.sources.files import extract_texts, formats_of
+
+    rows = spark.createDataFrame([(i, None, f"f{i}.txt", None, None, bytearray(b"quite enough characters to read %d" % i)) for i in range(3)] + [(9, None, "f.txt", None, None, None)], "doc_id long, uri string, name string, mime_type string, base64 string, content binary")
+    assert formats_of(rows) == {"TXT"} and formats_of(rows.limit(0)) == set()
+    less, whole = extract_texts(rows, formats=formats_of(rows)), extract_texts(rows)
+    assert sorted(map(str, less.collect())) == sorted(map(str, whole.collect()))
+    assert "Join" not in less._jdf.queryExecution().optimizedPlan().toString()
