@@ -149,8 +149,11 @@ def mobi_headers(files: DataFrame) -> DataFrame:
     c = F.col("content")
     # The first error is decided before fields behind it are read; fields beyond the end are null.
     rows = files.withColumns({"size": F.octet_length(c), "kind": _ascii(c, 60, 4), "creator": _ascii(c, 64, 4), "listed": unsigned(c, 76, 2)})
-    offsets = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce("listed", F.lit(1)) - 1, F.lit(0)).cast("int")), lambda i: unsigned(c, i * 8 + 78, 4)), lambda o: o.isNotNull())
-    rows = rows.withColumn("offsets", F.when(F.coalesce("listed", F.lit(0)) > 0, offsets).otherwise(F.array().cast("array<bigint>"))).withColumn("records", F.size("offsets"))
+    # Offsets are read of books only, and no more than the file has room for, whatever number it claims.
+    held = F.least("listed", F.floor((F.col("size") - 78) / 8) + 1)
+    offsets = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(held - 1, F.lit(0)).cast("int")), lambda i: unsigned(c, i * 8 + 78, 4)), lambda o: o.isNotNull())
+    is_book = (F.col("kind") == "BOOK") & (F.col("creator") == "MOBI") & (F.col("listed") > 0)
+    rows = rows.withColumn("offsets", F.when(is_book, offsets).otherwise(F.array().cast("array<bigint>"))).withColumn("records", F.size("offsets"))
     # Offsets may be anything; what lies beyond the file is its end.
     start = F.least(F.get("offsets", F.lit(0)), F.col("size")).cast("int")
     first_end = F.greatest(start, F.least(F.get("offsets", F.lit(1)), F.col("size")).cast("int"))

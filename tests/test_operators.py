@@ -274,3 +274,15 @@ def test_functions_see_slices(spark):
     assert all(n == 1 or (n <= columns.SLICE_ROWS and size <= columns.SLICE_BYTES) for n, size in got.values())
     assert all(got[i] == (1, 2 << 20) for i in range(7, 6000, 500))
     assert max(n for n, _ in got.values()) > 100
+
+
+def test_offsets_are_read_of_books_only(spark):
+    """A file that claims 65,535 records has offsets only as far as it goes, and none if it is no book."""
+    from lectern.operators import containers
+
+    body = lambda kind: bytearray(b"\0" * 60 + kind + b"\0" * 8 + b"\xff\xff" + b"\0\0\0\x56\0\0\0\0" * 4 + b"\0" * 3)
+    rows = spark.createDataFrame([(1, body(b"BOOKMOBI")), (2, body(b"TEXTREAD")), (3, bytearray(b"\xff" * 500)), (4, bytearray(b"BOOK")), (5, None)], "doc_id long, content binary")
+    got = {r["doc_id"]: r for r in containers.mobi_headers(rows).collect()}
+    assert {i: r["records"] for i, r in got.items()} == {1: 4, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert list(got[1]["offsets"]) == [0x56] * 4
+    assert got[2]["error"] == "Invalid MOBI file format (type: TEXT, creator: READ). Expected BOOK/MOBI." and got[4]["error"] == "This file is too small to be a valid MOBI document."
