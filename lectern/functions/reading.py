@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import fixed_1
-from lectern.functions.text import once, words
+from lectern.functions.text import once, word_count, words
 
 #: Least, most and step of each numeric setting; an angle turns round instead.
 LIMITS = {"wpm": (50, 1200, 50), "chunkSize": (1, 5, 1), "fontSize": (12, 48, 2), "orpStrength": (0.0, 1.0, 0.1), "depth": (20, 200, 10), "ghostAlpha": (0.0, 1.0, 0.1), "wordSpacing": (0, 50, 5), "patternScale": (50, 200, 10), "patternOpacity": (0, 100, 5)}
@@ -40,6 +40,11 @@ def chunks(all_words: Column, size: int) -> Column:
     return F.transform(all_words, lambda w: F.array(w)) if size == 1 else once(all_words, cut)
 
 
+def chunk_count(text: Column, size: int) -> Column:
+    """How many chunks :func:`chunks` cuts a text's words into; quotes, straight or curly, part no words."""
+    return F.ceil(word_count(text) / size)
+
+
 def recognition_point(chunk: Column) -> Column:
     """Where the eye rests in a chunk's middle word: about a third into its letters."""
     middle = F.when(F.size(chunk) == 1, 0).otherwise(F.floor(F.size(chunk) / 2).cast("int"))

@@ -214,3 +214,10 @@ def test_only_formats_that_occur_are_planned(spark):
     less, whole = extract_texts(rows, formats=formats_of(rows)), extract_texts(rows)
     assert sorted(map(str, less.collect())) == sorted(map(str, whole.collect()))
     assert "Join" not in less._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_playback_counts_words_once(spark, odd_documents):
+    from lectern.plans.queries import QUERIES
+
+    plan = QUERIES["playback_index"](spark, odd_documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
