@@ -30,8 +30,10 @@ from lectern.llm.common import map_arrow, release_memory, sliced
 from lectern.llm.pieces import PieceTable, ranges
 
 SHORT, NEVER = 96, np.iinfo(np.int32).max
-#: Words up to these numbers of symbols are merged together, so many at a time.
-LENGTHS, ROWS = (4, 8, 16, 32, SHORT), 20_000
+#: Words up to these numbers of symbols are merged together, so many symbols at a time.
+LENGTHS, CELLS = (4, 8, 16, 32, SHORT), 64_000
+#: Texts that a task has in work at once, and after how many such slices it gives memory back: an executor's workers share its memory with a JVM whose heap is full by then.
+SLICE_ROWS, SLICE_BYTES, SLICES = 500, 500_000, 8
 
 
 def byte_characters() -> list[str]:
@@ -157,8 +159,8 @@ class WordBpe:
         starts, counts, least = np.cumsum(sizes) - sizes, sizes.copy(), 1
         for most in LENGTHS:
             own = np.flatnonzero((sizes > least) & (sizes <= most))
-            for first in range(0, len(own), ROWS):
-                at = own[first : first + ROWS]
+            for first in range(0, len(own), rows := CELLS // most):
+                at = own[first : first + rows]
                 counts[at] = self._merge_rows(flat, starts[at], sizes[at])
             least = most
         for i in np.flatnonzero(sizes > SHORT).tolist():
@@ -227,6 +229,19 @@ class WordBpe:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.names.take(pa.array(ids))), " ")
 
 
+def coded(bpe: WordBpe, batches: Iterator[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, decoded) of batches (doc_id, text), slice by slice; without ``decode`` (doc_id, ids)."""
+    for n, batch in enumerate(sliced(batches, rows=SLICE_ROWS, size=SLICE_BYTES), 1):
+        ids, counts = bpe.encode(batch.column(1))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}
+        if decode:
+            out["decoded"] = bpe.decode_all(ids, ends)
+        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        if n % SLICES == 0:
+            release_memory()
+
+
 @lru_cache(maxsize=2)
 def loaded(path: str) -> WordBpe:
     return WordBpe(path)
@@ -241,14 +256,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(tokenizer_path)
-        for batch in sliced(batches, rows=500, size=2_000_000):
-            ids, counts = bpe.encode(batch.column(1))
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            out = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}
-            if decode:
-                out["decoded"] = bpe.decode_all(ids, ends)
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        yield from coded(loaded(tokenizer_path), batches, decode)
+        release_memory()
         release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1021,3 +1021,24 @@ def test_ids_without_decoding(spark, sf_dir):
     bare = bpe_round_trip(docs, path, decode=False)
     assert bare.columns == ["doc_id", "ids"]
     assert sorted(map(tuple, bare.collect())) == sorted((r["doc_id"], r["ids"]) for r in bpe_round_trip(docs, path).collect())
+
+
+def test_word_bpe_holds_little(monkeypatch):
+    """A task's memory beside the batch is bounded by its slices, and merges by symbols however long words are; nothing changes by it."""
+    import tracemalloc
+
+    from lectern.llm import word_bpe
+
+    bpe, rng, cells = word_bpe.WordBpe(tokenizer("word_bpe_49k.json")), random.Random(2), []
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.choice((3, 7, 15, 30, 90)))) for _ in range(60_000)]
+    texts = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
+    merge = bpe._merge_rows
+    monkeypatch.setattr(bpe, "_merge_rows", lambda flat, starts, sizes: (cells.append(len(sizes) * int(sizes.max())), merge(flat, starts, sizes))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    got = sum((b.column("ids").value_lengths().to_pylist() for b in word_bpe.coded(bpe, iter([batch]), decode=False)), [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(cells) <= word_bpe.CELLS and peak < 20e6, (max(cells), peak)
+    whole, counts = bpe.encode(batch.column(1))
+    assert got == counts.tolist() and len(whole) == sum(got)
