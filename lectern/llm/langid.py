@@ -108,23 +108,46 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     least = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gained[:-1]]), 0)
     if 2 * (gained - least).max() <= switch:
         return np.full(len(scores), best)
-    rows, n = scores.tolist(), scores.shape[1]
-    total, back = rows[0][:], []
-    for row in rows[1:]:
-        top = max(total)
-        at, from_top, came = total.index(top), top - switch, [0] * n
-        for k in range(n):
-            if total[k] >= from_top:
-                came[k] = k
-                total[k] += row[k]
-            else:
-                came[k] = at
-                total[k] = from_top + row[k]
-        back.append(came)
-    path = [total.index(max(total))]
-    for came in reversed(back):
-        path.append(came[path[-1]])
-    return np.array(path[::-1])
+    leaders, since = _forward(scores.astype(np.float64), switch)
+    path, end, k = np.empty(len(scores), np.int64), len(scores) - 1, int(leaders[-1])
+    while end >= 0:  # back to where the language's path last came from the leader
+        first = since[end, k]
+        path[first : end + 1] = k
+        end, k = first - 1, int(leaders[first - 1])
+    return path
+
+
+#: Words that a stretch under one leader tries at first.
+STRETCH = 128
+
+
+def _forward(rows: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """The language with the largest sum after each word, and for each word and language where that language's path was last entered.
+
+    While one language leads, each other's distance behind it is a walk that falls no lower than ``switch`` (there its path is entered from
+    the leader's): the sum of differences less its least so far. So a stretch under one leader is a few array operations.
+    """
+    n, every = len(rows), np.arange(rows.shape[1])
+    leaders, entered = np.empty(n, np.int64), np.zeros(rows.shape, np.int64)
+    lead, size, at = int(rows[0].argmax()), STRETCH, 1
+    leaders[0], behind = lead, rows[0] - rows[0, lead]
+    while at < n:
+        part = rows[at : at + size]
+        sums = np.cumsum(part - part[:, lead, None], 0)
+        least = np.minimum.accumulate(np.vstack([-np.maximum(behind + switch, 0), sums]), 0)
+        held = sums - least[:-1] - switch  # distances after each word
+        before = np.vstack([behind, held[:-1]])
+        over = (held > 0) | ((held == 0) & (every < lead))
+        lost = over.any(1)
+        took = int(lost.argmax()) + 1 if lost.any() else len(part)
+        places = np.arange(at, at + took)
+        entered[places] = np.where(before[:took] < -switch, places[:, None], 0)
+        leaders[places] = lead
+        behind, at, size = held[took - 1], at + took, size * 2
+        if lost.any():
+            lead, size = int(behind.argmax()), STRETCH
+            leaders[at - 1], behind = lead, behind - behind[lead]
+    return leaders, np.maximum.accumulate(entered, 0)
 
 
 def held_out_of(doc_id: Column, folds: int, fold: int) -> Column:

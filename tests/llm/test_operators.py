@@ -1042,3 +1042,33 @@ def test_word_bpe_holds_little(monkeypatch):
     assert max(cells) <= word_bpe.CELLS and peak < 20e6, (max(cells), peak)
     whole, counts = bpe.encode(batch.column(1))
     assert got == counts.tolist() and len(whole) == sum(got)
+
+
+def test_best_path_by_stretches():
+    """Stretches under one leader give the path of a search word by word, ties included, at a fraction of its time."""
+    import time
+
+    def plain(scores, switch):
+        total, back = scores[0].tolist(), []
+        for row in scores[1:].tolist():
+            at = total.index(max(total))
+            came = [k if t >= total[at] - switch else at for k, t in enumerate(total)]
+            total = [max(t, total[at] - switch) + r for t, r in zip(total, row, strict=True)]
+            back.append(came)
+        path = [total.index(max(total))]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        return path[::-1]
+
+    rng = np.random.default_rng(5)
+    for i in range(300):
+        n, k = int(rng.integers(1, 300)), int(rng.integers(1, 6))
+        scores = rng.integers(-8, 1, (n, k)).astype(np.float32) / 2 + np.repeat(rng.integers(0, 5, (n // 20 + 1, k)), 20, 0)[:n].astype(np.float32)
+        assert best_path(scores, float(i % 3 * 4 + 2)).tolist() == plain(scores, float(i % 3 * 4 + 2))
+    scores = np.zeros((60_000, 4), np.float32)
+    scores[np.arange(60_000), np.arange(60_000) // 1000 % 4] = 3
+    began = time.process_time()
+    path = best_path(scores, 12.0).tolist()
+    middle = time.process_time()
+    assert path == plain(scores, 12.0)
+    assert middle - began < (time.process_time() - middle) / 2
