@@ -1071,4 +1071,4 @@ def test_best_path_by_stretches():
     path = best_path(scores, 12.0).tolist()
     middle = time.process_time()
     assert path == plain(scores, 12.0)
-    assert middle - began < (time.process_time() - middle) / 2
+    assert middle - began < (time.process_time() - middle) / 4, (middle - began, time.process_time() - middle)
