@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import counted_join, lowered, maybe_among, salted_join, without_rows, written
+from lectern.llm.common import counted_join, lowered, maybe_among, passing_tables, salted_join, scratch_path, stored, without_rows, written
 
 
 def _named(items: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -90,8 +90,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if docs.isEmpty():
         return docs
-    found = exact_duplicates(docs, id_col, text_col, block_chars)
-    tied = found.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.count("*").alias("same"))
-    lost = found.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct().withColumn("same", F.lit(0).cast("long"))
-    lost = written(lost.unionByName(tied.filter("same > 1")), "dedup-lost")
+    path = scratch_path(docs.sparkSession, "dedup-lost")
+    with passing_tables(docs.sparkSession):
+        found = exact_duplicates(docs, id_col, text_col, block_chars)
+        tied = found.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.count("*").alias("same"))
+        lost = found.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct().withColumn("same", F.lit(0).cast("long"))
+        lost = stored(lost.unionByName(tied.filter("same > 1")), path)
     return without_rows(docs, lost, id_col, F.sha2(lowered(F.col(text_col)), 256))

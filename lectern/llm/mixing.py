@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import WORD, salted_join, written
 
 WEIGHTS, SHARE, MOST_EPOCHS, BINS = (5, 2, 1), 1.5, 2, 256
+#: Up to so many sources their budgets are broadcast.
+FEW_SOURCES = 1000
 #: What orders the rows of a source.
 ORDER = ("key", "id", "size", "print")
 
@@ -107,7 +109,10 @@ def _copied(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
     names = {"_none": "__mix_none", "_source": "__mix_source"} | {c: f"__mix_{c}" for c in ("source_size", "target", "epochs", "end_bin", "last", "held", "taken")}
     budgets = budgets.withColumnsRenamed(names)
     keyed = keyed.withColumns({"__mix_none": F.col("source").isNull(), "__mix_source": F.coalesce("source", F.lit(""))})
-    joined = salted_join(keyed, budgets, ["__mix_none", "__mix_source"], F.struct("__mix_key", "__mix_print"), "inner", salts=16)
+    source = ["__mix_none", "__mix_source"]
+    # Rows may have their texts with them: budgets of few sources come to the rows, which then neither move nor are sorted.
+    few = budgets.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    joined = keyed.join(F.broadcast(budgets), source) if few else salted_join(keyed, budgets, source, F.struct("__mix_key", "__mix_print"), "inner", salts=16)
     own = F.struct(*[F.col(f"__mix_{c}").alias(c) for c in ORDER])
     inside = (F.col("__mix_bin") < F.col("__mix_end_bin")) | (F.col("__mix_bin") == F.col("__mix_end_bin")) & (own < F.col("__mix_last"))
     edge = F.coalesce(own == F.col("__mix_last"), F.lit(False))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import counted_join, map_arrow, maybe_among, salted_join, sliced, without_rows, written
+from lectern.llm.common import counted_join, map_arrow, maybe_among, passing_tables, salted_join, scratch_path, sliced, stored, without_rows, written
 from lectern.llm.components import components
 from lectern.llm.shingles import shingle_sets
 from lectern.llm.token_store import mixed_bits
@@ -149,15 +149,17 @@ def candidate_clusters(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Both uses below read one shuffle of the marks: the filter is what the join would add on its side only.
     marks = map_arrow(rows, announce, "mark long, node long").filter("mark is not null and node is not null").repartition("mark")
-    # Both sides come from one shuffle; the shared marks are few, so their side is hashed and the other streams by.
-    # Each row keeps how many nodes its mark had, so that later joins know the marks of very many on either side.
-    held = written(marks.join(_shared(marks, F.count("*")).hint("shuffle_hash"), "mark"), "shared-marks")
-    for _ in range(PRUNINGS):
-        enough = held.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("node").bitwiseAND(255)).select("node")
-        held = held.join(enough, "node").drop("hub")
-        # Marks are many and most have few nodes, so only those of very many are repeated.
-        held = written(counted_join(held, _shared(held, F.max("n")), ["mark"], F.col("node"), "n"), "shared-marks")
-    spokes = held.filter("node <> hub").select(F.shiftright("node", 8).alias("a"), F.shiftright("hub", 8).alias("b"))
+    path = scratch_path(docs.sparkSession, "spokes")
+    with passing_tables(docs.sparkSession):
+        # Both sides come from one shuffle; the shared marks are few, so their side is hashed and the other streams by.
+        # Each row keeps how many nodes its mark had, so that later joins know the marks of very many on either side.
+        held = written(marks.join(_shared(marks, F.count("*")).hint("shuffle_hash"), "mark"), "shared-marks")
+        for _ in range(PRUNINGS):
+            enough = held.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("node").bitwiseAND(255)).select("node")
+            held = held.join(enough, "node").drop("hub")
+            # Marks are many and most have few nodes, so only those of very many are repeated.
+            held = written(counted_join(held, _shared(held, F.max("n")), ["mark"], F.col("node"), "n"), "shared-marks")
+        spokes = stored(held.filter("node <> hub").select(F.shiftright("node", 8).alias("a"), F.shiftright("hub", 8).alias("b")), path)
     return components(spokes).select("node", F.col("root").alias("cluster"))
 
 
@@ -351,10 +353,13 @@ def drop_near_duplicates(docs: DataFrame, join: Join = Join(words=5, percent=80)
     """
     if docs.isEmpty():
         return docs
-    found = written(_joined(docs, join, id_col, text_col).filter("root is not null").select("doc_id", "digest", "root"), "near-found")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    first = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    placed = salted_join(found, first, ["root"], F.struct("doc_id", "digest"), "inner").withColumn("lost", F.col("first") != place)
-    gone = placed.filter("lost").select(F.col("doc_id").alias("id"), "digest").distinct().withColumn("same", F.lit(0).cast("long"))
-    tied = placed.filter("not lost").groupBy(F.col("doc_id").alias("id"), "digest").agg(F.count("*").alias("same")).filter("same > 1")
-    return without_rows(docs, written(gone.unionByName(tied), "near-lost"), id_col, _digest(F.col(text_col)))
+    path = scratch_path(docs.sparkSession, "near-lost")
+    with passing_tables(docs.sparkSession):
+        found = written(_joined(docs, join, id_col, text_col).filter("root is not null").select("doc_id", "digest", "root"), "near-found")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+        first = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
+        placed = salted_join(found, first, ["root"], F.struct("doc_id", "digest"), "inner").withColumn("lost", F.col("first") != place)
+        gone = placed.filter("lost").select(F.col("doc_id").alias("id"), "digest").distinct().withColumn("same", F.lit(0).cast("long"))
+        tied = placed.filter("not lost").groupBy(F.col("doc_id").alias("id"), "digest").agg(F.count("*").alias("same")).filter("same > 1")
+        lost = stored(gone.unionByName(tied), path)
+    return without_rows(docs, lost, id_col, _digest(F.col(text_col)))

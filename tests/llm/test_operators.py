@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import queries as registered
-from lectern.llm.common import counted_join, maybe_among, salted_join, scratch_path
+from lectern.llm.common import counted_join, maybe_among, salted_join, scratch_path, written
 from lectern.llm.components import components
 from lectern.llm.exact_dedup import block_identities, drop_exact_duplicates, exact_duplicates
 from lectern.llm.html_main import Page, main_texts, site_templates
@@ -1073,3 +1073,65 @@ def test_best_path_by_stretches():
     sys.setprofile(None)
     assert path.tolist() == plain(scores, 12.0)
     assert len(calls) < len(scores), len(calls)
+
+
+def test_pipeline_leaves_what_nothing_reads(spark, sf_dir, monkeypatch):
+    """Shuffle files go when a table is written, tables when the next stage is; both stayed until the end."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from lectern.shipping import checkpoint_folder
+
+    tables = lambda: {p.name for p in Path(checkpoint_folder(spark).removeprefix("file:"), "lectern").glob("*")}
+    rows = spark.range(20_000).select((F.col("id") % 5_000).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    cleaner = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"/shuffle_(\d+)_", cleaner.getAllFiles().mkString("|")))
+    written(rows.repartition(3, "doc_id"), "warm")
+    before, held = tables(), shuffles()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, docs, d: written(docs.repartition(5, "doc_id"), "own").dropDuplicates(["doc_id"])) for n in ("one", "two")])
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path, f=type(spark.read).parquet: rows if path.endswith("/documents.parquet") else f(self, path))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() == 5_000
+    assert [n.split("-")[:2] for n in tables() - before] == [["pipeline", "two"]]
+    assert len(shuffles() - held) <= 1  # the count's
+
+
+def test_near_duplicates_keep_one_table(spark):
+    from pathlib import Path
+
+    from lectern.shipping import checkpoint_folder
+
+    tables = lambda: {p.name for p in Path(checkpoint_folder(spark).removeprefix("file:"), "lectern").glob("*")}
+    words = [f"w{i}" for i in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(words[: 50 + i % 3])) for i in range(9)] + [(20, "x y z a b c d e f")], "doc_id long, text string")
+    before = tables()
+    left = drop_near_duplicates(rows)
+    made = {n.rsplit("-", 1)[0] for n in tables() - before}
+    assert made == {"near-lost"} and sorted(r["doc_id"] for r in left.collect()) == [0, 20]
+
+
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    """Stars need no round; chains, rings and edges in either direction end with the least node."""
+    from lectern.llm import components as module
+
+    rounds, star = [], module._star
+    monkeypatch.setattr(module, "_star", lambda *a: (rounds.append(1), star(*a))[1])
+    stars = spark.createDataFrame([(b, a) for a in (1, 50) for b in range(a + 1, a + 30)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in module.components(stars).collect()} == {(b, a) for a in (1, 50) for b in range(a, a + 30)} and not rounds
+    edges = [(i, i + 1) for i in range(100, 140)] + [(211, 210), (212, 211), (210, 212), (5, 5)]
+    got = {(r["node"], r["root"]) for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(i, 100) for i in range(100, 141)} | {(i, 210) for i in (210, 211, 212)} and rounds
+    assert module.components(stars.limit(0)).count() == 0
+
+
+def test_mix_moves_no_texts_for_few_sources(spark, monkeypatch):
+    """Budgets of few sources are broadcast; of many they are joined, with the same rows."""
+    from lectern.llm import mixing
+
+    rows = spark.createDataFrame([(i, f"a word {i} " * (i % 7 + 1), ["x", "y", None, ""][i % 4]) for i in range(200)] + [(3, "a b", "x")] * 3, "doc_id long, text string, source string")
+    few = mixing.mixed_rows(rows)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    many = mixing.mixed_rows(rows)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
