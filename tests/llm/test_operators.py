@@ -1075,6 +1075,19 @@ def test_best_path_by_stretches():
     assert len(calls) < len(scores), len(calls)
 
 
+def test_pipeline_decodes(spark, sf_dir):
+    """The last stage decodes as the library does; it gave ids only."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Né İx <|endoftext|> 語!")], "doc_id long, text string"), allowMissingColumns=True)
+    docs = docs.localCheckpoint()
+    want = [(r["doc_id"], hashlib.sha256(plain.decode(plain.encode(r["text"] or "", add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()) for r in docs.collect()]
+    got = corpus_pipeline.word_bpe(spark, docs, sf_dir)
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in got.collect()) == sorted(want)
+
+
 def test_pipeline_leaves_what_nothing_reads(spark, sf_dir, monkeypatch):
     """Shuffle files go when a table is written, tables when the next stage is; both stayed until the end."""
     from pathlib import Path
