@@ -221,3 +221,34 @@ def test_playback_counts_words_once(spark, odd_documents):
 
     plan = QUERIES["playback_index"](spark, odd_documents)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_plain_texts_take_one_pass(spark, tmp_path, monkeypatch):
+    """A batch of plain texts is written once and dealt to few tasks; it was written twice, after a look at its formats, a task for every 32 files."""
+    from lectern.streaming import imports
+
+    (tmp_path / "in").mkdir()
+    for i in range(600):
+        (tmp_path / "in" / f"n{i}.txt").write_text(f"These are quite enough characters of text {i}.")
+    seen, write = [], imports.written
+    monkeypatch.setattr(imports, "written", lambda df, name: (seen.append((name, df.rdd.getNumPartitions())), write(df, name))[1])
+    import_stream(spark, str(tmp_path / "in"), str(tmp_path / "lib"), str(tmp_path / "check"), buckets=2).trigger(availableNow=True).start().awaitTermination()
+    assert [name for name, _ in seen] == ["import-files"] and seen[0][1] <= 8
+    assert Library(spark, str(tmp_path / "lib"), 2).documents().filter("is_readable").count() == 600
+
+
+def test_formats_of_one_batch(spark, tmp_path):
+    """Plain texts go with the pass over the files, all other formats their own way; together they are what every reader gives."""
+    from lectern.sources.files import extract_texts, read_files
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.txt", "b.html", "c.docx", "d.pdf", "e", "f.epub", "g.mobi", "h.rtf", "i.doc", "j.txt"):
+        (tmp_path / "in" / name).write_bytes(b"few" if name == "j.txt" else b"These are quite enough characters of %s, \xe9 and more." % name.encode())
+    library = Library(spark, str(tmp_path / "lib"), 2)
+    import_batch(spark.read.format("binaryFile").load(str(tmp_path / "in")), library, "x-0")
+    sources = read_files(spark, str(tmp_path / "in"))
+    want = extract_texts(sources).join(sources.select("doc_id", "name"), "doc_id").collect()
+    shown = lambda r, text, warnings: (r["source_format"], r[text], r["is_readable"], r["unreadable_reason"], list(r[warnings]))
+    got = library.documents().collect()
+    assert len(got) == 10 and {r["title"] for r in got} == set("abcdefghij")
+    assert sorted(shown(r, "content", "conversion_warnings") for r in got) == sorted((*shown(r, "text", "warnings"),) for r in want)
